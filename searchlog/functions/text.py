@@ -1,8 +1,9 @@
-"""Query-text expressions (T1-T6): all native, one regular expression plus higher-order functions.
+"""Query-text expressions (T1-T6): all native, regular expressions plus higher-order functions.
 
-A text is cut into *atoms*: quoted strings, back-quoted macros, the marks ``| [ ]``, and runs of anything else. Each atom
-keeps the whitespace before it, so that joining atoms gives the text back. A stage starts at the text start, after ``|``
-and after ``[``. A text with unbalanced brackets or an open quote is not well formed and yields null.
+A text is cut into *segments*: the marks ``| [ ]`` and the runs between them, where quoted strings and back-quoted macros
+belong to the run whatever they contain. Each segment keeps the whitespace before it, so that joining segments gives the
+text back. A run is made of *atoms*: quoted strings, macros, and what lies between. A stage starts at the text start,
+after ``|`` and after ``[``. A text with unbalanced brackets or an open quote is not well formed and yields null.
 """
 
 from __future__ import annotations
@@ -17,7 +18,12 @@ from searchlog.functions.taxonomy import MISCELLANEOUS, category_of, is_known_co
 
 # Possessive repetition keeps the match iterative, so very long quoted strings cannot exhaust the stack.
 _QUOTED = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-ATOM = r"(?s)\s*(?:" + _QUOTED + r'|`[^`]*+`|[\[\]|]|[^"`\[\]|\s][^"`\[\]|]*+|["`])'
+_MACRO = r"`[^`]*+`"
+_RUN = rf'(?:{_QUOTED}|{_MACRO}|[^"`\[\]|]++)++'
+SEGMENT = rf'(?s)\s*+(?:[\[\]|]|{_RUN}|["`])'
+ATOM = rf'(?s)\s*+(?:{_QUOTED}|{_MACRO}|[\[\]|]|[^"`\[\]|]++|["`])'
+_FLAT_STAGE = rf"(?s)\|\s*+(?:{_RUN})?+|{_RUN}"
+_WORD = rf'(?s)^(?:{_QUOTED}|{_MACRO}|[^\s"`\[\]|]++)'
 _OPTION = _QUOTED + r"|\w+\s*=\s*(?:" + _QUOTED + r'|[^\s,"\[\]|]+)'
 _WHITESPACE = " \t\n\r\f\x0b"
 
@@ -34,36 +40,44 @@ def _strip(text: Column) -> Column:
     return F.trim(text, F.lit(_WHITESPACE))
 
 
-def atoms(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ATOM), F.lit(0))
+def _pieces(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def _marks(atom_array: Column) -> Column:
-    return F.transform(atom_array, _strip)
+def _marks(segments: Column) -> Column:
+    return F.transform(segments, _strip)
 
 
-def _is_well_formed(marks: Column) -> Column:
+def _has_brackets(text: Column) -> Column:
+    return text.contains("[") | text.contains("]")
+
+
+def _is_well_formed(text: Column, marks: Column) -> Column:
     depth = F.aggregate(
         marks,
         F.lit(0),
         lambda d, v: F.when(d < 0, d).when(v == "[", d + 1).when(v == "]", d - 1).otherwise(d),
     )
-    return (depth == 0) & ~F.exists(marks, lambda v: v.isin('"', "`"))
+    balanced = ~_has_brackets(text) | (depth == 0)
+    return balanced & ~F.array_contains(marks, '"') & ~F.array_contains(marks, "`")
 
 
 def well_formed(text: Column) -> Column:
     """Whether brackets and quotes balance."""
-    return _let(_marks(atoms(text)), _is_well_formed)
+    return _let(_marks(_pieces(text, SEGMENT)), lambda marks: _is_well_formed(text, marks))
+
+
+def _is_mark(segment: Column) -> Column:
+    return segment.isin("|", "[", "]")
 
 
 def _starts_stage(marks: Column, index: Column) -> Column:
     at_start = (index == 0) | F.get(marks, index - 1).isin("|", "[")
-    return at_start & ~F.get(marks, index).isin("|", "[", "]")
+    return at_start & ~_is_mark(F.get(marks, index))
 
 
 def _first_word(head: Column) -> Column:
-    quoted = head.startswith("`") | head.startswith('"')
-    return F.when(quoted, head).otherwise(F.regexp_extract(head, r"^\S+", 0))
+    return F.regexp_extract(head, _WORD, 0)
 
 
 def _word_class(word: Column) -> Column:
@@ -79,20 +93,22 @@ def _token(cls: Column | str, value: Column) -> Column:
     return F.struct(cls.alias("token_class"), value.alias("value"))
 
 
+def _tokens_of_run(run: Column, starts: Column) -> Column:
+    """The word that opens a stage and the arguments, atom by atom."""
+
+    def arguments(text: Column) -> Column:
+        return F.transform(_pieces(text, ATOM), lambda a: _token("ARGS", _strip(a)))
+
+    def head(word: Column) -> Column:
+        rest = _strip(F.substr(run, F.length(word) + 1))
+        return F.concat(F.array(_token(_word_class(word), word)), arguments(rest))
+
+    return F.when(starts, _let(_first_word(run), head)).otherwise(arguments(run))
+
+
 def tokens(text: Column) -> Column:
     """``array<struct<token_class, value>>`` in text order."""
 
-    def split_head(head: Column) -> Column:
-        return _let(
-            _first_word(head),
-            lambda word: _let(
-                _strip(F.substr(head, F.length(word) + 1)),
-                lambda rest: F.when(rest == "", F.array(_token(_word_class(word), word))).otherwise(
-                    F.array(_token(_word_class(word), word), _token("ARGS", rest))
-                ),
-            ),
-        )
-
     def classify(marks: Column) -> Column:
         return F.flatten(
             F.transform(
@@ -100,12 +116,19 @@ def tokens(text: Column) -> Column:
                 lambda v, i: F.when(v == "|", F.array(_token("PIPE", v)))
                 .when(v == "[", F.array(_token("LBRACKET", v)))
                 .when(v == "]", F.array(_token("RBRACKET", v)))
-                .when(_starts_stage(marks, i), split_head(v))
-                .otherwise(F.array(_token("ARGS", v))),
+                .otherwise(_tokens_of_run(v, _starts_stage(marks, i))),
             )
         )
 
-    return _let(_marks(atoms(text)), lambda marks: F.when(_is_well_formed(marks), classify(marks)))
+    return _let(
+        _marks(_pieces(text, SEGMENT)), lambda marks: F.when(_is_well_formed(text, marks), classify(marks))
+    )
+
+
+def _spaced(text: Column) -> Column:
+    """Atoms joined by one blank."""
+    plain = ~text.contains('"') & ~text.contains("`") & ~text.contains("|")
+    return F.when(plain, _strip(text)).otherwise(F.array_join(F.transform(_pieces(text, ATOM), _strip), " "))
 
 
 def split_stages(text: Column) -> Column:
@@ -116,7 +139,7 @@ def split_stages(text: Column) -> Column:
     """
 
     def step(acc: Column, v: Column) -> Column:
-        joined = F.concat_ws(" ", acc["current"], v)
+        joined = F.concat_ws(" ", acc["current"], F.when(_is_mark(v), v).otherwise(_spaced(v)))
         ends = (v == "]") & (acc["depth"] == 1)
         splits = (v == "|") & (acc["depth"] == 0)
         return F.struct(
@@ -137,9 +160,13 @@ def split_stages(text: Column) -> Column:
         F.lit(None).cast("string").alias("current"),
         F.array().cast("array<string>").alias("done"),
     )
+
+    def split(marks: Column) -> Column:
+        flat = F.filter(F.transform(_pieces(text, _FLAT_STAGE), _spaced), lambda s: s != "")
+        return F.when(_has_brackets(text), F.aggregate(marks, start, step, finish)).otherwise(flat)
+
     return _let(
-        _marks(atoms(text)),
-        lambda marks: F.when(_is_well_formed(marks), F.aggregate(marks, start, step, finish)),
+        _marks(_pieces(text, SEGMENT)), lambda marks: F.when(_is_well_formed(text, marks), split(marks))
     )
 
 
@@ -150,7 +177,7 @@ def command_words(text: Column) -> Column:
         first = F.filter(F.transform(marks, lambda v, i: F.when(_starts_stage(marks, i), v)), lambda v: v.isNotNull())
         return F.transform(first, lambda v: _let(_first_word(v), lambda w: _token(_word_class(w), F.lower(w))))
 
-    return _let(_marks(atoms(text)), lambda marks: F.when(_is_well_formed(marks), heads(marks)))
+    return _let(_marks(_pieces(text, SEGMENT)), lambda marks: F.when(_is_well_formed(text, marks), heads(marks)))
 
 
 def commands(text: Column) -> Column:
@@ -180,7 +207,15 @@ def stage_category(command: Column, token_class: Column, args: Column) -> Column
     )
 
 
-def _spans(marks: Column) -> Column:
+def _flat_spans(marks: Column) -> Column:
+    """Without brackets every run is a stage."""
+    each = F.transform(
+        marks, lambda v, i: F.when(v != "|", F.struct(i.alias("begin"), F.lit(0).alias("depth"), (i + 1).alias("end")))
+    )
+    return F.filter(each, lambda span: span.isNotNull())
+
+
+def _nested_spans(marks: Column) -> Column:
     """Begin, depth and end of every stage. ``open`` holds one entry per bracket depth: the begin of the stage that is
     open there, or whether a stage may still begin."""
 
@@ -219,10 +254,15 @@ def _spans(marks: Column) -> Column:
     return F.aggregate(indexed, start, step, finish)
 
 
-def _canonical(atom: Column) -> Column:
+def _canonical(text: Column) -> Column:
     """Runs of whitespace become one blank, except inside quotes and macros."""
-    verbatim = F.ltrim(atom, F.lit(_WHITESPACE)).substr(1, 1).isin('"', "`")
-    return F.when(verbatim, F.regexp_replace(atom, r"^\s+", " ")).otherwise(F.regexp_replace(atom, r"\s+", " "))
+
+    def collapse(part: Column) -> Column:
+        return F.regexp_replace(part, r"\s+", " ")
+
+    parts = _pieces(text, rf'(?s){_QUOTED}|{_MACRO}|[^"`]++')
+    kept = F.transform(parts, lambda p: F.when(p.startswith('"') | p.startswith("`"), p).otherwise(collapse(p)))
+    return F.when(text.contains('"') | text.contains("`"), F.array_join(kept, "")).otherwise(collapse(text))
 
 
 def stages(text: Column) -> Column:
@@ -233,34 +273,45 @@ def stages(text: Column) -> Column:
     pipe follows anywhere after it.
     """
 
-    def build(raw: Column, marks: Column) -> Column:
-        last_pipe = F.size(marks) - F.array_position(F.reverse(marks), F.lit("|")).cast("int")
+    def describe(position: Column, depth: Column, stage_text: Column, word: Column, piped_on: Column) -> Column:
+        return F.struct(
+            position.alias("position"),
+            depth.alias("depth"),
+            F.lower(word).alias("command"),
+            _word_class(word).alias("token_class"),
+            _strip(F.substr(stage_text, F.length(word) + 1)).alias("args"),
+            stage_text.alias("stage_text"),
+            F.concat(F.lower(word), _canonical(F.substr(stage_text, F.length(word) + 1))).alias("stage_key"),
+            piped_on.alias("piped_on"),
+        )
 
+    def build(segments: Column, marks: Column, pipes_end: Column) -> Column:
         def stage(span: Column, position: Column) -> Column:
-            piece = F.slice(raw, span["begin"] + 1, span["end"] - span["begin"])
-            key = _strip(F.array_join(F.transform(piece, _canonical), ""))
+            single = (span["end"] - span["begin"]) == 1
+            joined = _strip(F.array_join(F.slice(segments, span["begin"] + 1, span["end"] - span["begin"]), ""))
+            whole = F.when(single, F.get(marks, span["begin"])).otherwise(joined)
+            named = F.struct(whole.alias("text"), _first_word(F.get(marks, span["begin"])).alias("word"))
             return _let(
-                F.struct(
-                    _first_word(F.get(marks, span["begin"])).alias("word"),
-                    _strip(F.array_join(piece, "")).alias("text"),
-                ),
-                lambda s: F.struct(
-                    position.alias("position"),
-                    span["depth"].alias("depth"),
-                    F.lower(s["word"]).alias("command"),
-                    _word_class(s["word"]).alias("token_class"),
-                    _strip(F.substr(s["text"], F.length(s["word"]) + 1)).alias("args"),
-                    s["text"].alias("stage_text"),
-                    F.concat(F.lower(s["word"]), F.substr(key, F.length(s["word"]) + 1)).alias("stage_key"),
-                    ((last_pipe < F.size(marks)) & (last_pipe >= span["end"])).alias("piped_on"),
-                ),
+                named,
+                lambda s: describe(position, span["depth"], s["text"], s["word"], pipes_end > span["end"]),
             )
 
-        return F.transform(_spans(marks), stage)
+        spans = F.when(_has_brackets(text), _nested_spans(marks)).otherwise(_flat_spans(marks))
+        return F.transform(spans, stage)
+
+    def pipes_end(marks: Column) -> Column:
+        """Number of segments up to and including the last pipe, 0 without any."""
+        from_back = F.array_position(F.reverse(marks), F.lit("|"))
+        return F.when(from_back > 0, F.size(marks) - from_back + 1).otherwise(0)
 
     return _let(
-        atoms(text),
-        lambda raw: _let(_marks(raw), lambda marks: F.when(_is_well_formed(marks), build(raw, marks))),
+        _pieces(text, SEGMENT),
+        lambda segments: _let(
+            _marks(segments),
+            lambda marks: F.when(
+                _is_well_formed(text, marks), _let(pipes_end(marks), lambda p: build(segments, marks, p))
+            ),
+        ),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from searchlog.functions.text import text_digest
-from searchlog.operators.slices import MICROS, interval_points, join_null_safe, row_gaps, weighted_intervals
+from searchlog.operators.slices import MICROS, instants, interval_points, join_null_safe, row_gaps, weighted_intervals
 
 # Fixed values of the metric definitions.
 ENTROPY_BINS = 10_000
@@ -34,27 +34,26 @@ def _interactive(queries: DataFrame) -> DataFrame:
     )
 
 
-def copy_counts(queries: DataFrame) -> DataFrame:
-    """G2-G4 per ``(text_key, user_id)``: ``n_copies``, ``n_copies_this_user``, ``n_distinct_users``.
+def copy_counts(mine: DataFrame) -> DataFrame:
+    """G2-G4 per ``(text_key, user_id)`` from ``n_copies_this_user``: also ``n_copies``, ``n_distinct_users``.
 
-    The table per text and user has one row per user of a text, so counting rows counts distinct users, a missing user
-    included.
+    The input has one row per user of a text, so counting rows counts distinct users, a missing user included.
     """
-    mine = _interactive(queries).groupBy(*_KEY).agg(F.count("*").alias("n_copies_this_user"))
     per_text = mine.groupBy("text_key").agg(
         F.sum("n_copies_this_user").alias("n_copies"), F.count("*").alias("n_distinct_users")
     )
-    return mine.join(per_text, "text_key").select(
+    return mine.join(per_text.repartition("text_key"), "text_key").select(
         *_KEY, "n_copies", "n_copies_this_user", "n_distinct_users"
     )
 
 
 def query_groups(queries: DataFrame, multiple: bool = True) -> DataFrame:
     """One group per interactive query; with ``multiple`` only those that have a copy."""
-    counts = copy_counts(queries)
+    rows = _interactive(queries)
+    counts = copy_counts(rows.groupBy(*_KEY).agg(F.count("*").alias("n_copies_this_user")))
     if multiple:
         counts = counts.filter(F.col("n_copies") > 1)
-    return _attach(_interactive(queries), counts, "inner").select(
+    return _attach(rows, counts, "inner").select(
         "query_id", "user_id", "n_copies", "n_copies_this_user", "n_distinct_users"
     )
 
@@ -82,8 +81,11 @@ def group_metrics(queries: DataFrame) -> DataFrame:
     Intervals are aggregated per histogram bin first, so a group reaches its final row through at most 10,001 partial
     rows. Times stay integer microseconds until the last division.
     """
-    timed = _interactive(queries).filter(F.col("ts_us").isNotNull())
-    points = interval_points(timed, _KEY, totals=True).filter(F.col("n_total") > 1)
+    return _metrics(instants(_interactive(queries), _KEY))
+
+
+def _metrics(points: DataFrame) -> DataFrame:
+    points = interval_points(points, _KEY, totals=True).filter(F.col("n_total") > 1)
     mean_us = (F.col("last_us") - F.col("first_us")) / (F.col("n_total") - 1)
     x, w = F.col("interval_us"), F.col("weight")
 
@@ -134,10 +136,12 @@ def group_report(queries: DataFrame, multiple: bool = True, text: str | None = N
     """
     if text is not None:
         queries = queries.filter(F.col("text") == text)
-    counts = copy_counts(queries)
+    # Counts and metrics both start from the instants, so the texts are read and digested once for the two.
+    points = instants(_interactive(queries), _KEY)
+    counts = copy_counts(points.groupBy(*_KEY).agg(F.sum("n").alias("n_copies_this_user")))
     if multiple:
         counts = counts.filter(F.col("n_copies") > 1)
-    metrics = group_metrics(queries)
+    metrics = _metrics(points)
     rows = queries.filter(F.col("is_interactive")).select(
         "query_id", "user_id", "text", text_digest(F.col("text")).alias("text_key")
     )

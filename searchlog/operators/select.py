@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 from searchlog.functions import text as text_functions
 from searchlog.functions.normalize import split_interactive
-from searchlog.operators.sessions import SESSION_GAP_S, attach_sessions, query_deltas, queries_with_session, sessionize
-from searchlog.operators.slices import nest
+from searchlog.operators.sessions import (
+    SESSION_GAP_S,
+    attach_sessions,
+    number_sessions,
+    query_deltas,
+    session_input,
+    sessionize,
+)
+from searchlog.operators.slices import nest, with_children
 
 USER_COLUMNS = ["user_id", "name", "case_id", "user_type"]
 QUERY_COLUMNS = [
@@ -73,8 +80,9 @@ def queries_with_stages(queries: DataFrame, stages: DataFrame | None = None) ->
     query's stages are collected (bounded by its text) and joined on the query id.
     """
     if stages is None:
-        parsed = queries.withColumn("stages", text_functions.stages(F.col("text")))
-        return parsed.filter(F.size("stages") > 0)
+        # A filter on the array itself would be pushed below it and compute it twice.
+        has_stage = F.size(text_functions.command_words(F.col("text"))) > 0
+        return queries.filter(has_stage).withColumn("stages", text_functions.stages(F.col("text")))
     items = F.struct(*[c for c in stages.columns if c != "query_id"])
     per_query = stages.groupBy("query_id").agg(F.array_sort(F.collect_list(items)).alias("stages"))
     return queries.join(per_query, "query_id")
@@ -112,11 +120,11 @@ def _is_interactive(item: Column) -> Column:
 def user_queries(users: DataFrame, queries: DataFrame) -> DataFrame:
     """F10, flat: one row per user and query, users without queries once with nulls."""
     columns = [c for c in queries.columns if c != "user_id"]
-    interactive = F.coalesce(queries["is_interactive"], F.lit(False))
-    return users.join(queries, "user_id", "left").select(
+    interactive = F.coalesce("is_interactive", F.lit(False))
+    return with_children(users, queries, "user_id").select(
         *USER_COLUMNS,
         *columns,
-        F.when(queries["query_id"].isNotNull(), interactive).alias("in_interactive_list"),
+        F.when(F.col("query_id").isNotNull(), interactive).alias("in_interactive_list"),
     )
 
 
@@ -128,7 +136,7 @@ def users_with_queries(users: DataFrame, queries: DataFrame, limit: int = 1000)
     items = [c for c in ("text", "is_interactive", "is_suspicious", "search_type") if c in queries.columns]
     nested = nest(queries.filter(F.col("user_id").isNotNull()), ["user_id"], items, "queries", limit=limit)
     return (
-        users.join(nested, "user_id", "left")
+        with_children(users, nested, "user_id", queries)
         .withColumn("queries", F.coalesce("queries", F.array()))
         .select(
             *USER_COLUMNS,
@@ -158,15 +166,16 @@ def users_with_sessions(
 
     A session that continues in the next chunk appears in both with its share of the queries.
     """
+    rows = user_sessions(queries, gap_s, drop_suspicious)
     nested = nest(
-        user_sessions(queries, gap_s, drop_suspicious),
+        rows,
         ["user_id"],
         ["text", "delta_s"],
         "sessions",
         within="session_seq",
         limit=limit,
     )
-    return users.join(nested, "user_id", "left").select(
+    return with_children(users, nested, "user_id", session_input(queries, drop_suspicious)).select(
         *USER_COLUMNS,
         F.coalesce("chunk", F.lit(0)).alias("chunk"),
         "part",
@@ -186,11 +195,15 @@ def sessions_multi(
 
     Without a stored ``session_id`` the sessions are numbered here.
     """
+    columns = ["session_id", "user_id", "query_id", "ts", "text", "n_queries"]
     if "session_id" not in queries.columns:
-        queries = queries_with_session(queries, gap_s, drop_suspicious)
+        sessions = number_sessions(sessionize(queries, gap_s, drop_suspicious))
+        found = attach_sessions(queries, sessions, gap_s, drop_suspicious, ("session_id", "n_queries"))
+        return found.filter(F.col("n_queries") > 1).select(*columns)
     stored = queries.filter(F.col("session_id").isNotNull())
     sizes = stored.groupBy("session_id").agg(F.count("*").alias("n_queries")).filter(F.col("n_queries") > 1)
-    return stored.join(sizes, "session_id").select("session_id", "user_id", "query_id", "ts", "text", "n_queries")
+    # Shuffled on its own, so that adaptive execution can split a very long session on the other side.
+    return stored.join(sizes.repartition("session_id"), "session_id").select(*columns)
 
 
 def mark_suspicious_queries(queries: DataFrame, mark: str = SUSPICIOUS_TEXT) -> DataFrame:

@@ -16,9 +16,14 @@ def _in_scope(drop_suspicious: bool) -> Column:
     return scope & ~F.coalesce(F.col("is_suspicious"), F.lit(False)) if drop_suspicious else scope
 
 
+def session_input(queries: DataFrame, drop_suspicious: bool = True) -> DataFrame:
+    """The queries that are sessionised: interactive, with a time and a user, and not suspicious unless kept."""
+    return queries.filter(_in_scope(drop_suspicious))
+
+
 def query_deltas(queries: DataFrame, drop_suspicious: bool = True) -> DataFrame:
     """``delta_s``, seconds since the user's previous query in the session input; 0 for the first."""
-    rows = queries.filter(_in_scope(drop_suspicious)).withColumn("ts_us", F.unix_micros("ts"))
+    rows = session_input(queries, drop_suspicious).withColumn("ts_us", F.unix_micros("ts"))
     gaps = row_gaps(rows, ["user_id"])
     return gaps.withColumn("delta_s", F.coalesce(F.col("gap_us"), F.lit(0)) / MICROS).drop("gap_us", "ts_us")
 
@@ -33,7 +38,7 @@ def session_slices(
     """
     gap_us = micros(gap_s)
     slices = (
-        queries.filter(_in_scope(drop_suspicious))
+        session_input(queries, drop_suspicious)
         .select("user_id", F.unix_micros("ts").alias("ts_us"))
         .groupBy("user_id", slice_of(F.col("ts_us"), gap_us + 1).alias("slice"))
         .agg(F.min("ts_us").alias("lo_us"), F.max("ts_us").alias("hi_us"), F.count("*").alias("n"))

@@ -34,23 +34,30 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.alias("l").join(right.alias("r"), same, how).select("l.*", *extra)
 
 
-def interval_points(rows: DataFrame, keys: list[str], totals: bool = False, width_us: int = SLICE_US) -> DataFrame:
-    """Distinct instants per key with the gap to the instant before.
+def instants(rows: DataFrame, keys: list[str], width_us: int = SLICE_US) -> DataFrame:
+    """Distinct instants per key: keys, ``slice``, ``ts_us``, ``first_id`` (the lowest query id) and ``n`` (rows).
 
-    ``rows`` has the key columns, ``ts_us`` and ``query_id``. Result: keys, ``ts_us``, ``first_id`` (the lowest query id
-    at that instant), ``n`` (rows at that instant) and ``gap_us`` (null at the key's first instant). The ``n - 1`` other
-    rows of an instant follow their predecessor at distance zero. With ``totals`` each point also carries the key's
-    ``n_total``, ``first_us`` and ``last_us``.
+    ``rows`` has the keys, ``ts_us`` and ``query_id``. This is where any number of simultaneous rows becomes one.
     """
-    points = rows.groupBy(*keys, slice_of(F.col("ts_us"), width_us).alias("slice"), "ts_us").agg(
+    return rows.groupBy(*keys, slice_of(F.col("ts_us"), width_us).alias("slice"), "ts_us").agg(
         F.min("query_id").alias("first_id"), F.count("*").alias("n")
     )
+
+
+def interval_points(points: DataFrame, keys: list[str], totals: bool = False) -> DataFrame:
+    """``instants`` with ``gap_us``, the gap to the key's instant before; null at the first.
+
+    The ``n - 1`` other rows of an instant follow their predecessor at distance zero. With ``totals`` each point also
+    carries the key's ``n_total``, ``first_us`` and ``last_us``. Rows without a time keep a null instant of their own,
+    which no gap and no total sees.
+    """
     in_slice = Window.partitionBy(*keys, "slice")
+    timed_n = F.when(F.col("ts_us").isNotNull(), F.col("n"))
     marked = points.select(
         "*",
         F.lag("ts_us").over(in_slice.orderBy("ts_us")).alias("prev_us"),
         F.max("ts_us").over(in_slice).alias("slice_last_us"),
-        F.sum("n").over(in_slice).alias("slice_n"),
+        F.sum(timed_n).over(in_slice).alias("slice_n"),
     )
 
     over_key = Window.partitionBy(*keys)
@@ -75,9 +82,10 @@ def interval_points(rows: DataFrame, keys: list[str], totals: bool = False, widt
 
 def weighted_intervals(points: DataFrame, *columns: str) -> DataFrame:
     """The intervals behind ``interval_points`` as ``(columns, interval_us, weight)``, zeros included."""
+    others = F.when(F.col("ts_us").isNotNull(), F.col("n") - 1).otherwise(0)
     pairs = F.array(
         F.struct(F.col("gap_us").alias("interval_us"), F.lit(1).cast("long").alias("weight")),
-        F.struct(F.lit(0).cast("long").alias("interval_us"), (F.col("n") - 1).alias("weight")),
+        F.struct(F.lit(0).cast("long").alias("interval_us"), others.alias("weight")),
     )
     kept = F.filter(pairs, lambda p: p["interval_us"].isNotNull() & (p["weight"] > 0))
     return points.select(*columns, F.inline(kept))
@@ -88,13 +96,24 @@ def row_gaps(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     The join is on ``query_id``, which is unique on both sides, so it is balanced whatever the keys look like.
     """
-    points = interval_points(rows.select(*keys, "ts_us", "query_id"), keys).select(
+    points = interval_points(instants(rows, keys), keys).select(
         F.col("first_id").alias("query_id"), F.col("gap_us").alias("_gap_us"), F.lit(True).alias("_head")
     )
     gap = F.when(F.col("_head"), F.col("_gap_us")).otherwise(F.lit(0).cast("long"))
     return rows.join(points, "query_id", "left").withColumn("gap_us", gap).drop("_gap_us", "_head")
 
 
+def with_children(parents: DataFrame, children: DataFrame, key: str, child_keys: DataFrame | None = None) -> DataFrame:
+    """Parents left-joined to their children, as an inner join plus the parents without any.
+
+    In that form a parent with very many children can be split by adaptive execution, which an outer join that
+    preserves the parents does not allow. ``child_keys`` is any cheaper DataFrame with the children's key values.
+    """
+    keys = (children if child_keys is None else child_keys).select(key).distinct()
+    childless = parents.join(keys, key, "left_anti")
+    return children.join(parents, key).unionByName(childless, allowMissingColumns=True)
+
+
 def nest(
     rows: DataFrame,
     keys: list[str],

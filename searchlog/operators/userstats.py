@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from searchlog.operators.select import SUSPICIOUS_USER_NAMES
-from searchlog.operators.slices import MICROS, interval_points, micros, row_gaps, weighted_intervals
+from searchlog.operators.slices import MICROS, instants, interval_points, micros, row_gaps, weighted_intervals
 
 HISTOGRAM_MAX_S = 30.0
 HISTOGRAM_BINS = 1000
@@ -44,12 +44,14 @@ def suspiciousness_summary(scores: DataFrame) -> DataFrame:
 
 
 def _pool(users: DataFrame, queries: DataFrame, excluded: tuple[str, ...]) -> DataFrame:
-    """Timed, interactive, unsuspicious queries of all users but the excluded."""
+    """Timed, interactive, unsuspicious queries of all users but the excluded, of whom there are few."""
     rows = queries.filter(
-        F.col("is_interactive") & ~F.coalesce(F.col("is_suspicious"), F.lit(False)) & F.col("ts").isNotNull()
+        F.col("is_interactive")
+        & ~F.coalesce(F.col("is_suspicious"), F.lit(False))
+        & F.col("ts").isNotNull()
+        & F.col("user_id").isNotNull()
     ).select("query_id", "user_id", F.unix_micros("ts").alias("ts_us"))
-    kept = users.filter(F.coalesce(~F.col("name").isin(*excluded), F.lit(True))).select("user_id")
-    return rows.join(kept, "user_id", "left_semi")
+    return rows.join(users.filter(F.col("name").isin(*excluded)).select("user_id"), "user_id", "left_anti")
 
 
 def user_interarrivals(
@@ -64,7 +66,7 @@ def user_interarrivals(
 
 
 def _pooled_intervals(users: DataFrame, queries: DataFrame, excluded: tuple[str, ...]) -> DataFrame:
-    return weighted_intervals(interval_points(_pool(users, queries, excluded), ["user_id"]))
+    return weighted_intervals(interval_points(instants(_pool(users, queries, excluded), ["user_id"]), ["user_id"]))
 
 
 def interarrival_counts(

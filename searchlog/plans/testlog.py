@@ -51,11 +51,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table with its zoneless time read as UTC."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return read(spark, sf_dir, "events").withColumn(
-        "ts", F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("ts")))
-    )
+    """The event table with its zoneless time read as UTC, whatever the session zone."""
+    ts = F.col("ts")
+    days = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    seconds = (days * 24 + F.hour(ts)) * 3600 + F.minute(ts) * 60
+    second_us = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+    return read(spark, sf_dir, "events").withColumn("ts", F.timestamp_micros(seconds * 1_000_000 + second_us))
 
 
 def template_text() -> Column:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from searchlog import schemas
 from searchlog.operators import stages as stage_operators
-from searchlog.operators.select import users_with_sessions, user_queries
+from searchlog.operators.select import users_with_sessions
 from searchlog.operators.sessions import SESSION_GAP_S, attach_sessions, number_sessions, sessionize
-from searchlog.operators.slices import nest
+from searchlog.operators.slices import nest, with_children
 from searchlog.sources.readers import BaseTables, Log, base_tables
 
 
@@ -132,15 +132,12 @@ def users_json(
 
 def users_json_verbose(users: DataFrame, queries: DataFrame, limit: int = 1000) -> DataFrame:
     """S12, verbose: one JSON document per user with every query and all its stored fields."""
-    rows = user_queries(users, queries).filter(F.col("query_id").isNotNull())
+    owned = queries.filter(F.col("user_id").isNotNull())
     fields = [c for c in queries.columns if c not in ("user_id", "query_id", "ts")]
-    nested = nest(rows.select("user_id", "query_id", "ts", *fields), ["user_id"], fields, "queries", limit=limit)
-    return (
-        users.join(nested, "user_id", "left")
-        .select(
-            "user_id",
-            F.coalesce("chunk", F.lit(0)).alias("chunk"),
-            "part",
-            F.to_json(F.struct("name", F.coalesce("queries", F.array()).alias("queries"))).alias("json"),
-        )
+    nested = nest(owned, ["user_id"], fields, "queries", limit=limit)
+    return with_children(users, nested, "user_id", owned).select(
+        "user_id",
+        F.coalesce("chunk", F.lit(0)).alias("chunk"),
+        "part",
+        F.to_json(F.struct("name", F.coalesce("queries", F.array()).alias("queries"))).alias("json"),
     )
