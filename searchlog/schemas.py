@@ -70,8 +70,12 @@ TABLES = {
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Select the schema's columns by name and cast them; a column the input lacks becomes null."""
 
+    present = {field.name: field.dataType for field in df.schema.fields}
+
     def column(field: T.StructField) -> Column:
-        source = F.col(field.name) if field.name in df.columns else F.lit(None)
+        if present.get(field.name) == field.dataType:
+            return F.col(field.name)
+        source = F.col(field.name) if field.name in present else F.lit(None)
         return source.cast(field.dataType).alias(field.name)
 
     return df.select([column(field) for field in schema.fields])
