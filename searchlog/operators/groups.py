@@ -10,7 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from searchlog.functions.text import text_digest
-from searchlog.operators.slices import MICROS, instants, interval_points, join_null_safe, row_gaps, weighted_intervals
+from searchlog.operators.slices import (
+    HOT_ROWS,
+    MICROS,
+    instants,
+    interval_points,
+    join_null_safe,
+    row_gaps,
+    weighted_intervals,
+)
 
 # Fixed values of the metric definitions.
 ENTROPY_BINS = 10_000
@@ -66,26 +74,31 @@ def _attach(rows: DataFrame, lookup: DataFrame, how: str) -> DataFrame:
     return join_null_safe(rows, lookup.repartition(*_KEY), _KEY, how)
 
 
-def interarrivals(queries: DataFrame) -> DataFrame:
+def interarrivals(queries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per interval between consecutive copies by the same user, at the later query."""
     return (
-        row_gaps(_interactive(queries).filter(F.col("ts_us").isNotNull()), _KEY)
+        row_gaps(_interactive(queries).filter(F.col("ts_us").isNotNull()), _KEY, hot_rows)
         .filter(F.col("gap_us").isNotNull())
         .select("query_id", "user_id", "text_key", (F.col("gap_us") / MICROS).alias("interval_s"))
     )
 
 
-def group_metrics(queries: DataFrame) -> DataFrame:
+def group_metrics(queries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """G6-G8 per ``(text_key, user_id)`` that has at least one interval.
 
     Intervals are aggregated per histogram bin first, so a group reaches its final row through at most 10,001 partial
     rows. Times stay integer microseconds until the last division.
     """
-    return _metrics(instants(_interactive(queries), _KEY))
+    return _metrics(instants(_interactive(queries), _KEY), hot_rows)
 
 
-def _metrics(points: DataFrame) -> DataFrame:
-    points = interval_points(points, _KEY, totals=True).filter(F.col("n_total") > 1)
+def _metrics(points: DataFrame, hot_rows: int) -> DataFrame:
+    cold, hot = interval_points(points, _KEY, totals=True, hot_rows=hot_rows)
+    return _metrics_of(cold).unionByName(_metrics_of(hot))
+
+
+def _metrics_of(points: DataFrame) -> DataFrame:
+    points = points.filter(F.col("n_total") > 1)
     mean_us = (F.col("last_us") - F.col("first_us")) / (F.col("n_total") - 1)
     x, w = F.col("interval_us"), F.col("weight")
 
@@ -129,7 +142,9 @@ def _metrics(points: DataFrame) -> DataFrame:
     )
 
 
-def group_report(queries: DataFrame, multiple: bool = True, text: str | None = None) -> DataFrame:
+def group_report(
+    queries: DataFrame, multiple: bool = True, text: str | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """One row per interactive query with counts and metrics, optionally for one text.
 
     The intervals themselves are the rows of ``interarrivals``: a group's list has no bound, so it is not put in a cell.
@@ -141,7 +156,7 @@ def group_report(queries: DataFrame, multiple: bool = True, text: str | None = N
     counts = copy_counts(points.groupBy(*_KEY).agg(F.sum("n").alias("n_copies_this_user")))
     if multiple:
         counts = counts.filter(F.col("n_copies") > 1)
-    metrics = _metrics(points)
+    metrics = _metrics(points, hot_rows)
     rows = queries.filter(F.col("is_interactive")).select(
         "query_id", "user_id", "text", text_digest(F.col("text")).alias("text_key")
     )

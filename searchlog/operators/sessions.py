@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from searchlog.operators.ids import with_sequential_ids
-from searchlog.operators.slices import MICROS, micros, row_gaps, slice_of
+from searchlog.operators.slices import HOT_ROWS, MICROS, micros, row_gaps, slice_of
 
 SESSION_GAP_S = 1800.0
 
@@ -21,10 +21,10 @@ def session_input(queries: DataFrame, drop_suspicious: bool = True) -> DataFrame
     return queries.filter(_in_scope(drop_suspicious))
 
 
-def query_deltas(queries: DataFrame, drop_suspicious: bool = True) -> DataFrame:
+def query_deltas(queries: DataFrame, drop_suspicious: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``delta_s``, seconds since the user's previous query in the session input; 0 for the first."""
     rows = session_input(queries, drop_suspicious).withColumn("ts_us", F.unix_micros("ts"))
-    gaps = row_gaps(rows, ["user_id"])
+    gaps = row_gaps(rows, ["user_id"], hot_rows)
     return gaps.withColumn("delta_s", F.coalesce(F.col("gap_us"), F.lit(0)) / MICROS).drop("gap_us", "ts_us")
 
 

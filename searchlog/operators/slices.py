@@ -1,9 +1,12 @@
-"""Time slices: how the sequence operators stay balanced when one key owns a large part of the log.
+"""Consecutive rows of a key, whatever share of the log the key owns.
 
-A window over a key would sort all of that key's rows in one task. Instead rows are first aggregated (with map-side
-combine) to distinct instants, the window runs within ``(key, time slice)``, and only one row per slice is carried on to
-a second window over the key. No task ever holds more than one slice's instants or one key's slices, both of which are
-bounded by the clock and not by the number of rows.
+A window over a key sorts all of that key's rows in one task. That is the cheapest way for all keys but the few *hot* ones
+with very many rows, so the two are split:
+
+* cold keys use the plain window, with one shuffle;
+* hot keys go through time slices: rows are aggregated (with map-side combine) to distinct instants, the window runs within
+  ``(key, time slice)``, and only one row per slice is carried on to a second window over the key. A task then holds one
+  slice's instants or one key's slices, both bounded by the clock and not by the number of rows.
 """
 
 from __future__ import annotations
@@ -16,6 +19,11 @@ from pyspark.sql import functions as F
 MICROS = 1_000_000
 SLICE_US = 60 * MICROS
 
+# A key is hot with more than HOT_ROWS rows and more than 1 / MAX_HOT_KEYS of all rows. The first bounds the window groups of
+# small logs, the second the number of hot keys, which is what gets broadcast.
+HOT_ROWS = 1_000_000
+MAX_HOT_KEYS = 100_000
+
 
 def micros(seconds: float) -> int:
     return int(round(seconds * MICROS))
@@ -27,11 +35,29 @@ def slice_of(ts_us: Column, width_us: int) -> Column:
     return F.call_function("div", ts_us - F.pmod(ts_us, width), width)
 
 
+def _same_keys(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")) for key in keys])
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """``left`` with the other columns of ``right``, joined on keys under which null equals null."""
-    same = reduce(lambda a, b: a & b, [F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")) for key in keys])
     extra = [f"r.{c}" for c in right.columns if c not in keys]
-    return left.alias("l").join(right.alias("r"), same, how).select("l.*", *extra)
+    return left.alias("l").join(right.alias("r"), _same_keys(keys), how).select("l.*", *extra)
+
+
+def split_hot(
+    rows: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, weight: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of cold keys and the rows of hot keys; ``weight`` names a column with the rows behind each row.
+
+    At most MAX_HOT_KEYS keys can each hold more than that share of all rows, so the hot list is safe to broadcast.
+    Without hot keys the second part is found empty while running and costs no scan.
+    """
+    sizes = rows.groupBy(*keys).agg((F.sum(weight) if weight else F.count("*")).alias("rows"))
+    share = sizes.agg(F.sum("rows")).scalar() / MAX_HOT_KEYS
+    hot = F.broadcast(sizes.filter((F.col("rows") > hot_rows) & (F.col("rows") > share)).select(*keys)).alias("r")
+    parts = [rows.alias("l").join(hot, _same_keys(keys), how) for how in ("left_anti", "left_semi")]
+    return parts[0], parts[1]
 
 
 def instants(rows: DataFrame, keys: list[str], width_us: int = SLICE_US) -> DataFrame:
@@ -44,20 +70,49 @@ def instants(rows: DataFrame, keys: list[str], width_us: int = SLICE_US) -> Data
     )
 
 
-def interval_points(points: DataFrame, keys: list[str], totals: bool = False) -> DataFrame:
-    """``instants`` with ``gap_us``, the gap to the key's instant before; null at the first.
+def row_points(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Every row as a point of its own, in the columns of ``instants`` but the slice."""
+    return rows.select(*keys, "ts_us", F.col("query_id").alias("first_id"), F.lit(1).cast("long").alias("n"))
+
+
+def interval_points(
+    points: DataFrame, keys: list[str], totals: bool = False, hot_rows: int = HOT_ROWS
+) -> list[DataFrame]:
+    """``instants`` with ``gap_us``, the gap to the key's instant before; null at the first. In two parts, cold and hot.
 
     The ``n - 1`` other rows of an instant follow their predecessor at distance zero. With ``totals`` each point also
     carries the key's ``n_total``, ``first_us`` and ``last_us``. Rows without a time keep a null instant of their own,
-    which no gap and no total sees.
+    which no gap and no total sees. The cold part comes partitioned by the keys, so that aggregating it by them needs no
+    further shuffle; that is why the parts are not one.
     """
+    cold, hot = split_hot(points, keys, hot_rows, weight="n")
+    return [window_points(cold, keys, totals), sliced_points(hot, keys, totals)]
+
+
+def _timed_n() -> Column:
+    return F.when(F.col("ts_us").isNotNull(), F.col("n"))
+
+
+def window_points(points: DataFrame, keys: list[str], totals: bool = False) -> DataFrame:
+    """Gaps of cold keys, by one window over the key."""
+    over_key = Window.partitionBy(*keys)
+    gap = F.col("ts_us") - F.lag("ts_us").over(over_key.orderBy("ts_us"))
+    extra = [
+        F.sum(_timed_n()).over(over_key).alias("n_total"),
+        F.min("ts_us").over(over_key).alias("first_us"),
+        F.max("ts_us").over(over_key).alias("last_us"),
+    ]
+    return points.select(*keys, "ts_us", "first_id", "n", gap.alias("gap_us"), *(extra if totals else []))
+
+
+def sliced_points(points: DataFrame, keys: list[str], totals: bool = False) -> DataFrame:
+    """Gaps of hot keys, by windows within and between slices."""
     in_slice = Window.partitionBy(*keys, "slice")
-    timed_n = F.when(F.col("ts_us").isNotNull(), F.col("n"))
     marked = points.select(
         "*",
         F.lag("ts_us").over(in_slice.orderBy("ts_us")).alias("prev_us"),
         F.max("ts_us").over(in_slice).alias("slice_last_us"),
-        F.sum(timed_n).over(in_slice).alias("slice_n"),
+        F.sum(_timed_n()).over(in_slice).alias("slice_n"),
     )
 
     over_key = Window.partitionBy(*keys)
@@ -91,16 +146,21 @@ def weighted_intervals(points: DataFrame, *columns: str) -> DataFrame:
     return points.select(*columns, F.inline(kept))
 
 
-def row_gaps(rows: DataFrame, keys: list[str]) -> DataFrame:
+def row_gaps(rows: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """``rows`` plus ``gap_us``: distance to the key's previous row by ``(ts_us, query_id)``, null for the first.
 
-    The join is on ``query_id``, which is unique on both sides, so it is balanced whatever the keys look like.
+    Hot rows get it by a join on ``query_id``, which is unique on both sides and so balanced whatever the keys are.
     """
-    points = interval_points(instants(rows, keys), keys).select(
+    cold, hot = split_hot(rows, keys, hot_rows)
+    by_time = Window.partitionBy(*keys).orderBy("ts_us", "query_id")
+    cold = cold.withColumn("gap_us", F.col("ts_us") - F.lag("ts_us").over(by_time))
+
+    points = sliced_points(instants(hot, keys), keys).select(
         F.col("first_id").alias("query_id"), F.col("gap_us").alias("_gap_us"), F.lit(True).alias("_head")
     )
     gap = F.when(F.col("_head"), F.col("_gap_us")).otherwise(F.lit(0).cast("long"))
-    return rows.join(points, "query_id", "left").withColumn("gap_us", gap).drop("_gap_us", "_head")
+    hot = hot.join(points, "query_id", "left").withColumn("gap_us", gap)
+    return cold.unionByName(hot.select(*cold.columns))
 
 
 def with_children(parents: DataFrame, children: DataFrame, key: str, child_keys: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from searchlog.operators.select import SUSPICIOUS_USER_NAMES
-from searchlog.operators.slices import MICROS, instants, interval_points, micros, row_gaps, weighted_intervals
+from searchlog.operators.slices import (
+    MICROS,
+    instants,
+    micros,
+    row_gaps,
+    row_points,
+    sliced_points,
+    split_hot,
+    weighted_intervals,
+    window_points,
+)
 
 HISTOGRAM_MAX_S = 30.0
 HISTOGRAM_BINS = 1000
@@ -66,7 +76,10 @@ def user_interarrivals(
 
 
 def _pooled_intervals(users: DataFrame, queries: DataFrame, excluded: tuple[str, ...]) -> DataFrame:
-    return weighted_intervals(interval_points(instants(_pool(users, queries, excluded), ["user_id"]), ["user_id"]))
+    # Few narrow columns are read, so the cold rows are read again rather than shuffled once more.
+    cold, hot = split_hot(_pool(users, queries, excluded), ["user_id"])
+    parts = [window_points(row_points(cold, ["user_id"]), ["user_id"]), sliced_points(instants(hot, ["user_id"]), ["user_id"])]
+    return weighted_intervals(parts[0]).unionByName(weighted_intervals(parts[1]))
 
 
 def interarrival_counts(

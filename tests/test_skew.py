@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import brute
 from searchlog.operators import groups, select, sessions, slices, userstats
 from searchlog.plans import testlog
+from test_sessions import random_log
 
 HOT_USER, HOT_TEXT, HOT_TIME = 1, "search hot", 50_000.25
 
@@ -47,23 +48,43 @@ def frame(spark, rows):
     return brute.log_frame(spark, rows).cache()
 
 
-def test_sessions_and_deltas(frame, rows):
+@pytest.mark.parametrize("hot_rows", [100, 10**6])
+def test_sessions_and_deltas(frame, rows, hot_rows):
     expected = brute.session_of_query(rows)
     got = {r.query_id: r.session_seq for r in sessions.attach_sessions(frame, frame).collect()}
     assert {q: s for q, s in got.items() if s is not None} == {q: s for q, (_, s, _) in expected.items()}
-    deltas = {r.query_id: round(r.delta_s * 1e6) for r in sessions.query_deltas(frame).collect()}
+    deltas = {r.query_id: round(r.delta_s * 1e6) for r in sessions.query_deltas(frame, hot_rows=hot_rows).collect()}
     assert deltas == {q: d for q, (_, _, d) in expected.items()}
 
 
-def test_groups(frame, rows):
+@pytest.mark.parametrize("hot_rows", [50, 10**6])
+def test_groups(frame, rows, hot_rows):
     expected = {q: v for q, v in brute.groups(rows).items() if v[0] > 1}
-    report = groups.group_report(frame).collect()
+    report = groups.group_report(frame, hot_rows=hot_rows).collect()
     assert len(report) == len(expected)
     for r in report:
         values = (r.n_copies, r.n_copies_this_user, r.n_distinct_users, r.n_intervals, r.entropy, r.consistency, r.clockness)
         assert values == pytest.approx(expected[r.query_id])
 
 
+def test_hot_and_cold_are_a_partition(frame):
+    cold, hot = slices.split_hot(frame, ["user_id"], hot_rows=100)
+    assert {r.user_id for r in hot.select("user_id").distinct().collect()} == {HOT_USER}
+    assert cold.count() + hot.count() == frame.count()
+
+
+@pytest.mark.parametrize("hot_rows", [5, 10**6])
+def test_random_groups_through_both_paths(spark, hot_rows):
+    log = random_log(21)
+    report = groups.group_report(brute.log_frame(spark, log), multiple=False, hot_rows=hot_rows).collect()
+    expected = brute.groups(log)
+    assert len(report) == len(expected)
+    for r in report:
+        assert (r.n_intervals, r.entropy, r.consistency, r.clockness) == pytest.approx(expected[r.query_id][3:])
+    gaps = groups.interarrivals(brute.log_frame(spark, log), hot_rows).count()
+    assert gaps == sum(v[3] / v[1] for v in expected.values()).__round__()
+
+
 def test_counts_of_intervals(spark, frame, rows):
     users = spark.range(400).select(F.col("id").alias("user_id"), F.lit("u").alias("name"))
     gaps = [d for q, (_, _, d) in brute.session_of_query(rows).items()]
@@ -118,7 +139,7 @@ def test_adaptive_execution_can_split_the_hot_side(spark, frame, name):
 
 
 def test_no_cross_join_no_single_partition_of_rows(spark):
-    """Plans of the row-level operators: no nested loop, and no exchange that gathers rows in one place."""
+    """No nested loop in the row-level operators, and no exchange that gathers rows in one place."""
     queries = testlog.queries(spark, "/root/testdata/sf0.001")
     for df in (
         sessions.attach_sessions(queries, queries),
@@ -127,4 +148,8 @@ def test_no_cross_join_no_single_partition_of_rows(spark):
         groups.interarrivals(queries),
     ):
         plan = df._jdf.queryExecution().executedPlan().toString()
-        assert "NestedLoop" not in plan and "Cartesian" not in plan and "SinglePartition" not in plan
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        lines = plan.splitlines()
+        for line, below in zip(lines, lines[1:]):
+            if "SinglePartition" in line:  # only the partial sums of a global count may meet in one place
+                assert "HashAggregate(keys=[], functions=[partial_sum" in below
