@@ -117,20 +117,20 @@ def interarrival_hist(
         .groupBy("interval_us")
         .agg(F.sum("weight").alias("n"))
     )
-    bounds = values.agg(F.min("interval_us").alias("lo"), F.max("interval_us").alias("hi"))
-    flat = F.col("lo") == F.col("hi")
-    bounds = bounds.select(
-        F.when(F.col("lo").isNull(), 0).when(flat, F.col("lo") - MICROS // 2).otherwise(F.col("lo")).alias("lo"),
-        F.when(F.col("lo").isNull(), MICROS).when(flat, F.col("hi") + MICROS // 2).otherwise(F.col("hi")).alias("hi"),
-    )
-    edges = bounds.select(F.inline(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.struct(
-        b.cast("long").alias("bin"),
-        ((F.col("lo") + (F.col("hi") - F.col("lo")) * b / bins) / MICROS).alias("from_s"),
-        ((F.col("lo") + (F.col("hi") - F.col("lo")) * (b + 1) / bins) / MICROS).alias("to_s"),
-    ))))
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    bin_no = F.least(
-        F.call_function("div", (F.col("interval_us") - lo) * bins, hi - lo), F.lit(bins - 1).cast("long")
+    lo, hi = F.min("interval_us"), F.max("interval_us")
+    bounds = values.agg(
+        F.struct(
+            F.when(lo.isNull(), 0).when(lo == hi, lo - MICROS // 2).otherwise(lo).alias("lo"),
+            F.when(lo.isNull(), MICROS).when(lo == hi, hi + MICROS // 2).otherwise(hi).alias("hi"),
+        )
+    ).scalar()
+    # Attached as one column per side, so that the subquery is not repeated in every expression.
+    lo, span = F.col("bounds.lo"), F.col("bounds.hi") - F.col("bounds.lo")
+    bin_no = F.least(F.call_function("div", (F.col("interval_us") - lo) * bins, span), F.lit(bins - 1).cast("long"))
+    counts = values.withColumn("bounds", bounds).groupBy(bin_no.alias("bin")).agg(F.sum("n").alias("n"))
+    edges = values.sparkSession.range(bins).withColumn("bounds", bounds).select(
+        F.col("id").alias("bin"),
+        ((lo + span * F.col("id") / bins) / MICROS).alias("from_s"),
+        ((lo + span * (F.col("id") + 1) / bins) / MICROS).alias("to_s"),
     )
-    counts = values.groupBy(bin_no.alias("bin")).agg(F.sum("n").alias("n"))
     return edges.join(counts, "bin", "left").select("bin", "from_s", "to_s", F.coalesce("n", F.lit(0)).alias("n"))

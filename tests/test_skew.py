@@ -153,3 +153,16 @@ def test_no_cross_join_no_single_partition_of_rows(spark):
         for line, below in zip(lines, lines[1:]):
             if "SinglePartition" in line:  # only the partial sums of a global count may meet in one place
                 assert "HashAggregate(keys=[], functions=[partial_sum" in below
+
+
+def test_histogram_edge_cases(spark):
+    users = spark.range(9).select(F.col("id").alias("user_id"), F.lit("u").alias("name"))
+
+    def hist(*times):
+        log = brute.log_frame(spark, [(i, "a", t, True, False, 1) for i, t in enumerate(times)])
+        return {r.bin: (r.from_s, r.to_s, r.n) for r in userstats.interarrival_hist(users, log).collect()}
+
+    empty, equal, spread = hist(5.0), hist(0.0, 4.0, 8.0), hist(0.0, 1.0, 3.0, 33.0, 100.0)
+    assert len(empty) == 1000 and (empty[0][0], empty[999][1]) == (0.0, 1.0) and not any(n for *_, n in empty.values())
+    assert (equal[0][0], equal[999][1], equal[500][2]) == (3.5, 4.5, 2)
+    assert (spread[0][2], spread[999][2], sum(n for *_, n in spread.values())) == (1, 1, 3)
