@@ -78,7 +78,7 @@ def main() -> None:
         runs = {
             "sessionize": lambda q: sessions.sessionize(q),
             "window_sessions": window_sessions,
-            "attach_sessions": lambda q: sessions.attach_sessions(q, q),
+            "attach_sessions": lambda q: sessions.attach_sessions(q),
             "query_deltas": lambda q: sessions.query_deltas(q),
             "window_deltas": window_deltas,
             "interarrival_counts": lambda q: userstats.interarrival_counts(users, q),

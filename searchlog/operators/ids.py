@@ -17,7 +17,7 @@ def with_sequential_ids(df: DataFrame, order_by: list[str], id_column: str, star
 
     Rows are range-partitioned and sorted, and written with their place inside the partition; a row's id is that place
     plus the sizes of the partitions before. No task sees more than one range. Writing the ranges once keeps the ids
-    stable however often the result is recomputed.
+    stable however often the result is recomputed; the written table stays until the scratch folder is cleaned.
     """
     spark = df.sparkSession
     path = scratch_path(spark, id_column)

@@ -152,7 +152,7 @@ def users_with_queries(users: DataFrame, queries: DataFrame, limit: int = 1000)
 def user_sessions(queries: DataFrame, gap_s: float = SESSION_GAP_S, drop_suspicious: bool = True) -> DataFrame:
     """F11, flat: every sessionised query with its user's session number and the delta to the query before."""
     rows = query_deltas(queries, drop_suspicious)
-    return attach_sessions(rows, rows, gap_s, drop_suspicious)
+    return attach_sessions(rows, None, gap_s, drop_suspicious)
 
 
 def users_with_sessions(

@@ -74,20 +74,21 @@ def number_sessions(sessions: DataFrame) -> DataFrame:
 
 def attach_sessions(
     queries: DataFrame,
-    sessions: DataFrame,
+    sessions: DataFrame | None = None,
     gap_s: float = SESSION_GAP_S,
     drop_suspicious: bool = True,
     columns: tuple[str, ...] = ("session_seq",),
 ) -> DataFrame:
     """Every query with columns of the session it belongs to, null for queries outside the session input.
 
-    ``sessions`` is the result of ``sessionize`` with the same parameters, numbered or not. Both joins have a unique
-    right side; adaptive execution splits the query side where one user's slice is hot.
+    ``sessions`` is the result of ``sessionize`` with the same parameters, numbered or not; it is only needed for columns
+    other than ``session_seq``. All joins have a unique right side; adaptive execution splits the query side where one
+    user's slice is hot.
     """
     slices = session_slices(queries, gap_s, drop_suspicious).select("user_id", "slice", "session_seq")
-    if set(columns) != {"session_seq"}:
-        slices = slices.join(sessions.select("user_id", "session_seq", *set(columns) - {"session_seq"}),
-                             ["user_id", "session_seq"])
+    if sessions is not None:
+        wanted = sessions.select("user_id", "session_seq", *[c for c in columns if c != "session_seq"])
+        slices = slices.join(wanted, ["user_id", "session_seq"])
     in_scope = F.coalesce(_in_scope(drop_suspicious), F.lit(False))
     slices = slices.select("user_id", "slice", *[F.col(c).alias(f"_{c}") for c in columns])
     return (

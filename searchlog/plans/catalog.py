@@ -80,7 +80,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     rows = testlog.queries(spark, sf_dir)
     return (
-        sessions.attach_sessions(rows, rows)
+        sessions.attach_sessions(rows)
         .filter(F.col("session_seq").isNotNull())
         .select("query_id", "user_id", "session_seq")
     )
@@ -458,7 +458,8 @@ wc AS (SELECT wd.*, lower(word) AS command,
 se AS (SELECT b.text, b.i, coalesce(min(e.i), any_value(b.n_atoms)) AS stop
        FROM wc b LEFT JOIN ap e ON e.text = b.text AND e.i > b.i AND e.depth = b.depth AND e.v IN ('|', ']')
        GROUP BY b.text, b.i),
-st AS (SELECT wc.text, row_number() OVER (PARTITION BY wc.text ORDER BY wc.i) - 1 AS position, wc.depth, wc.command,
+st AS (SELECT wc.text, (row_number() OVER (PARTITION BY wc.text ORDER BY wc.i) - 1)::INTEGER AS position,
+              wc.depth::INTEGER AS depth, wc.command,
               wc.token_class, wc.word, se.stop, trim(z.stage_text) AS stage_text,
               trim(substr(trim(z.stage_text), length(wc.word) + 1)) AS args,
               lower(wc.word) || substr(trim(z.stage_key), length(wc.word) + 1) AS stage_key
@@ -482,7 +483,7 @@ _STAGE = "position, depth, command, token_class, args, stage_text, stage_key"
       UNION ALL SELECT text, i, 0, token_class, word FROM wc
       UNION ALL SELECT text, i, 1, 'ARGS', trim(substr(v, length(word) + 1)) FROM wc
                 WHERE trim(substr(v, length(word) + 1)) <> ''),
-    tp AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY i, k) - 1 AS position FROM tk)
+    tp AS (SELECT *, (row_number() OVER (PARTITION BY text ORDER BY i, k) - 1)::INTEGER AS position FROM tk)
     SELECT query_id, position, token_class, value FROM q JOIN tp USING (text)""",
 )
 def _(spark, sf_dir):
@@ -496,7 +497,7 @@ def _(spark, sf_dir):
                     THEN 1 ELSE 0 END AS cuts FROM ap WINDOW w AS (PARTITION BY text ORDER BY i)),
     g AS (SELECT *, sum(cuts) OVER (PARTITION BY text ORDER BY i) AS part FROM c),
     sp AS (SELECT text, part, string_agg(v, ' ' ORDER BY i) AS stage FROM g GROUP BY text, part),
-    sn AS (SELECT text, row_number() OVER (PARTITION BY text ORDER BY part) - 1 AS position, stage FROM sp)
+    sn AS (SELECT text, (row_number() OVER (PARTITION BY text ORDER BY part) - 1)::INTEGER AS position, stage FROM sp)
     SELECT query_id, position, stage FROM q JOIN sn USING (text)""",
 )
 def _(spark, sf_dir):

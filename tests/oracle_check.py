@@ -40,13 +40,7 @@ def _cell(value):
     return value
 
 
-def _family(dtype: str) -> str:
-    dtype = dtype.lower()
-    if dtype in ("tinyint", "smallint", "integer", "int", "bigint", "hugeint"):
-        return "integer"
-    if dtype in ("varchar", "string"):
-        return "string"
-    return dtype
+_SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
 def compare(spark: SparkSession, connection, sf: str, function, sql: str) -> tuple[str | None, int, float]:
@@ -61,7 +55,7 @@ def compare(spark: SparkSession, connection, sf: str, function, sql: str) -> tup
         return f"columns {names} != {sorted(relation.columns)}", 0, seconds
     types = dict(zip(relation.columns, map(str, relation.types)))
     for name, dtype in df.dtypes:
-        if _family(dtype) != _family(types[name]):
+        if _SQL_TYPES[dtype] != types[name]:
             return f"type of {name}: {dtype} != {types[name]}", 0, seconds
     order = [relation.columns.index(name) for name in names]
     theirs = Counter(tuple(_cell(row[i]) for i in order) for row in relation.fetchall())
@@ -76,11 +70,11 @@ def compare(spark: SparkSession, connection, sf: str, function, sql: str) -> tup
     )
 
 
-def session(cores: str = "8") -> SparkSession:
+def session(cores: str = "8", zone: str = "UTC") -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.session.timeZone", zone)
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
@@ -92,7 +86,7 @@ def main() -> None:
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     keys = sys.argv[2:] or list(queries())
-    spark, connection = session(), duck(sf)
+    spark, connection = session(zone=os.environ.get("CHECK_ZONE", "UTC")), duck(sf)
     spark.sparkContext.setLogLevel("ERROR")
     failed = 0
     for key in keys:

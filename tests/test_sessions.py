@@ -13,7 +13,7 @@ def _assigned(df):
 
 def _run(spark, rows, gap_s=1800.0, drop=True):
     frame = brute.log_frame(spark, rows)
-    return _assigned(sessions.attach_sessions(frame, frame, gap_s, drop))
+    return _assigned(sessions.attach_sessions(frame, None, gap_s, drop))
 
 
 def test_gap_is_exclusive(spark):

@@ -51,7 +51,7 @@ def frame(spark, rows):
 @pytest.mark.parametrize("hot_rows", [100, 10**6])
 def test_sessions_and_deltas(frame, rows, hot_rows):
     expected = brute.session_of_query(rows)
-    got = {r.query_id: r.session_seq for r in sessions.attach_sessions(frame, frame).collect()}
+    got = {r.query_id: r.session_seq for r in sessions.attach_sessions(frame).collect()}
     assert {q: s for q, s in got.items() if s is not None} == {q: s for q, (_, s, _) in expected.items()}
     deltas = {r.query_id: round(r.delta_s * 1e6) for r in sessions.query_deltas(frame, hot_rows=hot_rows).collect()}
     assert deltas == {q: d for q, (_, _, d) in expected.items()}
@@ -131,7 +131,7 @@ def test_adaptive_execution_can_split_the_hot_side(spark, frame, name):
     ):
         spread = wide.repartition(16)
         built = {
-            "sessions": lambda: sessions.attach_sessions(spread, spread),
+            "sessions": lambda: sessions.attach_sessions(spread),
             "groups": lambda: groups.query_groups(spread),
             "users": lambda: select.user_queries(users, spread),
         }[name]()
@@ -142,7 +142,7 @@ def test_no_cross_join_no_single_partition_of_rows(spark):
     """No nested loop in the row-level operators, and no exchange that gathers rows in one place."""
     queries = testlog.queries(spark, "/root/testdata/sf0.001")
     for df in (
-        sessions.attach_sessions(queries, queries),
+        sessions.attach_sessions(queries),
         sessions.query_deltas(queries),
         groups.group_report(queries),
         groups.interarrivals(queries),
