@@ -11,19 +11,21 @@ without a priority queue, and every byte position is left at most once, so the t
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchlog.llm.common import documents
+from searchlog.llm.common import bounded_batches, documents
 
 #: Entries that a worker's memos hold before the half not used lately goes; only speed depends on it.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 600_000
 
 
 class Memo(dict):
@@ -159,12 +161,16 @@ class Codec:
         @F.arrow_udf("array<int>")
         def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in texts:
-                yield pa.array([bpe().encode(text) for text in batch.to_pylist()], pa.list_(pa.int32()))
+                ids, ends = array("i"), [0]
+                for text in batch:
+                    ids.extend(bpe().encode(text.as_py()))
+                    ends.append(len(ids))
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
 
         @F.arrow_udf("binary")
         def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in ids:
-                yield pa.array([bpe().decode(row) for row in batch.to_pylist()], pa.binary())
+                yield pa.array([bpe().decode(row.as_py()) for row in batch], pa.binary())
 
         self._encode, self._decode = encode, decode
 
@@ -183,6 +189,7 @@ def with_tokens(df: DataFrame, codec: Codec, text: str = "text", ids: str = "tok
     Nothing is shuffled and every text is encoded whole, in a time linear in its length. Repeated rows stay repeated. An
     input column that has the name of a result column is replaced by it; an empty table gives an empty one.
     """
+    bounded_batches(df.sparkSession)
     return df.withColumn(ids, codec.encode(F.col(text))).withColumn(decoded, codec.decode(F.col(ids)))
 
 

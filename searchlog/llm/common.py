@@ -34,6 +34,14 @@ def alnum_words(text: str | None) -> list[bytes]:
     return text.encode().translate(ALNUM).split() if text else []
 
 
+def bounded_batches(spark: SparkSession, megabytes: int = 4) -> None:
+    """Hand Python at most so many megabytes at once (one row at least); sessions allow 64 by default.
+
+    What a worker makes of a batch takes several times its size, and two or more workers share an executor.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
+
+
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 
@@ -42,6 +50,7 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.Re
             if batch.num_rows:
                 yield from function(batch)
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(batches, schema)
 
 

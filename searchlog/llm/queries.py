@@ -3,9 +3,34 @@
 from __future__ import annotations
 
 from searchlog.llm.bpe import op1_bpe
+from searchlog.llm.decontaminate import op10_decontaminate
+from searchlog.llm.simhash import op3_simhash
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op3_simhash": op3_simhash,
+    "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op10_decontaminate": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+bs AS (SELECT item_id, words, least(13, len(words)) AS size FROM bw WHERE len(words) > 0),
+grams AS (SELECT DISTINCT item_id, size, array_to_string(words[i:i + size - 1], ' ') AS gram
+          FROM bs, LATERAL (SELECT unnest(generate_series(1, len(words) - size + 1)) AS i)),
+sizes AS (SELECT DISTINCT size FROM grams),
+found AS (SELECT w.doc_id, p.i, s.size, g.item_id
+          FROM w, sizes s, LATERAL (SELECT unnest(generate_series(1, len(w.words) - s.size + 1)) AS i) p
+          JOIN grams g ON g.size = s.size AND g.gram = array_to_string(w.words[p.i:p.i + s.size - 1], ' ')),
+places AS (SELECT doc_id, count(DISTINCT place) AS n_hit
+           FROM (SELECT doc_id, unnest(generate_series(i, i + size - 1)) AS place FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit > 0 AND 20 * n_hit >= len(w.words), false) AS contaminated
+FROM w LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)""",
+}
