@@ -2,17 +2,58 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from searchlog.llm.bpe import op1_bpe
 from searchlog.llm.decontaminate import op10_decontaminate
+from searchlog.llm.embeddings import op5_embeddings
+from searchlog.llm.lines import op8_lines
+from searchlog.llm.lm import op6_lm
+from searchlog.llm.quality import op7_quality
+from searchlog.llm.secrets import op4_secrets
 from searchlog.llm.simhash import op3_simhash
+from searchlog.llm.substrings import op2_substrings
+from searchlog.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_substrings": op2_substrings,
     "op3_simhash": op3_simhash,
+    "op4_secrets": op4_secrets,
+    "op5_embeddings": op5_embeddings,
+    "op6_lm": op6_lm,
+    "op7_quality": op7_quality,
+    "op8_lines": op8_lines,
+    "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
+    "op2_substrings": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 34], ' ') AS gram
+            FROM w, LATERAL (SELECT unnest(generate_series(1, len(words) - 34)) AS i)),
+repeated AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY gram) AS n FROM windows) WHERE n > 1),
+removed AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS place FROM repeated),
+each AS (SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS place FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS kept
+         FROM each ANTI JOIN removed USING (doc_id, place) GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM removed GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)""",
+    "op5_embeddings": """
+WITH RECURSIVE e AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b
+          ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+smallest AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM smallest LEFT JOIN counts USING (vec_id)""",
     "op10_decontaminate": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
