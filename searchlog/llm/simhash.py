@@ -85,7 +85,8 @@ def linked_fingerprints(distinct: DataFrame, hot_key: int = HOT_KEY) -> DataFram
     differing = F.col("x").bitwiseXOR(F.col("y"))
     # Equal halves agree under all their keys; the first of them is enough.
     once = (differing.bitwiseAND(_half(place)) != 0) | (F.pmod(place, F.lit(HALF)) == 0)
-    pairs = left.join(right, "key").filter(
+    # Spark takes the keys for as few as the fingerprints they come from, and would broadcast them.
+    pairs = left.hint("merge").join(right, "key").filter(
         (F.col("x") < F.col("y")) & (F.bit_count(differing) <= MAX_DISTANCE) & once
     )
 
