@@ -21,7 +21,10 @@ MIN_CHARS = 20
 _RUN = f"[A-Za-z0-9+/=_-]{{{MIN_CHARS},}}"
 
 #: Letter groups that words are full of and random strings are not.
-GROUPS = "tion ment ing the and ent ion for tha ere con ver com pro ation est all res ter ed er in an re on at en or es is it al".split()
+GROUPS = [
+    "tion", "ment", "ing", "the", "and", "ent", "ion", "for", "tha", "ere", "con", "ver", "com", "pro", "ation",
+    "est", "all", "res", "ter", "ed", "er", "in", "an", "re", "on", "at", "en", "or", "es", "is", "it", "al",
+]
 
 _SECRET_WORDS = "(?i)token|secret|passw|pwd|api|key|auth|bearer|credential|private"
 _HARMLESS_WORDS = "(?i)commit|sha|md5|hash|digest|checksum|etag|uuid|example|sample|dummy|test|version|rev"

@@ -23,24 +23,33 @@ from pyspark.sql import types as T
 
 from searchlog.llm.common import ALNUM, bounded_batches, documents
 
-INSULTS = (
-    "idiot idiots idiotic moron morons moronic stupid stupidity dumb dumbass fool fools loser losers clown clowns scum scumbag "
-    "trash garbage worthless pathetic disgusting filthy vermin parasite parasites imbecile cretin jerk creep freak pig swine "
-    "coward liar bastard asshole bitch shit crap fuck fucking retard retarded whore slut "
-    "idiota imbécil estúpido estúpida basura escoria asqueroso patético inútil payaso "
-    "imbécile crétin stupide abruti connard salaud ordure déchet minable "
-    "dummkopf trottel abschaum arschloch widerlich wertlos erbärmlich blöd schwachkopf"
-).split()
-THREATS = (
-    "kill murder destroy hurt punch stab shoot beat strangle hang burn "
-    "matar mataré muere tuer tuerai crève töten umbringen stirb"
-).split()
-TARGETS = (
-    "you your yours yourself u ur he him his she her they them their these those people everyone "
-    "tú te ti usted ustedes tu toi vous ton votre du dich dir ihr sie euch"
-).split()
-NEGATIONS = "not no never none neither nor cannot dont isnt arent wasnt nunca ningún jamais aucun nie niemals kein keine".split()
-REPORTS = "said says say saying wrote writes quoted quote called claims claimed reported dijo dice dit disait sagte schrieb".split()
+INSULTS = [
+    "idiot", "idiots", "idiotic", "moron", "morons", "moronic", "stupid", "stupidity", "dumb", "dumbass", "fool",
+    "fools", "loser", "losers", "clown", "clowns", "scum", "scumbag", "trash", "garbage", "worthless", "pathetic",
+    "disgusting", "filthy", "vermin", "parasite", "parasites", "imbecile", "cretin", "jerk", "creep", "freak", "pig",
+    "swine", "coward", "liar", "bastard", "asshole", "bitch", "shit", "crap", "fuck", "fucking", "retard",
+    "retarded", "whore", "slut", "idiota", "imbécil", "estúpido", "estúpida", "basura", "escoria", "asqueroso",
+    "patético", "inútil", "payaso", "imbécile", "crétin", "stupide", "abruti", "connard", "salaud", "ordure",
+    "déchet", "minable", "dummkopf", "trottel", "abschaum", "arschloch", "widerlich", "wertlos", "erbärmlich",
+    "blöd", "schwachkopf",
+]
+THREATS = [
+    "kill", "murder", "destroy", "hurt", "punch", "stab", "shoot", "beat", "strangle", "hang", "burn", "matar",
+    "mataré", "muere", "tuer", "tuerai", "crève", "töten", "umbringen", "stirb",
+]
+TARGETS = [
+    "you", "your", "yours", "yourself", "u", "ur", "he", "him", "his", "she", "her", "they", "them", "their",
+    "these", "those", "people", "everyone", "tú", "te", "ti", "usted", "ustedes", "tu", "toi", "vous", "ton",
+    "votre", "du", "dich", "dir", "ihr", "sie", "euch",
+]
+NEGATIONS = [
+    "not", "no", "never", "none", "neither", "nor", "cannot", "dont", "isnt", "arent", "wasnt", "nunca", "ningún",
+    "jamais", "aucun", "nie", "niemals", "kein", "keine",
+]
+REPORTS = [
+    "said", "says", "say", "saying", "wrote", "writes", "quoted", "quote", "called", "claims", "claimed", "reported",
+    "dijo", "dice", "dit", "disait", "sagte", "schrieb",
+]
 
 #: Words over which a negation or a person reaches.
 REACH = 4
@@ -197,7 +206,7 @@ def train(
     # The chosen labels are bounded, so they may go to every task.
     found = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
     rows = found.select(feature_column("_text").alias("x"), F.col("_toxic").cast("double").alias("y")).collect()
-    return fit(np.array([r["x"] for r in rows]).reshape(len(rows), -1), np.array([r["y"] for r in rows]))
+    return fit(np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r["y"] for r in rows]))
 
 
 def with_toxicity(docs: DataFrame, weights: np.ndarray, text: str = "text", score: str = "score") -> DataFrame:
@@ -213,7 +222,7 @@ def with_toxicity(docs: DataFrame, weights: np.ndarray, text: str = "text", scor
     def score_all(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w = np.array(values)
         for batch in texts:
-            x = np.array([features(value.as_py()) for value in batch]).reshape(len(batch), -1)
+            x = np.array([features(value.as_py()) for value in batch]).reshape(len(batch), len(FEATURES))
             yield pa.array(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))), pa.float64())
 
     return docs.withColumn(score, score_all(F.col(text)))
