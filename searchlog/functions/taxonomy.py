@@ -7,30 +7,40 @@ from pyspark.sql import functions as F
 
 # Category -> commands.
 CATEGORY_COMMANDS = {
-    "Aggregate": "addcoltotals, addtotals col, chart, contingency, counttable, eventcount, geostats, mvcombine, rare, "
-    "stats, timechart, timewrap, top, transaction, tstats",
-    "Augment": "addinfo, addtotals, addtotals row, appendcols, bin, bucket, eval, eventstats, extract, gauge, "
-    "iplocation, kv, outputtext, rangemap, relevancy, rex, spath, strcat, tags, xmlkv",
-    "Cache": "collect, sichart, sirare, sistats, sitimechart, sitop, summaryindex, summarize, tscollect",
-    "Filter": "dedup, head, regex, search, tail, uniq, where",
-    "Input": "datamodel, dbquery, inputcsv, inputlookup, loadjob, metadata, rest, savedsearch",
-    "Join": "geoip, join, lookup",
-    "Macro": "macro",
-    "Meta": "delete, localop, metasearch",
-    "Miscellaneous": "abstract, format, map, noop, overlap, return",
-    "Output": "export, outputcsv, outputlookup, sendemail",
-    "Project": "fields, table",
-    "Read Metadata": "audit, dbinspect, history, typeahead",
-    "Rename": "rename",
-    "Reorder": "reverse, sort",
-    "Set": "append, appendpipe, set",
-    "Transform": "convert, fieldformat, filldown, fillnull, makemv, multikv, mvexpand, nomv, outlier, replace",
-    "Transpose": "transpose",
-    "Window": "anomalies, delta, streamstats",
+    "Aggregate": [
+        "addcoltotals", "addtotals col", "chart", "contingency", "counttable", "eventcount", "geostats", "mvcombine",
+        "rare", "stats", "timechart", "timewrap", "top", "transaction", "tstats",
+    ],
+    "Augment": [
+        "addinfo", "addtotals", "addtotals row", "appendcols", "bin", "bucket", "eval", "eventstats", "extract",
+        "gauge", "iplocation", "kv", "outputtext", "rangemap", "relevancy", "rex", "spath", "strcat", "tags",
+        "xmlkv",
+    ],
+    "Cache": [
+        "collect", "sichart", "sirare", "sistats", "sitimechart", "sitop", "summaryindex", "summarize", "tscollect",
+    ],
+    "Filter": ["dedup", "head", "regex", "search", "tail", "uniq", "where"],
+    "Input": ["datamodel", "dbquery", "inputcsv", "inputlookup", "loadjob", "metadata", "rest", "savedsearch"],
+    "Join": ["geoip", "join", "lookup"],
+    "Macro": ["macro"],
+    "Meta": ["delete", "localop", "metasearch"],
+    "Miscellaneous": ["abstract", "format", "map", "noop", "overlap", "return"],
+    "Output": ["export", "outputcsv", "outputlookup", "sendemail"],
+    "Project": ["fields", "table"],
+    "Read Metadata": ["audit", "dbinspect", "history", "typeahead"],
+    "Rename": ["rename"],
+    "Reorder": ["reverse", "sort"],
+    "Set": ["append", "appendpipe", "set"],
+    "Transform": [
+        "convert", "fieldformat", "filldown", "fillnull", "makemv", "multikv", "mvexpand", "nomv", "outlier",
+        "replace",
+    ],
+    "Transpose": ["transpose"],
+    "Window": ["anomalies", "delta", "streamstats"],
 }
 
 COMMAND_CATEGORY = {
-    command: category for category, commands in CATEGORY_COMMANDS.items() for command in commands.split(", ")
+    command: category for category, commands in CATEGORY_COMMANDS.items() for command in commands
 }
 
 MISCELLANEOUS = "Miscellaneous"

@@ -69,9 +69,9 @@ def query_groups(queries: DataFrame, multiple: bool = True) -> DataFrame:
 def _attach(rows: DataFrame, lookup: DataFrame, how: str) -> DataFrame:
     """Join a table that is unique per ``(text_key, user_id)`` to rows; a null user matches a null user.
 
-    The lookup is shuffled by the full key of its own, which lets adaptive execution split a hot key on the row side.
+    The null-safe join shuffles both sides for itself, which lets adaptive execution split a hot key on the row side.
     """
-    return join_null_safe(rows, lookup.repartition(*_KEY), _KEY, how)
+    return join_null_safe(rows, lookup, _KEY, how)
 
 
 def interarrivals(queries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -147,7 +147,8 @@ def group_report(
 ) -> DataFrame:
     """One row per interactive query with counts and metrics, optionally for one text.
 
-    The intervals themselves are the rows of ``interarrivals``: a group's list has no bound, so it is not put in a cell.
+    The intervals themselves are the rows of ``interarrivals`` with the same ``text_key`` and ``user_id``: a group's list has no
+    bound, so it is not put in a cell.
     """
     if text is not None:
         queries = queries.filter(F.col("text") == text)
@@ -163,6 +164,7 @@ def group_report(
     measured = _attach(counts, metrics, "left")
     return _attach(rows, measured, "inner").select(
         "query_id",
+        "text_key",
         "text",
         "user_id",
         "n_copies",

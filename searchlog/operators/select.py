@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from searchlog import schemas
 from searchlog.functions import text as text_functions
 from searchlog.functions.normalize import split_interactive
 from searchlog.operators.sessions import (
@@ -15,26 +16,11 @@ from searchlog.operators.sessions import (
     session_input,
     sessionize,
 )
-from searchlog.operators.slices import nest, with_children
-
-USER_COLUMNS = ["user_id", "name", "case_id", "user_type"]
-QUERY_COLUMNS = [
-    "query_id",
-    "text",
-    "ts",
-    "is_interactive",
-    "is_suspicious",
-    "search_type",
-    "earliest_event",
-    "latest_event",
-    "event_range",
-    "is_realtime",
-    "splunk_search_id",
-    "execution_time",
-    "saved_search_name",
-    "user_id",
-    "session_id",
-]
+from searchlog.operators.slices import with_children
+
+USER_COLUMNS = schemas.USERS.fieldNames()
+QUERY_COLUMNS = [name for name in schemas.QUERIES.fieldNames() if name != "session_id_all"]
+SESSION_QUERY_COLUMNS = ["session_seq", "query_id", "ts", "text", "delta_s"]
 QUERY_TYPES = ("all", "interactive", "scheduled")
 
 # Users and text marks that give away machine-issued queries.
@@ -113,12 +99,11 @@ def sessions_of_user(sessions: DataFrame, user_id: int) -> DataFrame:
     return sessions.filter(F.col("user_id") == user_id)
 
 
-def _is_interactive(item: Column) -> Column:
-    return F.coalesce(item["is_interactive"], F.lit(False))
-
+def users_with_queries(users: DataFrame, queries: DataFrame) -> DataFrame:
+    """one row per user and query, whatever their number; users without queries once with nulls.
 
-def user_queries(users: DataFrame, queries: DataFrame) -> DataFrame:
-    """F10, flat: one row per user and query, users without queries once with nulls."""
+    ``in_interactive_list`` says which of a user's two lists the query is on; a query without the flag is on the other one.
+    """
     columns = [c for c in queries.columns if c != "user_id"]
     interactive = F.coalesce("is_interactive", F.lit(False))
     return with_children(users, queries, "user_id").select(
@@ -128,58 +113,19 @@ def user_queries(users: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def users_with_queries(users: DataFrame, queries: DataFrame, limit: int = 1000) -> DataFrame:
-    """F10, nested: ``queries`` and its split into ``interactive`` and ``noninteractive`` (a null flag is the latter).
-
-    Users without queries have empty lists. A user with more than about ``limit`` queries comes in several chunks.
-    """
-    items = [c for c in ("text", "is_interactive", "is_suspicious", "search_type") if c in queries.columns]
-    nested = nest(queries.filter(F.col("user_id").isNotNull()), ["user_id"], items, "queries", limit=limit)
-    return (
-        with_children(users, nested, "user_id", queries)
-        .withColumn("queries", F.coalesce("queries", F.array()))
-        .select(
-            *USER_COLUMNS,
-            F.coalesce("chunk", F.lit(0)).alias("chunk"),
-            "part",
-            "queries",
-            F.filter("queries", _is_interactive).alias("interactive"),
-            F.filter("queries", lambda q: ~_is_interactive(q)).alias("noninteractive"),
-        )
-    )
-
-
 def user_sessions(queries: DataFrame, gap_s: float = SESSION_GAP_S, drop_suspicious: bool = True) -> DataFrame:
-    """F11, flat: every sessionised query with its user's session number and the delta to the query before."""
+    """Every sessionised query with its user's session number and the delta to the query before."""
     rows = query_deltas(queries, drop_suspicious)
     return attach_sessions(rows, None, gap_s, drop_suspicious)
 
 
 def users_with_sessions(
-    users: DataFrame,
-    queries: DataFrame,
-    gap_s: float = SESSION_GAP_S,
-    drop_suspicious: bool = True,
-    limit: int = 1000,
+    users: DataFrame, queries: DataFrame, gap_s: float = SESSION_GAP_S, drop_suspicious: bool = True
 ) -> DataFrame:
-    """F11, nested: each user's sessions, each with its queries in time order; chunked like ``users_with_queries``.
-
-    A session that continues in the next chunk appears in both with its share of the queries.
-    """
-    rows = user_sessions(queries, gap_s, drop_suspicious)
-    nested = nest(
-        rows,
-        ["user_id"],
-        ["text", "delta_s"],
-        "sessions",
-        within="session_seq",
-        limit=limit,
-    )
-    return with_children(users, nested, "user_id", session_input(queries, drop_suspicious)).select(
-        *USER_COLUMNS,
-        F.coalesce("chunk", F.lit(0)).alias("chunk"),
-        "part",
-        F.coalesce("sessions", F.array()).alias("sessions"),
+    """one row per user, session and query, whatever their numbers; users without sessions once with nulls."""
+    rows = user_sessions(queries, gap_s, drop_suspicious).select(*SESSION_QUERY_COLUMNS, "user_id")
+    return with_children(users, rows, "user_id", session_input(queries, drop_suspicious)).select(
+        *USER_COLUMNS, *SESSION_QUERY_COLUMNS
     )
 
 

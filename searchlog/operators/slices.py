@@ -172,45 +172,3 @@ def with_children(parents: DataFrame, children: DataFrame, key: str, child_keys:
     keys = (children if child_keys is None else child_keys).select(key).distinct()
     childless = parents.join(keys, key, "left_anti")
     return children.join(parents, key).unionByName(childless, allowMissingColumns=True)
-
-
-def nest(
-    rows: DataFrame,
-    keys: list[str],
-    items: list[str],
-    alias: str,
-    within: str | None = None,
-    limit: int = 1000,
-    width_us: int = SLICE_US,
-) -> DataFrame:
-    """Collect rows per key into arrays ordered by ``(ts, query_id)``, in as many chunks as the key needs.
-
-    ``rows`` has the keys, ``ts``, ``query_id`` and the item columns. A key with few rows gives one array; one with many
-    gives several, numbered by ``chunk``: chunks are cut at slice borders by a running count, and a slice that alone
-    exceeds the limit is spread by hash over ``part``. With ``within``, each chunk is an array of
-    ``struct<within, items>``, one per value of that column.
-    """
-    rows = rows.withColumn("_slice", slice_of(F.unix_micros("ts"), width_us))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
-    sizes = sizes.select(
-        *keys,
-        "_slice",
-        F.call_function("div", F.coalesce(F.sum("_n").over(before), F.lit(0)), F.lit(limit)).alias("chunk"),
-        F.ceil(F.col("_n") / limit).alias("_parts"),
-    )
-    spread = F.col("_parts") > 1
-    chunked = join_null_safe(rows, sizes, [*keys, "_slice"]).select(
-        *rows.columns,
-        "chunk",
-        F.when(spread, F.pmod(F.xxhash64("query_id"), F.col("_parts"))).alias("part"),
-        F.when(spread, F.col("_slice")).alias("_own_slice"),
-    )
-    group = [*keys, "chunk", "_own_slice", "part"]
-    collected = F.array_sort(F.collect_list(F.struct("ts", "query_id", *[F.col(c) for c in items])))
-    if within is None:
-        return chunked.groupBy(*group).agg(collected.alias(alias)).drop("_own_slice")
-    inner = chunked.groupBy(*group, within).agg(collected.alias("queries"))
-    return (
-        inner.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(within, "queries"))).alias(alias))
-    ).drop("_own_slice")

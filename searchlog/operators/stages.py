@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from searchlog.functions import text as text_functions
 
 # The hand-made command lists of the unique-stage reports.
-FILTER_COMMANDS = "dedup head regex search tail where uniq".split()
-AGGREGATE_COMMANDS = (
-    "addtotals addcoltotals chart eventcount geostats mvcombine rare stats timechart top transaction tstats"
-).split()
-AUGMENT_COMMANDS = (
-    "addinfo addtotals appendcols bin bucket eval eventstats extract gauge iplocation kv outputtext rangemap "
-    "relevancy rex spath strcat tags xmlkv"
-).split()
+FILTER_COMMANDS = [
+    "dedup", "head", "regex", "search", "tail", "where", "uniq",
+]
+AGGREGATE_COMMANDS = [
+    "addtotals", "addcoltotals", "chart", "eventcount", "geostats", "mvcombine", "rare", "stats", "timechart", "top",
+    "transaction", "tstats",
+]
+AUGMENT_COMMANDS = [
+    "addinfo", "addtotals", "appendcols", "bin", "bucket", "eval", "eventstats", "extract", "gauge", "iplocation",
+    "kv", "outputtext", "rangemap", "relevancy", "rex", "spath", "strcat", "tags", "xmlkv",
+]
 
 _STAGE_COLUMNS = ["position", "depth", "command", "token_class", "args", "stage_text", "stage_key"]
 
@@ -84,28 +89,34 @@ def stages_by_command(stage_table: DataFrame, commands: list[str] | None = None)
     return stage_table.filter(F.col("command").isin(*commands)) if commands else stage_table
 
 
+def stages_with_commands(queries: DataFrame, commands: list[str]) -> DataFrame:
+    """T9 from texts: the stages of the listed commands, with their position among all stages of the query.
+
+    A text that holds none of the words can't hold the commands, so only the others are taken apart.
+    """
+    lowered = F.lower("text")
+    named = reduce(lambda a, b: a | b, [lowered.contains(command) for command in commands])
+    return stages_by_command(stages(queries.filter(named)), commands)
+
+
 def unique_stages(queries: DataFrame, commands: list[str] | None = None) -> DataFrame:
     """The first occurrence of every distinct stage, in query order.
 
     ``stage_id`` is ``<query_id>.<n>``, n counting the stages that are new in that query. Only the first query of every
-    distinct text can contribute, so texts are reduced to that before they are taken apart; the first query of a stage
-    is an aggregation with map-side combine. The numbering window holds the stages of one query.
+    distinct text can contribute, so texts are reduced to that before they are taken apart; the first occurrence of a
+    stage is an aggregation with map-side combine. The numbering window holds the stages of one query.
     """
     first_of_text = queries.groupBy("text").agg(F.min("query_id").alias("query_id"))
     parsed = first_of_text.select("query_id", F.inline(text_functions.stages(F.col("text")))).select(
         "query_id", *_STAGE_COLUMNS
     )
     candidates = stages_by_command(parsed, commands).withColumn("key", text_functions.text_digest(F.col("stage_key")))
-    first_query = candidates.groupBy("key").agg(F.min("query_id").alias("query_id"))
-    in_first_query = candidates.join(first_query, ["key", "query_id"], "left_semi")
+    row = F.struct("query_id", *_STAGE_COLUMNS)
+    first = candidates.groupBy("key").agg(F.min_by(row, F.struct("query_id", "position")).alias("first")).select("first.*")
 
-    same_stage = Window.partitionBy("query_id", "key").orderBy("position")
     in_query = Window.partitionBy("query_id").orderBy("position")
-    return (
-        in_first_query.withColumn("occurrence", F.row_number().over(same_stage))
-        .filter(F.col("occurrence") == 1)
-        .withColumn("n", F.row_number().over(in_query) - 1)
-        .select(F.concat_ws(".", "query_id", "n").alias("stage_id"), "query_id", *_STAGE_COLUMNS)
+    return first.withColumn("n", F.row_number().over(in_query) - 1).select(
+        F.concat_ws(".", "query_id", "n").alias("stage_id"), "query_id", *_STAGE_COLUMNS
     )
 
 

@@ -6,6 +6,7 @@ A query takes ``(spark, sf_dir)``. Times are compared as integer microseconds, m
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,12 +108,15 @@ def _(spark, sf_dir):
 
 @query(
     "queries_with_session",
-    f"""{_WITH_SESSIONS_8H} SELECT q.query_id, q.user_id, sn.session_id
+    f"""{_WITH_SESSIONS_8H} SELECT q.query_id, q.text, q.ts_us, q.is_interactive, q.is_suspicious, q.execution_time,
+           q.search_type, q.user_id, sn.session_id
     FROM q LEFT JOIN s USING (query_id) LEFT JOIN sn ON sn.user_id = s.user_id AND sn.session_seq = s.session_seq""",
 )
 def _(spark, sf_dir):
     numbered = sessions.queries_with_session(testlog.queries(spark, sf_dir), gap_s=_HOUR8)
-    return numbered.select("query_id", "user_id", "session_id")
+    return _plain(numbered.withColumn("search_type", F.col("search_type"))).join(
+        numbered.select("query_id", "session_id"), "query_id"
+    )
 
 
 @query(
@@ -225,6 +229,25 @@ def _(spark, sf_dir):
     return select.queries_in_session(numbered, 5).select("query_id", "text", "session_id")
 
 
+@query(
+    "queries_in_session_uncleaned",
+    f"""{_WITH_SESSIONS_ALL} SELECT s.query_id, s.text, sn.session_id AS session_id_all
+    FROM s JOIN sn USING (user_id, session_seq) WHERE sn.session_id = 5""",
+)
+def _(spark, sf_dir):
+    rows = testlog.queries(spark, sf_dir)
+    numbered = sessions.number_sessions(sessions.sessionize(rows, _HOUR8, drop_suspicious=False))
+    numbered = numbered.withColumnRenamed("session_id", "session_id_all")
+    owned = sessions.attach_sessions(rows, numbered, _HOUR8, False, ("session_id_all",))
+    return select.queries_in_session(owned, 5, uncleaned=True).select("query_id", "text", "session_id_all")
+
+
+@query("sessions_of_user_uncleaned", f"{_WITH_SESSIONS_ALL} SELECT {_STATS} FROM ss WHERE user_id = 7")
+def _(spark, sf_dir):
+    stored = sessions.sessionize(testlog.queries(spark, sf_dir), _HOUR8, drop_suspicious=False)
+    return _session_columns(select.sessions_of_user(stored, 7))
+
+
 @query("sessions_of_user", f"{_WITH_SESSIONS_8H} SELECT {_STATS} FROM ss WHERE user_id = 7")
 def _(spark, sf_dir):
     stored = sessions.sessionize(testlog.queries(spark, sf_dir), gap_s=_HOUR8)
@@ -260,35 +283,25 @@ def _(spark, sf_dir):
 
 @query(
     "users_with_queries",
-    f"""WITH {QUERIES_SQL}, {USERS_SQL} SELECT u.user_id, name, query_id, ts_us, text, is_interactive AS interactive
-    FROM u LEFT JOIN q USING (user_id)""",
+    f"""WITH {QUERIES_SQL}, {USERS_SQL} SELECT u.user_id, name, case_id, user_type, query_id, ts_us, text, is_interactive,
+    is_suspicious, execution_time, search_type, is_interactive AS in_interactive_list FROM u LEFT JOIN q USING (user_id)""",
 )
 def _(spark, sf_dir):
-    nested = select.users_with_queries(testlog.users(spark, sf_dir), testlog.queries(spark, sf_dir))
-
-    def listed(part: str, flag: bool) -> Column:
-        return F.transform(part, lambda q: F.struct(q["query_id"], q["ts"], q["text"], F.lit(flag).alias("f")))
-
-    both = F.concat(listed("interactive", True), listed("noninteractive", False))
-    flat = nested.select("user_id", "name", F.explode_outer(both).alias("q"))
-    return flat.select(
-        "user_id", "name", "q.query_id", _us("q.ts").alias("ts_us"), "q.text", F.col("q.f").alias("interactive")
+    rows = testlog.queries(spark, sf_dir).select(
+        "query_id", "text", "ts", "is_interactive", "is_suspicious", "execution_time", "search_type", "user_id"
     )
+    return select.users_with_queries(testlog.users(spark, sf_dir), rows).withColumn("ts_us", _us("ts")).drop("ts")
 
 
 @query(
     "users_with_sessions",
     f"""{_WITH_SESSIONS_8H}, {USERS_SQL}
-    SELECT u.user_id, name, session_seq, query_id, coalesce(gap_us, CASE WHEN query_id IS NOT NULL THEN 0 END) / 1e6
-    AS delta_s FROM u LEFT JOIN s USING (user_id)""",
+    SELECT u.user_id, name, case_id, user_type, session_seq, query_id, ts_us, text,
+           coalesce(gap_us, CASE WHEN query_id IS NOT NULL THEN 0 END) / 1e6 AS delta_s FROM u LEFT JOIN s USING (user_id)""",
 )
 def _(spark, sf_dir):
-    nested = select.users_with_sessions(
-        testlog.users(spark, sf_dir), testlog.queries(spark, sf_dir), gap_s=_HOUR8
-    )
-    per_session = nested.select("user_id", "name", F.explode_outer("sessions").alias("s"))
-    flat = per_session.select("user_id", "name", "s.session_seq", F.explode_outer("s.queries").alias("q"))
-    return flat.select("user_id", "name", "session_seq", "q.query_id", "q.delta_s")
+    found = select.users_with_sessions(testlog.users(spark, sf_dir), testlog.queries(spark, sf_dir), gap_s=_HOUR8)
+    return found.withColumn("ts_us", _us("ts")).drop("ts")
 
 
 # --- Repeat-query groups ----------------------------------------------------------------------------------------------
@@ -355,7 +368,19 @@ _REPORT = "query_id, text, user_id, n_copies, n_copies_this_user, n_distinct_use
 
 @query("group_report", f"{_GROUPS_SQL} SELECT {_REPORT} FROM i JOIN m USING (text, user_id) WHERE n_copies > 1")
 def _(spark, sf_dir):
-    return _rounded(groups.group_report(testlog.queries(spark, sf_dir)))
+    return _rounded(groups.group_report(testlog.queries(spark, sf_dir)).drop("text_key"))
+
+
+@query(
+    "group_intervals",
+    f"""{_GROUPS_SQL} SELECT i.text, i.user_id, i.query_id, x / 1e6 AS interval_s FROM i JOIN m USING (text, user_id)
+    WHERE n_copies > 1 AND x IS NOT NULL""",
+)
+def _(spark, sf_dir):
+    """The intervals behind the rows of the report."""
+    rows = testlog.queries(spark, sf_dir)
+    reported = groups.group_report(rows).select("text_key", "text", "query_id")
+    return groups.interarrivals(rows).join(reported, ["text_key", "query_id"]).drop("text_key")
 
 
 @query(
@@ -418,12 +443,13 @@ def _(spark, sf_dir):
                  CASE WHEN min(x) IS NULL THEN 1000000 WHEN min(x) = max(x) THEN max(x) + 500000 ELSE max(x) END AS hi
           FROM v),
     h AS (SELECT least(((x - lo) * 1000) // (hi - lo), 999) AS bin, count(*) AS n FROM v, r GROUP BY 1)
-    SELECT bin, round((lo + (hi - lo) * bin / 1000.0) / 1e6, 6) AS from_s, coalesce(n, 0) AS n
+    SELECT bin, round((lo + (hi - lo) * bin / 1000.0) / 1e6, 6) AS from_s,
+           round((lo + (hi - lo) * (bin + 1) / 1000.0) / 1e6, 6) AS to_s, coalesce(n, 0) AS n
     FROM (SELECT range AS bin FROM range(1000)) LEFT JOIN h USING (bin), r""",
 )
 def _(spark, sf_dir):
     hist = userstats.interarrival_hist(testlog.users(spark, sf_dir), testlog.queries(spark, sf_dir))
-    return hist.select("bin", F.round("from_s", 6).alias("from_s"), "n")
+    return hist.select("bin", F.round("from_s", 6).alias("from_s"), F.round("to_s", 6).alias("to_s"), "n")
 
 
 # --- Query texts ------------------------------------------------------------------------------------------------------
@@ -532,7 +558,7 @@ def _(spark, sf_dir):
     WHERE command = 'addtotals'""",
 )
 def _(spark, sf_dir):
-    found = stages.stages_by_command(stages.stages(testlog.queries(spark, sf_dir)), ["addtotals"])
+    found = stages.stages_with_commands(testlog.queries(spark, sf_dir), ["addtotals"])
     return found.select("query_id", "position", text_functions.addtotals_kind(F.col("args")).alias("kind"))
 
 
@@ -584,6 +610,15 @@ def _(spark, sf_dir):
     return stages.command_counts(testlog.queries(spark, sf_dir))
 
 
+@query(
+    "eval_stages_piped_on",
+    f"{_TEXTS} SELECT text, position, stage_text FROM st WHERE command = 'eval' "
+    "AND EXISTS (SELECT 1 FROM ap WHERE ap.text = st.text AND ap.i = st.stop AND ap.v = '|')",
+)
+def _(spark, sf_dir):
+    return stages.eval_stages(testlog.queries(spark, sf_dir), drop_last=True)
+
+
 @query("eval_stages", f"{_TEXTS} SELECT text, position, stage_text FROM st WHERE command = 'eval'")
 def _(spark, sf_dir):
     return stages.eval_stages(testlog.queries(spark, sf_dir))
@@ -595,7 +630,7 @@ def _(spark, sf_dir):
     WHERE command IN ('stats', 'search')""",
 )
 def _(spark, sf_dir):
-    found = stages.stages_by_command(stages.stages(testlog.queries(spark, sf_dir)), ["stats", "search"])
+    found = stages.stages_with_commands(testlog.queries(spark, sf_dir), ["stats", "search"])
     return found.select("query_id", "position", "command", "stage_key")
 
 
@@ -651,16 +686,32 @@ def _(spark, sf_dir):
     return _log_columns(readers.read_csv_log(spark, path))
 
 
-@query("read_log_dir", f"WITH {EXPORT_SQL} SELECT {_LOG} FROM x")
+_BROKEN_SQL = "replace(text, ' | ', ' |' || chr(10) || ' ')"
+
+
+@query(
+    "read_log_dir",
+    f"""WITH {EXPORT_SQL} SELECT {_LOG.replace("case_id, text", f"CASE WHEN is_interactive THEN case_id END AS case_id, {_BROKEN_SQL} AS text")
+        .replace("is_realtime", "CASE WHEN is_interactive THEN is_realtime END AS is_realtime")}
+    FROM x""",
+)
 def _(spark, sf_dir):
+    """Files of two layouts, one of them also with its columns in another order; texts with line breaks."""
     path = scratch_path(spark, "log_dir")
-    export = testlog.export_2014(spark, sf_dir)
-    _write_csv(export.filter(F.col("search_type") == "adhoc"), f"{path}/a")
-    _write_csv(export.filter(F.col("search_type") != "adhoc"), f"{path}/b/nested")
+    broken = F.regexp_replace("search", "(?<=\\S) \\| ", " |\n ")
+    export = testlog.export_2014(spark, sf_dir).withColumn("search", broken)
+    adhoc, other = export.filter(F.col("search_type") == "adhoc"), export.filter(F.col("search_type") != "adhoc")
+    even = F.xxhash64("search_id") % 2 == 0
+    _write_csv(adhoc.filter(even), f"{path}/a")
+    _write_csv(adhoc.filter(~even).select(*reversed(export.columns)), f"{path}/a/reordered")
+    old = other.withColumnRenamed("search_type", "searchtype").drop("case_id", "is_realtime", "savedsearch_name")
+    _write_csv(old, f"{path}/b/nested")
     return _log_columns(readers.read_csv_log(spark, path))
 
 
-_JSON_LOG = "name, text, ts_us, is_interactive, execution_time, event_range, splunk_search_id"
+_JSON_LOG = (
+    "name, text, ts_us, is_interactive, execution_time, earliest_event, latest_event, event_range, splunk_search_id"
+)
 
 
 def _json_columns(log: readers.Log) -> DataFrame:
@@ -677,10 +728,15 @@ def _(spark, sf_dir):
 _RECORDS_SQL = f"""WITH {EXPORT_SQL},
 rec AS (SELECT CASE WHEN is_interactive THEN 'historical' ELSE 'other' END AS searchtype,
                CASE WHEN event_range IS NOT NULL THEN '60' END AS "range", '  ' || text || chr(9) AS search,
-               splunk_search_id AS search_id, name AS "user" FROM x)"""
+               splunk_search_id AS search_id, name AS "user", coalesce(earliest_event::BIGINT::VARCHAR, 'N/A') AS search_et,
+               coalesce(latest_event::BIGINT::VARCHAR, 'N/A') AS search_lt, execution_time::VARCHAR AS total_run_time,
+               strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS _time,
+               CASE WHEN event_id % 7 = 0 THEN 'failed ' || event_id END AS error,
+               (length(text) + 3)::VARCHAR AS searchlength FROM x)"""
+_RECORD = 'searchtype, "range", search, search_id, "user", search_et, search_lt, total_run_time, _time, error, searchlength'
 
 
-@query("combine_results", f'{_RECORDS_SQL} SELECT searchtype, "range", search, search_id, "user" FROM rec')
+@query("combine_results", f"{_RECORDS_SQL} SELECT {_RECORD} FROM rec")
 def _(spark, sf_dir):
     path = scratch_path(spark, "results")
     export = testlog.export_2012(spark, sf_dir)
@@ -688,29 +744,27 @@ def _(spark, sf_dir):
     export.filter(by_hand).write.json(f"{path}/1")
     export.filter(~by_hand).write.json(f"{path}/2")
     both = readers.read_json(spark, [f"{path}/1", f"{path}/2"], multi_line=False)
-    return both.select("searchtype", "range", "search", "search_id", "user")
+    return both.drop("$offset")
 
 
 @query(
     "record_unpivot",
-    f"""{_RECORDS_SQL} SELECT key, value FROM (UNPIVOT rec ON searchtype, "range", search, search_id, "user"
-    INTO NAME key VALUE value)""",
+    f"{_RECORDS_SQL} SELECT key, value FROM (UNPIVOT rec ON {_RECORD} INTO NAME key VALUE value)",
 )
 def _(spark, sf_dir):
-    records = testlog.export_2012(spark, sf_dir).select("searchtype", "range", "search", "search_id", "user")
-    return readers.record_unpivot(records)
+    return readers.record_unpivot(testlog.export_2012(spark, sf_dir))
 
 
 @query(
     "records_by_key",
     f"""{_RECORDS_SQL} SELECT 'search' AS key, search AS value FROM rec UNION ALL SELECT 'searchtype', searchtype FROM rec
-    UNION ALL SELECT 'range', "range" FROM rec WHERE "range" IS NOT NULL""",
+    UNION ALL SELECT 'range', "range" FROM rec WHERE "range" IS NOT NULL
+    UNION ALL SELECT 'error', error FROM rec WHERE error IS NOT NULL UNION ALL SELECT 'searchlength', searchlength FROM rec""",
 )
 def _(spark, sf_dir):
     pairs = readers.record_unpivot(testlog.export_2012(spark, sf_dir))
-    parts = [readers.records_by_key(pairs, key).select(F.lit(key).alias("key"), "value")
-             for key in ("search", "searchtype", "range")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [readers.records_by_key(pairs, key).select(F.lit(key).alias("key"), "value") for key in readers.RECORD_KEYS]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("user_identity", f"WITH {EXPORT_SQL} SELECT DISTINCT name, case_id FROM x")
@@ -811,15 +865,16 @@ def _(spark, sf_dir):
     f"""WITH {EXPORT_SQL}, un AS (SELECT name, case_id, CAST(row_number() OVER (ORDER BY name, case_id) AS BIGINT)
       AS user_id FROM (SELECT DISTINCT name, case_id FROM x))
     SELECT CAST(row_number() OVER (ORDER BY user_id, ts_us, text, event_id) AS BIGINT) AS query_id, user_id, name,
-           text, ts_us, is_interactive, execution_time, splunk_search_id, NULL::BIGINT AS session_id
+           case_id, text, ts_us, is_interactive, execution_time, earliest_event, latest_event, event_range, is_realtime,
+           search_type, splunk_search_id, NULL::BIGINT AS session_id
     FROM x JOIN un USING (name, case_id)""",
 )
 def _(spark, sf_dir):
     log = readers.normalize_log(testlog.export_2014(spark, sf_dir), "format_2014")
     stored = store.load_base(log, scratch_path(spark, "load_base"))
     return stored.queries.join(stored.users, "user_id").select(
-        "query_id", "user_id", "name", "text", _us("ts").alias("ts_us"), "is_interactive", "execution_time",
-        "splunk_search_id", "session_id",
+        "query_id", "user_id", "name", "case_id", "text", _us("ts").alias("ts_us"), "is_interactive", "execution_time",
+        "earliest_event", "latest_event", "event_range", "is_realtime", "search_type", "splunk_search_id", "session_id",
     )
 
 
@@ -869,30 +924,43 @@ def _(spark, sf_dir):
     return spark.read.schema(rows.schema).json(path)
 
 
+_DOCUMENT = (
+    "user_id bigint, name string, session bigint, start_us bigint, n_queries bigint, query_id bigint, time_us bigint, "
+    "delta double, text string"
+)
+
+
 @query(
     "users_json",
     f"""{_WITH_SESSIONS_8H}, {USERS_SQL}
-    SELECT u.user_id, name, session_seq AS session_id, count(s.query_id) AS n_queries,
-           round(sum(coalesce(gap_us, CASE WHEN query_id IS NOT NULL THEN 0 END) / 1e6), 6) AS delta_sum,
-           min(ts_us) AS start_us
-    FROM u LEFT JOIN s USING (user_id) GROUP BY ALL""",
+    SELECT 'user' AS kind, user_id, name, NULL::BIGINT AS session, NULL::BIGINT AS start_us, NULL::BIGINT AS n_queries,
+           NULL::BIGINT AS query_id, NULL::BIGINT AS time_us, NULL::DOUBLE AS delta, NULL::VARCHAR AS text FROM u
+    UNION ALL SELECT 'session', user_id, name, session_seq, start_us, n_queries, NULL, NULL, NULL, NULL
+    FROM ss JOIN u USING (user_id)
+    UNION ALL SELECT 'query', user_id, NULL, session_seq, NULL, NULL, query_id, ts_us, coalesce(gap_us, 0) / 1e6, text
+    FROM s JOIN u USING (user_id)""",
 )
 def _(spark, sf_dir):
     documents = store.users_json(testlog.users(spark, sf_dir), testlog.queries(spark, sf_dir), gap_s=_HOUR8)
-    layout = (
-        "name string, sessions array<struct<id:bigint, user:string, "
-        "queries:array<struct<delta:double, time:decimal(20,6), text:string>>>>"
-    )
-    parsed = documents.select("user_id", F.from_json("json", layout).alias("d"))
-    per_session = parsed.select("user_id", "d.name", F.explode_outer("d.sessions").alias("s"))
-    return per_session.select(
-        "user_id",
-        "name",
-        F.col("s.id").alias("session_id"),
-        F.greatest(F.size("s.queries"), F.lit(0)).cast("long").alias("n_queries"),
-        F.round(F.aggregate("s.queries.delta", F.lit(0.0), lambda a, d: a + d), 6).alias("delta_sum"),
-        (F.array_min("s.queries.time") * 1_000_000).cast("long").alias("start_us"),
-    )
+    return documents.select("kind", F.from_json("json", _DOCUMENT).alias("d")).select("kind", "d.*")
+
+
+_STORED = "text string, is_interactive boolean, is_suspicious boolean, execution_time double, search_type string"
+
+
+@query(
+    "users_json_verbose",
+    f"""WITH {QUERIES_SQL}, {USERS_SQL}
+    SELECT 'user' AS kind, user_id, name, NULL::BIGINT AS query_id, NULL::BIGINT AS time_us, NULL::VARCHAR AS text,
+           NULL::BOOLEAN AS is_interactive, NULL::BOOLEAN AS is_suspicious, NULL::DOUBLE AS execution_time,
+           NULL::VARCHAR AS search_type FROM u
+    UNION ALL SELECT 'query', user_id, NULL, query_id, ts_us, text, is_interactive, is_suspicious, execution_time, search_type
+    FROM q JOIN u USING (user_id)""",
+)
+def _(spark, sf_dir):
+    documents = store.users_json_verbose(testlog.users(spark, sf_dir), testlog.queries(spark, sf_dir))
+    layout = f"user_id bigint, name string, query_id bigint, time_us bigint, {_STORED}"
+    return documents.select("kind", F.from_json("json", layout).alias("d")).select("kind", "d.*")
 
 
 @query(

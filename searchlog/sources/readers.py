@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +21,10 @@ from searchlog.functions.normalize import (
 from searchlog.operators.ids import with_sequential_ids
 
 # The fields of a 2012 export. Records may lack any of them.
-JSON_FIELDS = (
-    "$offset _time error range search search_et search_id search_lt searchlength searchtype total_run_time user"
-).split()
+JSON_FIELDS = [
+    "$offset", "_time", "error", "range", "search", "search_et", "search_id", "search_lt", "searchlength",
+    "searchtype", "total_run_time", "user",
+]
 JSON_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in JSON_FIELDS])
 
 # What each kind of record value is called in an export.
@@ -41,20 +43,36 @@ class BaseTables(NamedTuple):
     queries: DataFrame
 
 
-def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
-    """Raw CSV export, every column a string, columns bound by the header's names.
+def _csv_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
 
-    A directory is read recursively for ``*.csv``. Files must share one layout; read layouts separately. ``multi_line``
-    allows line breaks inside quotes at the price of unsplittable files.
+
+def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+    """Raw CSV export(s), every column a string, bound by the header of each file.
+
+    A directory is read recursively for ``*.csv``. Files are read together with those of the same header, and headers are
+    combined by column name, so that layouts and column orders may mix. What the driver holds is a path for each file.
+    ``multi_line=False`` lets files be split, and fails if a quoted field goes over lines.
     """
-    return (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv")
-        .csv(path)
-    )
+    lines = _csv_lines(spark, path)
+    if not multi_line:
+        quotes = F.regexp_count("value", F.lit('"'))
+        if not lines.filter(quotes % 2 == 1).isEmpty():
+            raise ValueError("a quoted field goes over lines; read with multi_line=True")
+    headers = lines.groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    files: dict[str, list[str]] = {}
+    for row in headers.sort("file").collect():
+        files.setdefault(row["header"], []).append(row["file"])
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    if not files:
+        return spark.createDataFrame([], T.StructType())
+    parts = []
+    for same in files.values():
+        part = reader.csv(same)
+        # An empty cell is an empty name or text; one that a layout has no column for is none.
+        parts.append(part.na.fill("", [c for c in ("user", "case_id", "search") if c in part.columns]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_json(
@@ -75,17 +93,17 @@ def read_json(
 
 
 def normalize_log(raw: DataFrame, version: str, wall_clock: bool = False) -> Log:
-    """N1-N8 over raw rows of any layout; columns a layout lacks become null.
+    """N1-N8 over raw rows of any layout; columns a layout lacks become null, and without a user column all is one user's.
 
-    ``input_row`` keeps the encounter order. Rows without a readable time or without a text go to ``rejects``.
+    ``input_row`` keeps the encounter order. Rows without a readable time or without a text go to ``rejects``; an empty text
+    is a text.
     """
-    has_user = "user" in raw.columns
+    name = first_present(raw, "user")
     search_type = first_present(raw, "searchtype", "search_type")
     realtime = first_present(raw, "is_realtime")
     rows = raw.select(
-        # An empty cell is an empty name, not a missing one.
-        (F.coalesce("user", F.lit("")) if has_user else F.lit(None).cast("string")).alias("name"),
-        (F.coalesce("case_id", F.lit("")) if "case_id" in raw.columns else F.lit(None).cast("string")).alias("case_id"),
+        name.alias("name"),
+        F.when(name.isNotNull(), first_present(raw, "case_id")).alias("case_id"),
         clean_text(first_present(raw, "search")).alias("text"),
         parse_time(first_present(raw, "_time"), wall_clock).alias("ts"),
         interactive_flag(search_type, version).alias("is_interactive"),
@@ -111,9 +129,9 @@ def read_csv_log(
     path: str | list[str],
     version: str = "format_2014",
     wall_clock: bool = False,
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> Log:
-    """A CSV log in the 2013 or 2014 layout."""
+    """A CSV log in the 2013 or 2014 layout, or in both."""
     return normalize_log(read_csv(spark, path, multi_line), version, wall_clock)
 
 

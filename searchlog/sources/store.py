@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchlog import schemas
 from searchlog.operators import stages as stage_operators
-from searchlog.operators.select import users_with_sessions
+from searchlog.operators.select import user_sessions
 from searchlog.operators.sessions import SESSION_GAP_S, attach_sessions, number_sessions, sessionize
-from searchlog.operators.slices import nest, with_children
 from searchlog.sources.readers import BaseTables, Log, base_tables
 
 
@@ -92,8 +91,8 @@ def read_jdbc(
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, options: dict[str, str] | None = None, connections: int = 8) -> None:
-    """Write to a relational store over a limited number of connections."""
-    df.coalesce(connections).write.format("jdbc").options(url=url, dbtable=table, **(options or {})).mode(
+    """Write to a relational store over a limited number of connections; the rows are computed in as many tasks as ever."""
+    df.repartition(connections).write.format("jdbc").options(url=url, dbtable=table, **(options or {})).mode(
         "append"
     ).save()
 
@@ -103,41 +102,38 @@ def json_sink(df: DataFrame, path: str, max_records_per_file: int = 100_000) ->
     df.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file).json(path)
 
 
+def _documents(kind: str, rows: DataFrame, *fields: Column | str) -> DataFrame:
+    return rows.select(F.lit(kind).alias("kind"), "user_id", F.to_json(F.struct(*fields)).alias("json"))
+
+
 def users_json(
-    users: DataFrame, queries: DataFrame, gap_s: float = SESSION_GAP_S, drop_suspicious: bool = True, limit: int = 1000
+    users: DataFrame, queries: DataFrame, gap_s: float = SESSION_GAP_S, drop_suspicious: bool = True
 ) -> DataFrame:
-    """One JSON document per user: name and sessions, each session with its queries (delta, time, text).
+    """S12 as JSON lines: a document for each user, each of their sessions and each query in those.
 
-    Users beyond ``limit`` queries come in several documents, see ``users_with_sessions``.
+    Every document names its parents, so none grows with the log: a session its user, a query its user and session. A query
+    has its time in microseconds and ``delta``, the seconds since the query before.
     """
-    nested = users_with_sessions(users, queries, gap_s, drop_suspicious, limit)
-    sessions = F.transform(
-        "sessions",
-        lambda s: F.struct(
-            s["session_seq"].alias("id"),
-            F.col("name").alias("user"),
-            F.transform(
-                s["queries"],
-                lambda q: F.struct(
-                    q["delta_s"].alias("delta"),
-                    (F.unix_micros(q["ts"]) / 1_000_000).alias("time"),
-                    q["text"].alias("text"),
-                ),
-            ).alias("queries"),
-        ),
+    named = users.select("user_id", "name")
+    rows = user_sessions(queries, gap_s, drop_suspicious).join(named, "user_id")
+    sessions = rows.groupBy("user_id", "name", "session_seq").agg(
+        F.min(F.unix_micros("ts")).alias("start_us"), F.count("*").alias("n_queries")
     )
-    document = F.to_json(F.struct("name", sessions.alias("sessions")))
-    return nested.select("user_id", "chunk", "part", document.alias("json"))
-
-
-def users_json_verbose(users: DataFrame, queries: DataFrame, limit: int = 1000) -> DataFrame:
-    """S12, verbose: one JSON document per user with every query and all its stored fields."""
-    owned = queries.filter(F.col("user_id").isNotNull())
-    fields = [c for c in queries.columns if c not in ("user_id", "query_id", "ts")]
-    nested = nest(owned, ["user_id"], fields, "queries", limit=limit)
-    return with_children(users, nested, "user_id", owned).select(
-        "user_id",
-        F.coalesce("chunk", F.lit(0)).alias("chunk"),
-        "part",
-        F.to_json(F.struct("name", F.coalesce("queries", F.array()).alias("queries"))).alias("json"),
+    session = F.col("session_seq").alias("session")
+    return (
+        _documents("user", named, "user_id", "name")
+        .unionByName(_documents("session", sessions, "user_id", "name", session, "start_us", "n_queries"))
+        .unionByName(
+            _documents(
+                "query", rows, "user_id", session, "query_id", F.unix_micros("ts").alias("time_us"),
+                F.col("delta_s").alias("delta"), "text",
+            )
+        )
     )
+
+
+def users_json_verbose(users: DataFrame, queries: DataFrame) -> DataFrame:
+    """S12, verbose, as JSON lines: a document for each user and one for each of their queries with all its stored fields."""
+    owned = queries.join(users.select("user_id"), "user_id")
+    fields = [F.unix_micros("ts").alias("time_us"), *[c for c in queries.columns if c != "ts"]]
+    return _documents("user", users, "user_id", "name").unionByName(_documents("query", owned, *fields))

@@ -133,7 +133,7 @@ def test_adaptive_execution_can_split_the_hot_side(spark, frame, name):
         built = {
             "sessions": lambda: sessions.attach_sessions(spread),
             "groups": lambda: groups.query_groups(spread),
-            "users": lambda: select.user_queries(users, spread),
+            "users": lambda: select.users_with_queries(users, spread),
         }[name]()
         assert "skew=true" in _final_plan(built)
 

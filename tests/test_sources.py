@@ -13,24 +13,24 @@ from searchlog.runtime import scratch_root
 from searchlog.sources import audit, readers, store
 
 CSV_2014 = """case_id,search_type,is_realtime,search_id,user,search,savedsearch_name,search_et,search_lt,range,total_run_time,_time
-c1,adhoc,false,1.1,ann,"  search a, b | stats count ",,N/A,N/A,,0.54,2014-01-13T03:47:33.910-0800
-c1,scheduled,true,1.2,ann,"search ""quoted"" | head",saved,100,160,60,1.5f,2014-01-13T03:48:33.910-0800
-c2,adhoc,maybe,1.3,ann,search c,,1e2,160.5,60.5,2,2014-01-13T04:00:00.000-0800
-c2,adhoc,false,1.4,,search d,,,,,,2014-01-13T05:00:00.000-0800
+c1,adhoc,false,1.1,ann,"  search a, b | stats count ",,N/A,N/A,,0.75,2014-02-03T09:10:11.120-0800
+c1,scheduled,true,1.2,ann,"search ""quoted"" | head",saved,100,160,60,1.5f,2014-02-03T09:12:11.120-0800
+c2,adhoc,maybe,1.3,ann,search c,,1e2,160.5,60.5,2,2014-02-03T10:00:00.000-0800
+c2,adhoc,false,1.4,,search d,,,,,,2014-02-03T11:00:00.000-0800
 """
 
 CSV_2013 = """searchtype,range,search_lt,search_et,search,search_id,user,total_run_time,_time
 searchtype,range,search_lt,search_et,search,search_id,ann,total_run_time,_time
-historical,60.000000000,160.000000000,100.000000000,search a,1.1,ann,2.21,2013-04-01T00:01:00.033-0700
-scheduled,,N/A,100.000000000,search b,1.2,bob,5.00,2013-04-01T00:02:00.036-0700
+historical,60.000000000,160.000000000,100.000000000,search a,1.1,ann,3.25,2013-06-05T08:01:00.250-0700
+scheduled,,N/A,100.000000000,search b,1.2,bob,4.50,2013-06-05T08:03:00.500-0700
 """
 
 JSON_2012 = [
-    {"$offset": "1", "search": " search a ", "searchtype": "historical", "_time": "2012-03-02T13:50:08.574-08:00",
+    {"$offset": "1", "search": " search a ", "searchtype": "historical", "_time": "2012-11-20T07:30:01.125-08:00",
      "user": "ann", "range": "60.0", "search_et": "N/A", "total_run_time": "1.5", "search_id": "x1"},
-    {"$offset": "2", "search": "search b", "searchtype": "other", "_time": "2012-03-02T13:51:08.574-08:00", "user": "ann"},
-    {"$offset": "3", "search": "search c", "searchtype": "other", "_time": "2012-03-02T13:51:08.574-08:00"},
-    {"$offset": "4", "error": "failed", "user": "ann", "_time": "2012-03-02T13:51:08.574-08:00"},
+    {"$offset": "2", "search": "search b", "searchtype": "other", "_time": "2012-11-20T07:31:02.125-08:00", "user": "ann"},
+    {"$offset": "3", "search": "search c", "searchtype": "other", "_time": "2012-11-20T07:31:02.125-08:00"},
+    {"$offset": "4", "error": "failed", "user": "ann", "_time": "2012-11-20T07:31:02.125-08:00"},
 ]
 
 
@@ -50,13 +50,13 @@ def test_csv_2014(spark, folder):
     assert log.rejects.count() == 0
     a, b, c, d = log.rows.orderBy("splunk_search_id").collect()
     assert (a["text"], a.name, a.case_id, a.is_interactive) == ("search a, b | stats count", "ann", "c1", True)
-    assert (a.execution_time, a.earliest_event, a.event_range, a.is_realtime) == (0.54, None, None, False)
+    assert (a.execution_time, a.earliest_event, a.event_range, a.is_realtime) == (0.75, None, None, False)
     assert (b["text"], b.is_interactive, b.is_realtime, b.saved_search_name) == ('search "quoted" | head', False, True, "saved")
     assert (b.execution_time, b.earliest_event, b.latest_event, b.event_range) == (None, 100.0, 160.0, 60.0)
     assert (c.is_realtime, c.is_realtime_raw, c.earliest_event, c.latest_event) == (None, "maybe", 100.0, 160.5)
     assert d.name == ""
     first = log.rows.filter("splunk_search_id = '1.1'").select(F.unix_micros("ts")).first()[0]
-    assert first == 1389613653_910000
+    assert first == 1391447411_120000
 
 
 def test_csv_2013_rejects_the_stray_header(spark, folder):
@@ -64,7 +64,7 @@ def test_csv_2013_rejects_the_stray_header(spark, folder):
     assert [r.time_raw for r in log.rejects.collect()] == ["_time"]
     rows = log.rows.orderBy("splunk_search_id").collect()
     assert [(r.name, r.case_id, r.is_interactive, r.execution_time) for r in rows] == [
-        ("ann", None, True, 2.21), ("bob", None, False, 5.0)
+        ("ann", None, True, 3.25), ("bob", None, False, 4.5)
     ]
 
 
@@ -86,7 +86,7 @@ def test_directory_merges_users_over_files(spark, folder):
 
 def test_wall_clock_drops_the_offset(spark, folder):
     log = readers.read_csv_log(spark, str(folder / "csv/a.csv"), wall_clock=True)
-    assert log.rows.agg(F.min(F.unix_micros("ts"))).first()[0] == (1389613653 - 8 * 3600) * 10**6 + 910000
+    assert log.rows.agg(F.min(F.unix_micros("ts"))).first()[0] == (1391447411 - 8 * 3600) * 10**6 + 120000
 
 
 def test_records(spark, folder):
@@ -172,30 +172,51 @@ def test_json_sink_rolls_files(spark, tmp_path):
 def test_user_documents(spark):
     users = testlog.users(spark, "/root/testdata/sf0.001")
     queries = testlog.queries(spark, "/root/testdata/sf0.001")
-    documents = {r.user_id: json.loads(r.json) for r in store.users_json(users, queries).collect()}
-    assert len(documents) == users.count()
-    in_sessions = sum(len(s["queries"]) for d in documents.values() for s in d["sessions"])
-    assert in_sessions == sessions.session_input(queries).count()
-    some = next(d for d in documents.values() if d["sessions"])
-    assert set(some) == {"name", "sessions"} and set(some["sessions"][0]) == {"id", "user", "queries"}
-    assert set(some["sessions"][0]["queries"][0]) == {"delta", "time", "text"}
-    verbose = store.users_json_verbose(users, queries).collect()
-    assert sum(len(json.loads(r.json)["queries"]) for r in verbose) == queries.count()
-
-
-def test_nested_users_in_chunks_hold_every_query(spark):
-    users = testlog.users(spark, "/root/testdata/sf0.001")
-    queries = testlog.queries(spark, "/root/testdata/sf0.001").withColumn("user_id", F.lit(3).cast("long"))
-    whole = select.users_with_queries(users, queries).filter("user_id = 3").collect()
-    parts = select.users_with_queries(users, queries, limit=50).filter("user_id = 3").orderBy("chunk").collect()
-    assert len(whole) == 1 and len(parts) == 20
-    assert max(len(p.queries) for p in parts) <= 100
-    ids = [q.query_id for p in parts for q in p.queries]
-    assert ids == [q.query_id for q in whole[0].queries] and len(ids) == 1000
-    at_once = queries.withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
-    spread = select.users_with_queries(users, at_once, limit=50).filter("user_id = 3").collect()
-    assert sum(len(p.queries) for p in spread) == 1000 and len(spread) == 20
-    assert select.users_with_queries(users, queries).count() == users.count()
+    rows = [(r.kind, json.loads(r.json)) for r in store.users_json(users, queries).collect()]
+    of = {kind: [d for k, d in rows if k == kind] for kind in ("user", "session", "query")}
+    assert len(of["user"]) == users.count()
+    assert len(of["query"]) == sessions.session_input(queries).count() == sum(d["n_queries"] for d in of["session"])
+    assert {(d["user_id"], d["session"]) for d in of["query"]} == {(d["user_id"], d["session"]) for d in of["session"]}
+    assert set(of["query"][0]) == {"user_id", "session", "query_id", "time_us", "delta", "text"}
+    verbose = store.users_json_verbose(users, queries)
+    assert verbose.filter("kind = 'query'").count() == queries.count()
+
+
+@pytest.mark.parametrize("n", [10, 10_000])
+def test_users_have_one_shape_at_every_size(spark, n):
+    users = spark.createDataFrame([(3, "ann", "c", None), (4, "bob", "c", None)], schemas.USERS)
+    rows = spark.range(n).select(
+        F.col("id").alias("query_id"), F.lit("search a").alias("text"), F.timestamp_seconds(F.col("id") * 60).alias("ts"),
+        F.lit(True).alias("is_interactive"), F.lit(3).cast("long").alias("user_id"),
+    )
+    queries = schemas.conform(rows, schemas.QUERIES)
+    flat = select.users_with_queries(users, queries)
+    assert flat.count() == n + 1 and flat.filter("user_id = 3").select("query_id").distinct().count() == n
+    nested = select.users_with_sessions(users, queries)
+    assert nested.columns == [*select.USER_COLUMNS, *select.SESSION_QUERY_COLUMNS]
+    assert nested.groupBy("user_id", "session_seq").count().filter("user_id = 3").collect()[0]["count"] == n
+    assert store.users_json(users, queries).groupBy("kind").count().collect()
+
+
+def test_csv_files_keep_their_own_headers_and_line_breaks(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log/a.csv").write_text(
+        'case_id,search_type,user,search,_time\nc1,adhoc,ann,"search a\n| head 5",2014-02-03T09:10:11.120-0800\n'
+    )
+    (tmp_path / "log/b.csv").write_text(
+        "user,search,search_type,case_id,_time\nbob,,adhoc,c2,2014-02-03T09:10:12.120-0800\n"
+        "bob,   ,adhoc,c2,2014-02-03T09:10:13.120-0800\n"
+    )
+    (tmp_path / "log/c.csv").write_text("search,case_id,_time\nsearch c,c3,2014-02-03T09:10:14.120-0800\n")
+    log = readers.read_csv_log(spark, str(tmp_path / "log"))
+    assert log.rejects.count() == 0
+    found = [(r.name, r.case_id, r["text"]) for r in log.rows.orderBy("ts").collect()]
+    # A layout without users has one user, whatever its cases; an empty text is a text.
+    assert found == [("ann", "c1", "search a\n| head 5"), ("bob", "c2", ""), ("bob", "c2", ""), (None, None, "search c")]
+    with pytest.raises(ValueError):
+        readers.read_csv_log(spark, str(tmp_path / "log"), multi_line=False)
+    split = readers.read_csv_log(spark, [str(tmp_path / "log/b.csv")], multi_line=False)
+    assert split.rows.count() == 2
 
 
 def test_marks_and_lists(spark):
@@ -224,7 +245,7 @@ def test_query_types(spark):
 def test_flat_users_keep_those_without_queries(spark):
     users = spark.createDataFrame([(1, "a", None, None), (2, "b", None, None)], schemas.USERS)
     queries = spark.createDataFrame([(7, 1, True), (8, 1, None)], "query_id long, user_id long, is_interactive boolean")
-    rows = select.user_queries(users, queries).collect()
+    rows = select.users_with_queries(users, queries).collect()
     assert sorted((r.user_id, r.query_id or 0, r.in_interactive_list) for r in rows) == [
         (1, 7, True), (1, 8, False), (2, 0, None)
     ]
