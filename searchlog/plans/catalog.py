@@ -1009,3 +1009,24 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     return audit.audit_to_log_2012(testlog.audit_events(spark, sf_dir)).withColumn("ts_us", _us("_time")).drop("_time")
+
+
+# --- Dense times ------------------------------------------------------------------------------------------------------
+# The events of a user lie hours apart. With a clock that runs 600 times faster, sessions hold many queries and intervals
+# fill the histogram.
+
+_SLOW, _FAST = "epoch_us(ts) AS ts_us", f"{testlog.EPOCH_US} + (epoch_us(ts) - {testlog.EPOCH_US}) // 600 AS ts_us"
+_DENSE = [
+    "session_stats", "sessionize_30m", "sessionize_uncleaned", "query_deltas", "queries_with_session", "sessions_multi",
+    "users_with_sessions", "interarrivals", "group_entropy", "group_consistency", "group_clockness", "group_report",
+    "user_interarrivals", "interarrival_counts", "interarrival_hist",
+]
+
+
+def _dense(function: Query) -> Query:
+    return lambda spark, sf_dir: function(spark, testlog.dense_tables(spark, sf_dir, 600))
+
+
+for _name in _DENSE:
+    assert _SLOW in ORACLES[_name]
+    query(f"{_name}_dense", ORACLES[_name].replace(_SLOW, _FAST))(_dense(QUERIES[_name]))

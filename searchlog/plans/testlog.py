@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from searchlog import schemas
 from searchlog.operators.select import mark_suspicious_queries, mark_suspicious_users
+from searchlog.runtime import scratch_path
 
 TEMPLATES = (
     "search index=web status=500 | stats count by host",
@@ -59,6 +60,21 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").withColumn("ts", F.timestamp_micros(seconds * 1_000_000 + second_us))
 
 
+EPOCH_US = 1_704_067_200_000_000
+
+
+def dense_tables(spark: SparkSession, sf_dir: str, faster: int) -> str:
+    """A folder with the users' table and the events, whose times since the start of 2024 are divided by ``faster``."""
+    path = scratch_path(spark, "dense")
+    since = F.call_function("div", F.unix_micros("ts") - EPOCH_US, F.lit(faster))
+    seconds = (since / F.lit(1_000_000).cast("decimal(10,0)")).cast("decimal(18,6)")
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    moved = start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+    events(spark, sf_dir).withColumn("ts", moved).write.parquet(f"{path}/events.parquet")
+    read(spark, sf_dir, "customer").write.parquet(f"{path}/customer.parquet")
+    return path
+
+
 def template_text() -> Column:
     return F.get(F.array(*[F.lit(t) for t in TEMPLATES]), (F.col("event_id") % 10).cast("int"))
 
