@@ -130,8 +130,7 @@ def fit(samples: list[list[bytes]], labels: list[int], epochs: int = EPOCHS) ->
     if not samples:
         return net
     rng, adam = np.random.default_rng(SEED), _Adam()
-    rows = CHUNK_STEPS + 2
-    cells = [np.stack([_fixed(net.cells(c), rows) for c in s]) if s else np.zeros((0, rows, WIDTH // 2), np.float32) for s in samples]
+    chunks = [_padded(sample) for sample in samples]
     y = np.array(labels, np.float32)
     parameters = {"filters": net.filters, "offsets": net.offsets, "layer": net.layer, "bias": np.zeros(1, np.float32)}
     parameters["bias"][0] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
@@ -141,7 +140,7 @@ def fit(samples: list[list[bytes]], labels: list[int], epochs: int = EPOCHS) ->
             chosen = order[start : start + BATCH]
             gradients = {name: np.zeros_like(p) for name, p in parameters.items()}
             for i in chosen:
-                _add_gradients(net, parameters, gradients, cells[i], y[i])
+                _add_gradients(net, parameters, gradients, _BYTES[chunks[i]].reshape(*chunks[i].shape[:2], -1), y[i])
             for name, g in gradients.items():
                 g /= len(chosen)
                 if name == "layer":
@@ -151,10 +150,12 @@ def fit(samples: list[list[bytes]], labels: list[int], epochs: int = EPOCHS) ->
     return net
 
 
-def _fixed(cells: np.ndarray, rows: int) -> np.ndarray:
-    out = np.zeros((rows, cells.shape[1]), np.float32)
-    out[: min(rows, len(cells))] = cells[:rows]
-    return out
+def _padded(sample: list[bytes]) -> np.ndarray:
+    """Bytes by chunk and step, padded with zeros; a few of them become vectors at a time."""
+    out = np.zeros((len(sample), (CHUNK_STEPS + 2) * STEP), np.uint8)
+    for row, chunk in zip(out, sample):
+        row[: len(chunk)] = np.frombuffer(chunk, np.uint8)
+    return out.reshape(len(sample), CHUNK_STEPS + 2, STEP)
 
 
 def _add_gradients(net: Network, parameters: dict, gradients: dict, cells: np.ndarray, label: float) -> None:

@@ -53,8 +53,8 @@ def findings(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
         lambda i: F.struct(
             i.alias("place"),
             F.get("words", i).alias("word"),
-            F.coalesce(F.get("words", F.greatest(i - 1, F.lit(0))), F.lit("")).alias("before"),
-            F.coalesce(F.get("words", F.greatest(i - 2, F.lit(0))), F.lit("")).alias("before2"),
+            F.coalesce(F.get("words", i - 1), F.lit("")).alias("before"),
+            F.coalesce(F.get("words", i - 2), F.lit("")).alias("before2"),
             F.coalesce(F.get("words", i + 1), F.lit("")).alias("after"),
         ),
     )
