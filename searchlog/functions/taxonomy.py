@@ -59,5 +59,5 @@ def category_of(command: Column) -> Column:
     """The category of a command name, null when unknown: constant sets, so neither a join nor a shuffle."""
     found = F.when(F.lit(False), F.lit(None).cast("string"))
     for category, commands in CATEGORY_COMMANDS.items():
-        found = found.when(command.isin(commands.split(", ")), category)
+        found = found.when(command.isin(commands), category)
     return found

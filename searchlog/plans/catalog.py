@@ -457,6 +457,7 @@ def _(spark, sf_dir):
 _TAXONOMY_SQL = (
     "tax(command, category) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in sorted(COMMAND_CATEGORY.items())) + ")"
 )
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
 _ATOM_SQL = r"""(?s)\s*(?:"(?:[^"\\]|\\.)*"|`[^`]*`|[\[\]|]|[^"`\[\]|\s][^"`\[\]|]*|["`])"""
 
 
@@ -466,7 +467,7 @@ def _texts_sql(source: str) -> str:
 tx AS (SELECT DISTINCT text FROM ({source}) WHERE text IS NOT NULL),
 ax AS (SELECT text, unnest(range(len(a))) AS i, unnest(a) AS raw
        FROM (SELECT text, regexp_extract_all(text, '{_ATOM_SQL}') AS a FROM tx)),
-av AS (SELECT *, trim(raw, chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) AS v FROM ax),
+av AS (SELECT *, trim(raw, {_BLANKS}) AS v FROM ax),
 ad AS (SELECT *, lag(v) OVER w AS prev, count(*) OVER (PARTITION BY text) AS n_atoms,
               sum(CASE v WHEN '[' THEN 1 WHEN ']' THEN -1 ELSE 0 END) OVER w AS after
        FROM av WINDOW w AS (PARTITION BY text ORDER BY i)),
@@ -486,9 +487,9 @@ se AS (SELECT b.text, b.i, coalesce(min(e.i), any_value(b.n_atoms)) AS stop
        GROUP BY b.text, b.i),
 st AS (SELECT wc.text, (row_number() OVER (PARTITION BY wc.text ORDER BY wc.i) - 1)::INTEGER AS position,
               wc.depth::INTEGER AS depth, wc.command,
-              wc.token_class, wc.word, se.stop, trim(z.stage_text) AS stage_text,
-              trim(substr(trim(z.stage_text), length(wc.word) + 1)) AS args,
-              lower(wc.word) || substr(trim(z.stage_key), length(wc.word) + 1) AS stage_key
+              wc.token_class, wc.word, se.stop, trim(z.stage_text, {_BLANKS}) AS stage_text,
+              trim(substr(trim(z.stage_text, {_BLANKS}), length(wc.word) + 1), {_BLANKS}) AS args,
+              lower(wc.word) || substr(trim(z.stage_key, {_BLANKS}), length(wc.word) + 1) AS stage_key
        FROM wc JOIN se USING (text, i) JOIN (
          SELECT se.text, se.i, string_agg(p.raw, '' ORDER BY p.i) AS stage_text,
                 string_agg(CASE WHEN p.v LIKE '`%' OR p.v LIKE '"%' THEN regexp_replace(p.raw, '^\\s+', ' ')
@@ -507,8 +508,8 @@ _STAGE = "position, depth, command, token_class, args, stage_text, stage_key"
       SELECT text, i, 0 AS k, CASE v WHEN '|' THEN 'PIPE' WHEN '[' THEN 'LBRACKET' WHEN ']' THEN 'RBRACKET'
              ELSE 'ARGS' END AS token_class, v AS value FROM ap WHERE NOT starts
       UNION ALL SELECT text, i, 0, token_class, word FROM wc
-      UNION ALL SELECT text, i, 1, 'ARGS', trim(substr(v, length(word) + 1)) FROM wc
-                WHERE trim(substr(v, length(word) + 1)) <> ''),
+      UNION ALL SELECT text, i, 1, 'ARGS', trim(substr(v, length(word) + 1), {_BLANKS}) FROM wc
+                WHERE trim(substr(v, length(word) + 1), {_BLANKS}) <> ''),
     tp AS (SELECT *, (row_number() OVER (PARTITION BY text ORDER BY i, k) - 1)::INTEGER AS position FROM tk)
     SELECT query_id, position, token_class, value FROM q JOIN tp USING (text)""",
 )
@@ -1030,3 +1031,25 @@ def _dense(function: Query) -> Query:
 for _name in _DENSE:
     assert _SLOW in ORACLES[_name]
     query(f"{_name}_dense", ORACLES[_name].replace(_SLOW, _FAST))(_dense(QUERIES[_name]))
+
+
+# --- Texts of every kind ----------------------------------------------------------------------------------------------
+
+_OF_TEXTS = {
+    "tokens": stages.query_tokens,
+    "stage_split": stages.query_splits,
+    "commands": stages.query_commands,
+    "categories": stages.query_categories,
+    "stages": stages.stages,
+    "command_counts": stages.command_counts,
+    "eval_stages": stages.eval_stages,
+    "unique_stages": stages.unique_stages,
+}
+
+
+def _of_texts(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(testlog.text_queries(spark, sf_dir))
+
+
+for _name, _operator in _OF_TEXTS.items():
+    query(f"{_name}_of_texts", ORACLES[_name].replace(QUERIES_SQL, testlog.TEXT_QUERIES_SQL))(_of_texts(_operator))

@@ -39,6 +39,13 @@ q AS (
          user_id
   FROM events)"""
 
+# Prose, turns of conversations and the templates as query texts; most are not well formed, many are long.
+TEXT_QUERIES_SQL = f"""
+q AS (
+  SELECT doc_id * 4 AS query_id, text, doc_id % 50 AS user_id FROM documents
+  UNION ALL SELECT (conv_id * 1000 + turn) * 4 + 1, text, conv_id % 50 FROM conversations
+  UNION ALL SELECT event_id * 4 + 2, {_TEXT_SQL}, user_id FROM events)"""
+
 USERS_SQL = """
 u AS (
   SELECT user_id, CASE WHEN user_id = 0 THEN 'splunk-system-user' ELSE 'u' || user_id END AS name,
@@ -103,6 +110,21 @@ def raw_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schemas.conform(log, schemas.QUERIES).drop("session_id", "session_id_all")
 
 
+def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of every kind as queries, see TEXT_QUERIES_SQL."""
+    docs = read(spark, sf_dir, "documents").select(
+        (F.col("doc_id") * 4).alias("query_id"), "text", (F.col("doc_id") % 50).alias("user_id")
+    )
+    turn = (F.col("conv_id") * 1000 + F.col("turn")) * 4 + 1
+    turns = read(spark, sf_dir, "conversations").select(
+        turn.alias("query_id"), "text", (F.col("conv_id") % 50).alias("user_id")
+    )
+    templates = read(spark, sf_dir, "events").select(
+        (F.col("event_id") * 4 + 2).alias("query_id"), template_text().alias("text"), "user_id"
+    )
+    return docs.union(turns).union(templates)
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_suspicious_queries(raw_queries(spark, sf_dir))
 
