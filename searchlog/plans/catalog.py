@@ -879,13 +879,35 @@ def _(spark, sf_dir):
     )
 
 
+# The columns of the stored tables.
+_STORED_TYPES = {
+    "users": "user_id bigint, name string, case_id string, user_type string",
+    "queries": "query_id bigint, text string, ts timestamp, is_interactive boolean, is_suspicious boolean, "
+    "execution_time double, earliest_event double, latest_event double, event_range double, is_realtime boolean, "
+    "search_type string, splunk_search_id string, saved_search_name string, user_id bigint, session_id bigint, "
+    "session_id_all bigint",
+    "sessions": "session_id bigint, user_id bigint, session_seq bigint, start_ts timestamp, end_ts timestamp, "
+    "duration_s double, n_queries bigint",
+    "stages": "query_id bigint, position int, depth int, command string, token_class string, args string, "
+    "stage_text string, stage_key string",
+}
+_STORED_TYPES_SQL = ", ".join(
+    f"('{table}', '{column.split()[0]}', '{column.split()[1]}')"
+    for table, columns in _STORED_TYPES.items()
+    for column in columns.split(", ")
+)
+
+
 @query(
     "table_schemas",
-    f"""{_TEXTS}, {_sessions_sql(_HOUR8 * 10**6, _CLEAN)}, {USERS_SQL}
-    SELECT 'users' AS table_name, count(*) AS n_rows FROM u UNION ALL SELECT 'queries', count(*) FROM q
-    UNION ALL SELECT 'sessions', count(*) FROM sn UNION ALL SELECT 'stages', count(*) FROM q JOIN st USING (text)""",
+    f"""{_TEXTS}, {_sessions_sql(_HOUR8 * 10**6, _CLEAN)}, {USERS_SQL},
+    n AS (SELECT 'users' AS table_name, count(*) AS n_rows FROM u UNION ALL SELECT 'queries', count(*) FROM q
+          UNION ALL SELECT 'sessions', count(*) FROM sn UNION ALL SELECT 'stages', count(*) FROM q JOIN st USING (text)),
+    c(table_name, column_name, column_type) AS (VALUES {_STORED_TYPES_SQL})
+    SELECT table_name, column_name, column_type, n_rows FROM n JOIN c USING (table_name)""",
 )
 def _(spark, sf_dir):
+    """What is stored after all loads: the columns as files hold them, and how many rows."""
     root, final = scratch_path(spark, "tables"), scratch_path(spark, "tables")
     store.initialize_tables(spark, root)
     store.write_table(testlog.users(spark, sf_dir), root, "users")
@@ -893,11 +915,70 @@ def _(spark, sf_dir):
     store.load_parsed(spark, root)
     store.load_sessions(spark, root, final, gap_s=_HOUR8)
     places = {"users": root, "queries": final, "sessions": final, "stages": root}
-    counts = [
-        store.read_table(spark, where, name).agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"))
-        for name, where in places.items()
-    ]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+    parts = []
+    for name, where in places.items():
+        stored = spark.read.parquet(store.table_path(where, name))
+        columns = [F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("column_type")) for c, t in stored.dtypes]
+        counted = stored.agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"))
+        parts.append(counted.select("table_name", "n_rows", F.inline(F.array(*columns))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "fk_violations_all",
+    f"""WITH {QUERIES_SQL}
+    SELECT 'queries.user_id in users.user_id' AS rule, user_id::VARCHAR AS value, count(*) AS n_rows
+    FROM q WHERE user_id % 3 = 0 GROUP BY user_id
+    UNION ALL SELECT 'sessions.user_id in users.user_id', user_id::VARCHAR, count(*) FROM q WHERE user_id % 3 = 0 GROUP BY user_id
+    UNION ALL SELECT 'sessions_all.user_id in users.user_id', user_id::VARCHAR, count(*)
+    FROM q WHERE user_id % 3 = 0 GROUP BY user_id
+    UNION ALL SELECT 'queries.session_id in sessions.session_id', query_id::VARCHAR, 1 FROM q WHERE query_id % 5 = 0
+    UNION ALL SELECT 'queries.session_id_all in sessions_all.session_id', query_id::VARCHAR, 1 FROM q WHERE query_id % 7 = 0
+    UNION ALL SELECT 'stages.query_id in queries.query_id', query_id::VARCHAR, 1 FROM q WHERE query_id % 2 = 0
+    UNION ALL SELECT 'queries.text not null', NULL, count(*) FROM q WHERE query_id % 11 = 0 AND query_id % 2 = 1""",
+)
+def _(spark, sf_dir):
+    """Stored tables with parents and texts missing, so that every rule has something to report."""
+    rows = testlog.queries(spark, sf_dir)
+    number = F.col("query_id")
+    owned = rows.select("user_id", number.alias("session_id"))
+    queries_ = rows.select(
+        "query_id", "user_id", number.alias("session_id"), number.alias("session_id_all"),
+        F.when(number % 11 != 0, F.col("text")).alias("text"),
+    )
+    odd = queries_.filter(number % 2 == 1)
+    keys = rows.select("user_id", "query_id")
+    tables = {
+        "users": testlog.users(spark, sf_dir).filter(F.col("user_id") % 3 != 0),
+        "queries": queries_,
+        "sessions": owned.filter(F.col("session_id") % 5 != 0),
+        "sessions_all": owned.filter(F.col("session_id") % 7 != 0),
+        "stages": keys,
+    }
+    # Sessions lose rows above and still have to show all their users.
+    parents = fk_violations({"users": tables["users"], "sessions": owned, "sessions_all": owned, "queries": rows})
+    by_session = fk_violations({name: tables[name] for name in ("queries", "sessions", "sessions_all")})
+    by_query = fk_violations({"queries": odd, "stages": tables["stages"]})
+    return parents.filter(F.col("rule").contains("users.")).unionByName(
+        by_session.filter(F.col("rule").contains("in sessions"))
+    ).unionByName(by_query)
+
+
+@query("interarrivals_hot", ORACLES["interarrivals"])
+def _(spark, sf_dir):
+    """Keys of more than five rows go the way of hot keys."""
+    return groups.interarrivals(testlog.queries(spark, sf_dir), hot_rows=5).drop("text_key")
+
+
+@query("group_report_hot", ORACLES["group_report"])
+def _(spark, sf_dir):
+    return _rounded(groups.group_report(testlog.queries(spark, sf_dir), hot_rows=5).drop("text_key"))
+
+
+@query("query_deltas_hot", ORACLES["query_deltas"])
+def _(spark, sf_dir):
+    deltas = sessions.query_deltas(testlog.queries(spark, sf_dir), hot_rows=5)
+    return deltas.select("query_id", "user_id", _us("ts").alias("ts_us"), "delta_s")
 
 
 @query(
