@@ -43,22 +43,19 @@ def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
     return start, F.floor(length * (i + 1) / (k + 1)).cast("int") - start
 
 
-def _part(text: Column, salt: Column, length: Column, i: int, start: Column, size: Column, delta: int, rest: bool) -> Column:
-    key = F.xxhash64(salt, length, F.lit(i), text.substr(start + 1, size))
-    fields = [key.alias("key"), F.lit(delta).alias("delta")]
-    if rest:
-        left = text.substr(F.lit(1), start)
-        fields.append(F.concat(left, text.substr(start + size + 1, F.char_length(text))).alias("rest"))
-    return F.struct(*fields)
+def _part(text: Column, salt: Column, length: Column, i: int, start: Column, size: Column) -> tuple[Column, Column]:
+    """The key of a part of a text, and the text without that part."""
+    left, right = text.substr(F.lit(1), start), text.substr(start + size + 1, F.char_length(text))
+    return F.xxhash64(salt, length, F.lit(i), text.substr(start + 1, size)), F.concat(left, right)
 
 
-def _indexed(text: Column, salt: Column, k: int, rest: bool = False) -> Column:
+def _indexed(text: Column, salt: Column, k: int) -> list[tuple[Column, Column]]:
     length = F.char_length(text)
-    return F.array(*[_part(text, salt, length, i, *_segment(length, i, k), 0, rest) for i in range(k + 1)])
+    return [_part(text, salt, length, i, *_segment(length, i, k)) for i in range(k + 1)]
 
 
-def _looked_up(text: Column, salt: Column, k: int, delta: Column | None = None, rest: bool = False) -> Column:
-    """Substrings that can be a segment of a text shorter by ``delta``; by any up to k if that is None."""
+def _looked_up(text: Column, salt: Column, k: int) -> list[tuple[int, Column, Column, Column]]:
+    """Substrings that can be a segment of a text shorter by 0 to k: by how much, whether they lie in the text, key and rest."""
     parts = []
     for d in range(k + 1):
         length = F.char_length(text) - d
@@ -67,10 +64,25 @@ def _looked_up(text: Column, salt: Column, k: int, delta: Column | None = None,
             # With i segments before it and k - i after it, a segment that stays whole moves no further than this.
             for move in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1):
                 fits = (start + move >= 0) & (start + move + size <= F.char_length(text))
-                if delta is not None:
-                    fits = fits & (delta == d)
-                parts.append(F.when(fits, _part(text, salt, length, i, start + move, size, d, rest)))
-    return F.array_compact(F.array(*parts))
+                parts.append((d, fits, *_part(text, salt, length, i, start + move, size)))
+    return parts
+
+
+def _index_rows(rows: DataFrame, text: Column, salt: Column, k: int) -> DataFrame:
+    parts = [F.struct(key.alias("key"), rest.alias("rest")) for key, rest in _indexed(text, salt, k)]
+    return rows.select("line_id", F.inline(F.array(*parts)))
+
+
+def _probe_rows(rows: DataFrame, text: Column, salt: Column, k: int, delta: Column | None = None) -> DataFrame:
+    """Lookups of every length difference, or of the one that a row has."""
+    parts = [
+        F.when(
+            fits if delta is None else fits & (delta == d),
+            F.struct(key.alias("key"), rest.alias("rest"), F.lit(d).alias("delta")),
+        )
+        for d, fits, key, rest in _looked_up(text, salt, k)
+    ]
+    return rows.select("line_id", F.inline(F.array_compact(F.array(*parts))))
 
 
 def within_edits(short: Column, long: Column, k: int) -> Column:
@@ -124,11 +136,29 @@ def _candidates(index: DataFrame, probe: DataFrame, crowded: DataFrame | None) -
     return met.filter((F.col("a") != F.col("b")) & ((F.col("delta") > 0) | (F.col("a") < F.col("b")))).select("a", "b")
 
 
-def near_lines(distinct: DataFrame, max_edits: int = MAX_EDITS, crowded: int = CROWDED) -> DataFrame:
-    """Pairs ``a``, ``b`` of ``line_id`` whose ``line`` is within ``max_edits`` edits; ``distinct`` has a row per line."""
+def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """The lines of some ids, each once; the ids are few next to the lines, and Spark broadcasts them if they are small."""
+    return lines.join(ids, "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
+
+
+def near_lines(lines: DataFrame, max_edits: int = MAX_EDITS, crowded: int = CROWDED) -> DataFrame:
+    """Pairs ``a``, ``b`` of ``line_id`` whose ``line`` is within ``max_edits`` edits; ``lines`` may repeat lines.
+
+    Lines are reduced to their ids and keys before they are shuffled. Only the lines of candidates are read again.
+    """
     k, line, root = max_edits, F.col("line"), _long(0)
-    index = distinct.select("line_id", F.inline(_indexed(line, root, k)))
-    probe = distinct.select("line_id", F.inline(_looked_up(line, root, k)))
+    indexed, looked_up = _indexed(line, root, k), _looked_up(line, root, k)
+    keys = [key.alias(f"i{n}") for n, (key, _) in enumerate(indexed)]
+    keys += [F.when(fits, key).alias(f"p{n}") for n, (_, fits, key, _) in enumerate(looked_up)]
+    keyed = lines.select("line_id", *keys).groupBy("line_id")
+    names = [f"i{n}" for n in range(len(indexed))] + [f"p{n}" for n in range(len(looked_up))]
+    keyed = written(keyed.agg(*[F.first(name).alias(name) for name in names]), "line-keys")
+    index = keyed.select("line_id", F.explode(F.array(*names[: len(indexed)])).alias("key"))
+    lookups = [
+        F.struct(F.col(f"p{n}").alias("key"), F.lit(d).alias("delta")) for n, (d, *_) in enumerate(looked_up)
+    ]
+    probe = keyed.select("line_id", F.inline(F.array(*lookups))).filter(F.col("key").isNotNull())
+
     found = []
     for cut in range(MAX_CUTS + 1):
         sizes = index.groupBy("key").count().filter(F.col("count") > crowded)
@@ -138,20 +168,23 @@ def near_lines(distinct: DataFrame, max_edits: int = MAX_EDITS, crowded: int = C
             break
         found.append(_candidates(index, probe, hot))
         if cut == 0:  # the rests were not made so far, as they are as long as the lines
-            index = distinct.select("line_id", F.inline(_indexed(line, root, k, rest=True)))
-            probe = distinct.select("line_id", F.inline(_looked_up(line, root, k, rest=True)))
-        rest, salt = F.col("rest"), F.col("key")
+            sides = [side.join(hot, "key", "left_semi").select("line_id") for side in (index, probe)]
+            texts = written(_texts(lines, written(sides[0].union(sides[1]).distinct(), "crowded-ids")), "crowded-lines")
+            index, probe = _index_rows(texts, line, root, k), _probe_rows(texts, line, root, k)
         index = written(index.join(hot, "key", "left_semi"), "crowded-index")
         probe = written(probe.join(hot, "key", "left_semi"), "crowded-probe")
-        index = index.select("line_id", F.inline(_indexed(rest, salt, k, rest=True)))
-        probe = probe.select("line_id", F.inline(_looked_up(rest, salt, k, F.col("delta"), rest=True)))
-    pairs = reduce(DataFrame.unionByName, found).distinct()
-    letters = distinct.select("line_id", "line")
-    texts = pairs.join(letters.select(F.col("line_id").alias("a"), F.col("line").alias("x")), "a").join(
-        letters.select(F.col("line_id").alias("b"), F.col("line").alias("y")), "b"
+        index = _index_rows(index, F.col("rest"), F.col("key"), k)
+        probe = _probe_rows(probe, F.col("rest"), F.col("key"), k, F.col("delta"))
+
+    pairs = written(reduce(DataFrame.unionByName, found).distinct(), "line-candidates")
+    ids = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct()
+    texts = written(_texts(lines, written(ids, "candidate-ids")), "candidate-lines")
+    texts = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("x")), "a").join(
+        texts.select(F.col("line_id").alias("b"), F.col("line").alias("y")), "b"
     )
-    split = texts.select("a", "b", F.split("x", "").alias("x"), F.split("y", "").alias("y"))
-    return split.filter(within_edits(F.col("x"), F.col("y"), k)).select("a", "b")
+    # Bound to a variable, the two arrays are made once for each pair; as columns they would be made again at each step.
+    letters = F.array(F.struct(F.split("x", "").alias("x"), F.split("y", "").alias("y")))
+    return texts.filter(F.transform(letters, lambda pair: within_edits(pair["x"], pair["y"], k))[0]).select("a", "b")
 
 
 def _lines(text: Column) -> Column:
@@ -180,8 +213,7 @@ def without_repeated_lines(
     lines = lines.withColumn("line", F.btrim("line", F.lit(" \t\r\f\v"))).filter(F.char_length("line") >= min_chars)
     lines = lines.withColumn("line_id", F.unhex(F.md5("line")))
 
-    distinct = lines.groupBy("line_id").agg(F.first("line").alias("line"))
-    linked = connected_components(near_lines(distinct, max_edits, crowded), "a", "b")
+    linked = connected_components(near_lines(lines.select("line_id", "line"), max_edits, crowded), "a", "b")
 
     where = F.struct("id", "row", "place")
     places = lines.drop("line")
