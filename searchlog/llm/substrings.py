@@ -8,8 +8,9 @@ byte by byte.
 1. Each document gives its super-k-mers as (minimiser, place); minimisers are counted. One that occurs once has no
    repeated window and goes no further, which is most of the text.
 2. The others are packed from the texts, sent to their buckets and counted there.
-3. A minimiser with more than ``HOT_MINIMISER`` super-k-mers would fill a bucket. Its windows travel singly, as 128-bit digests,
-   and are counted by an aggregation that adds up before it shuffles.
+3. A minimiser with more than ``HOT_MINIMISER`` super-k-mers would fill a bucket. Its equal strings are first reduced to one,
+   and the windows of the different ones travel singly, as 128-bit digests; both are counted by aggregations that add up
+   before they shuffle.
 4. The words that repeated windows cover are taken out of the texts.
 """
 
@@ -22,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from searchlog.llm.common import bounded_batches, documents, map_arrow, row_key, words, written
 
@@ -197,37 +199,55 @@ def repeated_spans(docs: DataFrame, window: int, mer: int, hot_minimiser: int) -
             ["mini", "packed", "row", "start"],
         )
 
-    def single(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+    cold = map_arrow(by_row(shared.filter(F.col("n") <= hot_minimiser)), pack, _PACKED)
+    buckets = cold.repartition("mini").sortWithinPartitions("mini")
+    spans = buckets.mapInArrow(_count_buckets(window), _SPANS)
+
+    hot = shared.filter(F.col("n") > hot_minimiser)
+    if not hot.isEmpty():
+        spans = spans.unionByName(_hot_spans(map_arrow(by_row(hot), pack, _PACKED), window))
+    return spans
+
+
+def _hot_spans(packed: DataFrame, window: int) -> DataFrame:
+    """Spans under hot minimisers: equal strings are one string with a count, and its windows are counted by their digests.
+
+    Copies of a document or passage so cost a row for each string, and only the strings that differ are cut into windows.
+    """
+    strings = written(packed.withColumn("string", F.unhex(F.md5("packed"))), "hot-strings")
+    distinct = strings.groupBy("string").agg(F.first("packed").alias("packed"), F.count("*").alias("n"))
+
+    def cut(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         digests, of, places = [], [], []
-        for i, (text, runs) in enumerate(zip(batch.column("text"), batch.column("runs"))):
-            tokens = words(text.as_py())
-            for run in runs.as_py():
-                for place in range(run["start"], run["start"] + run["size"]):
-                    digests.append(xxhash.xxh128_digest(b" ".join(tokens[place : place + window])))
-                    of.append(i)
-                    places.append(place)
+        for i, string in enumerate(batch.column("packed").to_pylist()):
+            tokens = string.split(b" ")
+            for place in range(len(tokens) - window + 1):
+                digests.append(xxhash.xxh128_digest(b" ".join(tokens[place : place + window])))
+                of.append(i)
+                places.append(place)
+        of = pa.array(of, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(digests, pa.binary()),
-                batch.column("row").take(pa.array(of, pa.int64())),
+                batch.column("string").take(of),
+                batch.column("n").take(of),
                 pa.array(places, pa.int32()),
             ],
-            ["digest", "row", "place"],
+            ["digest", "string", "n", "place"],
         )
 
-    cold = map_arrow(by_row(shared.filter(F.col("n") <= hot_minimiser)), pack, _PACKED)
-    buckets = cold.repartition("mini").sortWithinPartitions("mini")
-    spans = buckets.mapInArrow(_count_buckets(window), _SPANS)
+    windows = written(map_arrow(distinct, cut, "digest binary, string binary, n bigint, place int"), "hot-windows")
+    many = windows.groupBy("digest").agg(F.sum("n").alias("n")).filter(F.col("n") > 1).select("digest")
+    covered = windows.join(many, "digest").groupBy("string").agg(F.collect_list("place").alias("places"))
+    found = strings.select("string", "row", "start").join(covered, "string")
 
-    hot = shared.filter(F.col("n") > hot_minimiser)
-    if not hot.isEmpty():
-        singles = written(map_arrow(by_row(hot), single, "digest binary, row binary, place int"), "hot-windows")
-        many = singles.groupBy("digest").count().filter(F.col("count") > 1).select("digest")
-        covered = singles.join(many, "digest").select(
-            "row", F.col("place").alias("first"), (F.col("place") + window).alias("end")
-        )
-        spans = spans.unionByName(covered)
-    return spans
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField(name, T.IntegerType()) for name in ("first", "end")])))
+    def merged(places: pa.Array, starts: pa.Array) -> pa.Array:
+        spans = [_spans(p, start, window) for p, start in zip(places.to_pylist(), starts.to_pylist())]
+        kind = pa.struct([("first", pa.int32()), ("end", pa.int32())])
+        return pa.array([[{"first": a, "end": b} for a, b in each] for each in spans], pa.list_(kind))
+
+    return found.select("row", F.inline(merged("places", "start")))
 
 
 def without_repeats(
