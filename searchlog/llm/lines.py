@@ -29,6 +29,9 @@ MIN_CHARS = 20
 #: Lines indexed under one key before they are cut again.
 CROWDED = 100
 
+#: Characters whose counts are compared before two lines are.
+COMMON = "etaoinsrhldcum ,."
+
 #: Cuts below the first; a rest is then a tenth or less of its line for one edit.
 MAX_CUTS = 12
 
@@ -136,6 +139,10 @@ def _candidates(index: DataFrame, probe: DataFrame, crowded: DataFrame | None) -
     return met.filter((F.col("a") != F.col("b")) & ((F.col("delta") > 0) | (F.col("a") < F.col("b")))).select("a", "b")
 
 
+def _count(text: Column, letter: str) -> Column:
+    return F.char_length(text) - F.char_length(F.translate(text, letter, ""))
+
+
 def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
     """The lines of some ids, each once; the ids are few next to the lines, and Spark broadcasts them if they are small."""
     return lines.join(ids, "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
@@ -182,6 +189,9 @@ def near_lines(lines: DataFrame, max_edits: int = MAX_EDITS, crowded: int = CROW
     texts = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("x")), "a").join(
         texts.select(F.col("line_id").alias("b"), F.col("line").alias("y")), "b"
     )
+    # An edit changes the count of a letter by one at most. That is seen at once and leaves few pairs to verify.
+    counts = [F.abs(_count(F.col("x"), c) - _count(F.col("y"), c)) <= k for c in COMMON]
+    texts = texts.filter(reduce(lambda a, b: a & b, counts))
     # Bound to a variable, the two arrays are made once for each pair; as columns they would be made again at each step.
     letters = F.array(F.struct(F.split("x", "").alias("x"), F.split("y", "").alias("y")))
     return texts.filter(F.transform(letters, lambda pair: within_edits(pair["x"], pair["y"], k))[0]).select("a", "b")
