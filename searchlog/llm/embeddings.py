@@ -3,7 +3,8 @@
 Some vectors are reference points, the pivots. Every vector is described by its ``DESCRIBED`` nearest pivots in order, and is
 listed under the first ``LISTED`` of them. Vectors on one list whose descriptions share at least ``MIN_SHARED`` pivots are
 candidates, and candidates are verified by their cosine in double precision. A pair that meets on several lists counts on
-the one with the smallest pivot number.
+the one with the smallest pivot number. No two pivots lie near each other: a tight group, however large its share of the rows,
+has one pivot, which its vectors have in common. Among many pivots of its own their order would be noise.
 
 Equal vectors are one entry with a number of copies. A list with many entries is dealt into blocks, and each pair of blocks
 is a group of its own, so that no task holds a list whole. Links are summed up where they are found: a group gives a count and a
@@ -31,6 +32,9 @@ MIN_SHARED = 2
 #: Pivots are a sample of 2 * sqrt(vectors) by hash, within these bounds. All vectors are indexed.
 FEWEST_PIVOTS, MOST_PIVOTS = 64, 4096
 
+#: A sampled pivot with a cosine above this to an earlier one is left out.
+APART = 0.8
+
 #: Entries of a list in one block.
 BLOCK = 1024
 
@@ -48,12 +52,21 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _describe(entries: DataFrame, pivots: list[list[float]], described: int) -> DataFrame:
+def _apart(points: np.ndarray) -> np.ndarray:
+    """The points, of unit length, less those too near an earlier one that stays."""
+    kept = np.empty_like(points)
+    n = 0
+    for point in points:
+        if not (kept[:n] @ point > APART).any():
+            kept[n] = point
+            n += 1
+    return kept[:n]
+
+
+def _describe(entries: DataFrame, points: np.ndarray, described: int) -> DataFrame:
     """``entries`` with the numbers of their nearest pivots, in order."""
-    points = np.array(pivots, dtype=np.float64)
-    points = points / np.abs(points).max(axis=1, keepdims=True)
-    points = entries.sparkSession.sparkContext.broadcast(points / np.linalg.norm(points, axis=1, keepdims=True))
-    k, kind = min(described, len(pivots)), entries.schema["embedding"].dataType.simpleString()
+    k, kind = min(described, len(points)), entries.schema["embedding"].dataType.simpleString()
+    points = entries.sparkSession.sparkContext.broadcast(points)
 
     def describe(batch: pa.RecordBatch):
         likeness = _matrix(batch.column("embedding")) @ points.value.T
@@ -79,26 +92,23 @@ def _links(min_shared: int, listed: int, threshold: float):
         x = _matrix(table.column("embedding"))
         near = np.array(table.column("pivots").to_pylist(), dtype=np.int64).reshape(len(ids), -1)
         names, of = np.unique(near, return_inverse=True)
+        of = of.reshape(near.shape)
         shows = np.zeros((len(ids), len(names)), np.float32)
-        shows[np.arange(len(ids))[:, None], of.reshape(near.shape)] = 1
+        shows[np.arange(len(ids))[:, None], of] = 1
+        earlier = np.zeros((len(ids), len(names)), np.float32)  # lists before this one, on which a pair counts
+        np.maximum.at(earlier, (np.arange(len(ids))[:, None], of[:, :listed]), near[:, :listed] < pivot)
+        earlier = earlier[:, names < pivot]
         a, b = np.flatnonzero(block == left), np.flatnonzero(block == right)
         links, low = np.zeros(len(ids), np.int64), ids.copy()
-        shared = shows[a] @ shows[b].T
-        linked = (x[a] @ x[b].T >= threshold) & (shared >= min_shared)
+        linked = (earlier[a] @ earlier[b].T == 0) & (shows[a] @ shows[b].T >= min_shared)
+        if left == right:
+            linked = np.triu(linked, 1)
+        if linked.any():
+            linked &= x[a] @ x[b].T >= threshold
         i, j = np.nonzero(linked)
-        i, j = a[i], b[j]
-        once = (i < j) if left == right else np.ones(len(i), bool)
-        i, j = i[once], j[once]
-        ends: list[tuple[np.ndarray, np.ndarray]] = []
-        for start in range(0, len(i), 1 << 18):
-            p, q = i[start : start + (1 << 18)], j[start : start + (1 << 18)]
-            same = near[p][:, :listed, None] == near[q][:, None, :listed]
-            first = np.where(same, near[p][:, :listed, None], np.iinfo(np.int64).max).min(axis=(1, 2))
-            p, q = p[first == pivot], q[first == pivot]
-            np.add.at(links, p, copies[q])
-            np.add.at(links, q, copies[p])
-            ends.append((p, q))
-        p, q = (np.concatenate(side) for side in zip(*ends)) if ends else (i, j)
+        p, q = a[i], b[j]
+        np.add.at(links, p, copies[q])
+        np.add.at(links, q, copies[p])
         changed = True
         while changed:  # the smallest id that links reach within the group
             before = low.copy()
@@ -146,8 +156,9 @@ def near_vectors(
     for length in lengths:  # tables hold one length; others are found among themselves
         same = entries.filter(F.size("embedding") == length).select("id", "copies", "embedding")
         wanted = pivots or n_pivots(same.count())
-        points = same.orderBy(F.xxhash64("id"), "id").limit(wanted).select("embedding").collect()
-        indexed = written(_describe(same, [r[0] for r in points], described), "pivot-index")
+        sample = same.orderBy(F.xxhash64("id"), "id").limit(wanted).select("embedding").collect()
+        points = _apart(_matrix(pa.array([r[0] for r in sample])))
+        indexed = written(_describe(same, points, described), "pivot-index")
         lists = indexed.select("*", F.explode(F.slice("pivots", 1, listed)).alias("pivot"))
         sizes = indexed.select(F.explode(F.slice("pivots", 1, listed)).alias("pivot")).groupBy("pivot").count()
         # As many rows as pivots, which are bounded.
@@ -158,7 +169,8 @@ def near_vectors(
             "*", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")
         )
         groups = paired.drop("other").groupBy("pivot", "left", "right")
-        found.append(written(groups.applyInArrow(_links(min_shared, listed, threshold), _FOUND), "vector-links"))
+        find = _links(min(min_shared, len(points)), listed, threshold)
+        found.append(written(groups.applyInArrow(find, _FOUND), "vector-links"))
     if not found:
         alone = [F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")]
         return rows.select(F.col("id").alias(id_column), *alone)

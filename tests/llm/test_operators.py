@@ -210,6 +210,27 @@ def test_recall(spark):
     assert sum(got.values()) >= 0.9 * sum(n for n, _ in expected.values())
 
 
+def crowd(n, others):
+    """Distinct unit vectors around one centre, pairwise cosine about 0.97, and others in all directions; links of each."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=64)
+    x = np.concatenate([centre + rng.normal(size=(n, 64)) * 0.17 * np.linalg.norm(centre) / 8, rng.normal(size=(others, 64))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True))[rng.permutation(n + others)]
+    links = np.concatenate([(x[i : i + 2000] @ x.T >= embeddings.COSINE).sum(axis=1) - 1 for i in range(0, len(x), 2000)])
+    return x, links
+
+
+@pytest.mark.parametrize("n, others", [(6_667, 13_333), (700, 0)])
+def test_recall_in_a_large_group(spark, n, others):
+    x, links = crowd(n, others)
+    assert links.max() > 0.9 * n
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    found = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {r["vec_id"]: r["n_links"] for r in found.collect()}
+    assert all(got[i] <= n for i, n in enumerate(links))
+    assert sum(got.values()) >= 0.98 * links.sum()
+
+
 # --- 6 ---
 
 
