@@ -1,13 +1,13 @@
 """Line dedup by a segment-partition edit join (operator 8), in DataFrame functions only.
 
-Lines within ``max_edits`` edits of each other are one group; the first line of a group stays, the others go. If a line is cut
-into ``max_edits + 1`` segments, every line within that many edits holds one of the segments unchanged, and its place can
+Lines within some edits of each other, more for longer lines, are one group; the first line of a group stays, the others go. If a line is cut
+into one segment more than edits, every line within that many edits holds one of the segments unchanged, and its place can
 have moved only a little. So each distinct line is indexed by its segments under its length, and looked up by those of its
 substrings that can be a segment of an equally long or slightly shorter line. Pairs that meet are verified by a
 bit-parallel edit distance over a narrow band of the matrix: one number holds the band, whatever the length of the line.
 
 Keys under which very many lines are indexed are not joined. Those lines are cut again without the shared segment: the rests
-are within ``max_edits`` edits as well, so that the same index applies to them, below the shared segment's key. This goes on until
+are within so many edits as well, so that the same index applies to them, below the shared segment's key. This goes on until
 no key is crowded or the rests have become so short that nothing is left to cut.
 """
 
@@ -21,8 +21,12 @@ from pyspark.sql import functions as F
 from searchlog.llm.common import documents, row_key, written
 from searchlog.llm.components import connected_components
 
+#: Edits of the shortest lines.
 MAX_EDITS = 1
 
+#: Edits by the characters of the shorter line, from so many on: about one in 25, three at most.
+EDITS = ((0, MAX_EDITS), (50, 2), (75, 3))
+
 #: Shorter lines, in characters, are left alone: "}" or "Yes." repeat by right.
 MIN_CHARS = 20
 
@@ -148,12 +152,22 @@ def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
     return lines.join(ids, "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
 
 
-def near_lines(lines: DataFrame, max_edits: int = MAX_EDITS, crowded: int = CROWDED) -> DataFrame:
-    """Pairs ``a``, ``b`` of ``line_id`` whose ``line`` is within ``max_edits`` edits; ``lines`` may repeat lines.
+def near_lines(lines: DataFrame, edits: tuple[tuple[int, int], ...] = EDITS, crowded: int = CROWDED) -> DataFrame:
+    """Pairs ``a``, ``b`` of ``line_id`` whose ``line`` is within the edits of the shorter one; ``lines`` may repeat lines.
+
+    Each length class is joined by itself, with the lines that are longer by its edits at most. A pair may come twice.
+    """
+    length, found = F.char_length("line"), []
+    for n, (least, k) in enumerate(edits):
+        below = [length < start + k for start, _ in edits[n + 1 : n + 2]]
+        found.append(_near_lines(lines.filter(reduce(lambda a, b: a & b, below, length >= least)), k, crowded))
+    return reduce(DataFrame.unionByName, found)
+
 
-    Lines are reduced to their ids and keys before they are shuffled. Only the lines of candidates are read again.
+def _near_lines(lines: DataFrame, k: int, crowded: int) -> DataFrame:
+    """Pairs of lines within k edits. Lines are reduced to their ids and keys before they are shuffled. Only the lines of candidates are read again.
     """
-    k, line, root = max_edits, F.col("line"), _long(0)
+    line, root = F.col("line"), _long(0)
     indexed, looked_up = _indexed(line, root, k), _looked_up(line, root, k)
     keys = [key.alias(f"i{n}") for n, (key, _) in enumerate(indexed)]
     keys += [F.when(fits, key).alias(f"p{n}") for n, (_, fits, key, _) in enumerate(looked_up)]
@@ -205,25 +219,26 @@ def without_repeated_lines(
     df: DataFrame,
     id_column: str = "doc_id",
     text: str = "text",
-    max_edits: int = MAX_EDITS,
+    max_edits: int | None = None,
     min_chars: int = MIN_CHARS,
     crowded: int = CROWDED,
 ) -> DataFrame:
     """Every row of ``df`` with its text less the repeated lines, and ``n_lines`` and ``n_removed``.
 
-    Lines are compared without white space at their ends. Of all lines within ``max_edits`` edits of each other, directly or over
-    others, the one with the smallest id, row key and place stays. Lines of fewer than ``min_chars`` characters stay. Null
-    texts stay null with zero lines, empty ones stay empty; a text may become empty. Repeated rows (equal id and text) are one
-    document and keep the same lines. Input columns named ``n_lines`` or ``n_removed`` are replaced.
+    Lines are compared without white space at their ends. Of all lines within ``max_edits`` edits of each other (by default those
+    that ``EDITS`` gives for the shorter line), directly or over others, the one with the smallest id, row key and place stays.
+    Lines of fewer than ``min_chars`` characters stay. Null texts stay null with zero lines, empty ones stay empty; a text may
+    become empty. Repeated rows (equal id and text) are one document and keep the same lines. Input columns named ``n_lines`` or ``n_removed`` are replaced.
     """
-    if not 1 <= max_edits < min(min_chars, 25):
+    edits = EDITS if max_edits is None else ((0, max_edits),)
+    if not all(1 <= k < min(max(least, min_chars), 25) for least, k in edits):
         raise ValueError("max_edits must be from 1 to 24 and below min_chars")
     keyed = df.select(F.col(id_column).alias("id"), row_key(id_column, text).alias("row"), F.col(text).alias("text"))
     lines = keyed.select("id", "row", F.posexplode(_lines(F.col("text"))).alias("place", "line"))
     lines = lines.withColumn("line", F.btrim("line", F.lit(" \t\r\f\v"))).filter(F.char_length("line") >= min_chars)
     lines = lines.withColumn("line_id", F.unhex(F.md5("line")))
 
-    linked = connected_components(near_lines(lines.select("line_id", "line"), max_edits, crowded), "a", "b")
+    linked = connected_components(near_lines(lines.select("line_id", "line"), edits, crowded), "a", "b")
 
     where = F.struct("id", "row", "place")
     places = lines.drop("line")

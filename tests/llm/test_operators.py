@@ -368,6 +368,23 @@ def test_lines(spark, k, crowded):
     assert rows == brute_lines(texts, k, 8)
 
 
+def test_edits_grow_with_the_line(spark):
+    """Pairs around each border: near if within the edits of the shorter line."""
+    rng, texts = random.Random(5), []
+    for size in (30, 49, 50, 60, 74, 75, 76, 120, 300):
+        for edits in range(1, 5):
+            line = "".join(rng.choice("abcdefghij") for _ in range(size))
+            places = rng.sample(range(size), edits)
+            texts.append((line, "".join("X" if n in places else c for n, c in enumerate(line))))
+            texts.append((line[::-1], line[::-1] + "X" * edits))
+    rows = [(2 * n + i, line) for n, pair in enumerate(texts) for i, line in enumerate(pair)]
+    found = lines.without_repeated_lines(spark.createDataFrame(rows, SCHEMA)).collect()
+    removed = {r["doc_id"]: r["n_removed"] for r in found}
+    for n, (a, b) in enumerate(texts):
+        k = 1 if len(a) < 50 else 2 if len(a) < 75 else 3
+        assert (removed[2 * n], removed[2 * n + 1]) == (0, int(edit_distance(a, b) <= k))
+
+
 # --- 9 ---
 
 
