@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchlog.llm import bpe, decontaminate, lines, simhash, toxicity
-from searchlog.llm.common import written
+from searchlog.llm.common import row_key, written
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,17 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated lines (operator 8). A document of which nothing is left was a copy throughout and goes."""
-    cleaned = lines.without_repeated_lines(docs)
+    """Texts without repeated lines (operator 8). A document of which nothing is left was a copy throughout and goes.
+
+    So does an exact copy that lost lines: its short lines, which operator 8 leaves alone, are all in the first copy.
+    """
+    keyed = docs.withColumns({"_copy_row": row_key("doc_id", "text"), "_copy_text": F.unhex(F.md5("text"))})
+    cleaned = lines.without_repeated_lines(keyed)
+    place = F.struct("doc_id", "_copy_row")
+    first = keyed.filter(F.col("text").isNotNull()).groupBy("_copy_text").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
+    first = first.filter(F.col("_first") != F.col("_last")).select("_copy_text", "_first")
+    copy = F.col("_first").isNotNull() & (F.col("n_removed") > 0) & (place != F.col("_first"))
+    cleaned = cleaned.join(first, "_copy_text", "left").filter(~F.coalesce(copy, F.lit(False)))
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike("[^ \\t\\n\\r\\f\\x0B]")
     changed = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.filter(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", changed).select(*docs.columns)

@@ -129,3 +129,13 @@ def test_pipeline_stages_on_odd_rows(spark, stage, tmp_path):
         assert out.count() <= docs.count() and (out.count() > 0) != empty
         if stage != corpus_pipeline.STAGES[-1][0]:
             assert out.dtypes == docs.dtypes
+
+
+def test_exact_copies_with_short_lines(spark):
+    """Copies go whole, not as fragments of their short lines, through line dedup and near duplicates."""
+    text = "Title\nA long enough line of the text to be compared.\nYes.\nAnother line that is long enough to be compared."
+    texts = [text, text, text, "Yes.\nA text of its own that shares only its short line.", text]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    kept = corpus_pipeline.repeated_lines(spark, docs, "")
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(0, text), (3, texts[3])]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, kept, "").collect()) == [0, 3]
