@@ -1,7 +1,8 @@
 """Quality classifier: a byte-level convolutional network in numpy (operator 7).
 
 Bytes become short vectors, filters over eight bytes move over the whole document four bytes at a time, and each filter keeps
-its largest response in every chunk. Chunks share their border bytes, so a filter sees every place. A document is described by
+its largest response in every chunk. Chunks share their border bytes, so no step is lost between them. A pattern is seen whole
+only where it begins at a step, so scores change a little when bytes are put in front of a text. A document is described by
 the maximum of each filter over its chunks and by the mean over its chunks, which a logistic layer combines into one
 probability. The filters and the layer are learned by gradient descent; the maxima pass gradients only to the places they
 came from.
