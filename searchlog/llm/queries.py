@@ -8,6 +8,7 @@ from searchlog.llm.decontaminate import op10_decontaminate
 from searchlog.llm.embeddings import op5_embeddings
 from searchlog.llm.lines import op8_lines
 from searchlog.llm.lm import op6_lm
+from searchlog.llm.negatives import op11_negatives
 from searchlog.llm.quality import op7_quality
 from searchlog.llm.secrets import op4_secrets
 from searchlog.llm.simhash import op3_simhash
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_lines": op8_lines,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
+    "op11_negatives": op11_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -45,8 +47,8 @@ FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)""",
     "op5_embeddings": """
 WITH RECURSIVE e AS (
     SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-      AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b
           ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
 reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
@@ -74,4 +76,21 @@ SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit > 0 AND 20 * n_hit >= len(w.words), false) AS contaminated
 FROM w LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_negatives": """
+WITH e AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+                  CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+           FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) <= 5""",
 }
