@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import corpus_pipeline
 from searchlog.llm.bpe import op1_bpe
+from searchlog.llm.conversations import op13_conversations
 from searchlog.llm.decontaminate import op10_decontaminate
 from searchlog.llm.embeddings import op5_embeddings
 from searchlog.llm.lines import op8_lines
 from searchlog.llm.lm import op6_lm
 from searchlog.llm.negatives import op11_negatives
+from searchlog.llm.pages import op12_pages
 from searchlog.llm.quality import op7_quality
 from searchlog.llm.secrets import op4_secrets
 from searchlog.llm.simhash import op3_simhash
@@ -27,6 +29,8 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
     "op11_negatives": op11_negatives,
+    "op12_pages": op12_pages,
+    "op13_conversations": op13_conversations,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -93,4 +97,39 @@ SELECT anchor_id, positive_id,
 FROM positives JOIN scores USING (anchor_id)
 WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
 QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) <= 5""",
+    "op13_conversations": """
+WITH turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+    FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (  -- a byte comes in by exclusive or, -1 stands for one of its eight shifts
+    SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS base,
+           xor(list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+                   lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+               lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 9 AS h
+    FROM turns GROUP BY conv_id),
+plan AS (SELECT c.conv_id, c.n, c.base, c.h, least(c.h, coalesce(b.n, 0)) AS head FROM crc c LEFT JOIN crc b ON b.conv_id = c.base),
+rebuilt AS (
+    SELECT p.conv_id, place AS depth, role, text FROM plan p JOIN turns t ON t.conv_id = p.base AND place <= h
+    UNION ALL
+    SELECT conv_id, place - h + head, role, text FROM plan JOIN turns USING (conv_id) WHERE place > h),
+way AS (
+    SELECT conv_id, depth, strlen(text) AS size,
+           string_agg(md5(concat(length(role), ':', role, ':', text)), '') OVER (PARTITION BY conv_id ORDER BY depth) AS key
+    FROM rebuilt
+    UNION ALL SELECT conv_id, 0, 0, '' FROM plan),
+nodes AS (SELECT key, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n, any_value(size) AS size FROM way GROUP BY key),
+parents AS (SELECT n.key, w.key AS parent FROM nodes n JOIN way w ON w.conv_id = n.conv_id AND w.depth = n.depth - 1),
+children AS (SELECT parent AS key, count(*) AS n_children FROM parents GROUP BY parent),
+subtree AS (
+    SELECT w.key, sum((n.n - 1) * n.size) AS saved, count(*) FILTER (WHERE c.key IS NULL) AS leaves
+    FROM nodes n JOIN way w ON w.conv_id = n.conv_id AND w.depth <= n.depth LEFT JOIN children c ON c.key = n.key GROUP BY w.key),
+ends AS (
+    SELECT key, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+    FROM (SELECT conv_id, arg_max(key, depth) AS key FROM way GROUP BY conv_id) GROUP BY key)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n AS n_convs,
+       CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, leaves AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n JOIN subtree USING (key) LEFT JOIN children USING (key) LEFT JOIN ends USING (key)
+LEFT JOIN parents USING (key) LEFT JOIN nodes u ON u.key = parents.parent""",
 }
