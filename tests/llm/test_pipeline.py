@@ -28,7 +28,7 @@ documents_ = documents()
 
 def test_registered():
     assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
-    assert {k.split("_")[0] for k in QUERIES} == {*(f"op{n}" for n in range(1, 11)), "pipeline"}
+    assert {k.split("_")[0] for k in QUERIES} == {*(f"op{n}" for n in range(1, 14)), "pipeline"}
 
 
 @pytest.mark.parametrize("key", sorted(ORACLES))
