@@ -27,9 +27,6 @@ _WORD = rf'(?s)^(?:{_QUOTED}|{_MACRO}|[^\s"`\[\]|]++)'
 _OPTION = _QUOTED + r"|\w+\s*=\s*(?:" + _QUOTED + r'|[^\s,"\[\]|]+)'
 _WHITESPACE = " \t\n\r\f\x0b"
 
-_SPAN = "array<struct<begin:int,depth:int,end:int>>"
-_WAITING, _CLOSED = -1, -2
-
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times in ``body``."""
@@ -131,39 +128,84 @@ def _spaced(text: Column) -> Column:
     return F.when(plain, _strip(text)).otherwise(F.array_join(F.transform(_pieces(text, ATOM), _strip), " "))
 
 
+def _is_bracket(mark: Column) -> Column:
+    return mark.isin("[", "]")
+
+
+def _with_depths(marks: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of the brackets ``(i, v, before, after)`` and of all other segments ``(i, v, depth)``, in text order.
+
+    No depth is carried along. The j-th opening bracket that is the p-th of all brackets has p - j closing ones before it, so it
+    opens depth 2j + 1 - p; the k-th closing one ends depth p - 2k. Any other segment has the depth after the bracket before it, and
+    how many brackets come before it follows from its place among all segments and among the others. Everything is a
+    filter, a lookup or a sort of the segments.
+    """
+
+    def numbered(array: Column) -> Column:
+        return F.transform(array, lambda x, n: F.struct(x["i"].alias("i"), x["v"].alias("v"), n.alias("n")))
+
+    def depths(brackets: Column) -> Column:
+        opening = F.transform(
+            F.filter(brackets, lambda b: b["v"] == "["),
+            lambda b, j: F.struct(b["i"].alias("i"), b["v"].alias("v"), (2 * j - b["n"]).alias("before"), (2 * j + 1 - b["n"]).alias("after")),
+        )
+        closing = F.transform(
+            F.filter(brackets, lambda b: b["v"] == "]"),
+            lambda b, k: F.struct(b["i"].alias("i"), b["v"].alias("v"), (b["n"] - 2 * k).alias("before"), (b["n"] - 2 * k - 1).alias("after")),
+        )
+        return F.sort_array(F.concat(opening, closing))
+
+    def rest(others: Column, brackets: Column) -> Column:
+        def known(x: Column) -> Column:
+            depth = F.coalesce(F.get(brackets, x["i"] - x["n"] - 1)["after"], F.lit(0))
+            return F.struct(x["i"].alias("i"), x["v"].alias("v"), depth.alias("depth"))
+
+        return F.transform(others, known)
+
+    indexed = F.transform(marks, lambda v, i: F.struct(i.alias("i"), v.alias("v")))
+
+    def split(segments: Column) -> Column:
+        return F.struct(
+            depths(numbered(F.filter(segments, lambda x: _is_bracket(x["v"])))).alias("brackets"),
+            numbered(F.filter(segments, lambda x: ~_is_bracket(x["v"]))).alias("others"),
+        )
+
+    def placed(parts: Column) -> Column:
+        return F.struct(parts["brackets"].alias("brackets"), rest(parts["others"], parts["brackets"]).alias("others"))
+
+    return _let(_let(_let(indexed, split), placed), lambda parts: body(parts["brackets"], parts["others"]))
+
+
 def split_stages(text: Column) -> Column:
     """The top-level stages as strings, atoms joined by one blank.
 
     Pipes inside quotes or brackets do not split. A stage opened by a pipe keeps it as its first token. Closing the
-    outermost bracket ends the stage.
+    outermost bracket ends the stage. Works in a time that grows with the text, whatever the brackets in it.
     """
 
-    def step(acc: Column, v: Column) -> Column:
-        joined = F.concat_ws(" ", acc["current"], F.when(_is_mark(v), v).otherwise(_spaced(v)))
-        ends = (v == "]") & (acc["depth"] == 1)
-        splits = (v == "|") & (acc["depth"] == 0)
-        return F.struct(
-            F.when(v == "[", acc["depth"] + 1).when(v == "]", acc["depth"] - 1).otherwise(acc["depth"]).alias("depth"),
-            F.when(ends, F.lit(None)).when(splits, v).otherwise(joined).alias("current"),
-            F.when(ends, F.array_append(acc["done"], joined))
-            .when(splits & acc["current"].isNotNull(), F.array_append(acc["done"], acc["current"]))
-            .otherwise(acc["done"])
-            .alias("done"),
-        )
+    def begins(brackets: Column, others: Column) -> Column:
+        pipes = F.filter(others, lambda x: (x["v"] == "|") & (x["depth"] == 0))
+        ends = F.filter(brackets, lambda b: (b["v"] == "]") & (b["after"] == 0))
+        places = F.concat(F.array(F.lit(0)), F.transform(pipes, lambda x: x["i"]), F.transform(ends, lambda b: b["i"] + 1))
+        return F.sort_array(F.array_distinct(places))
 
-    def finish(acc: Column) -> Column:
-        last = acc["current"]
-        return F.when(last.isNull(), acc["done"]).otherwise(F.array_append(acc["done"], last))
+    def piece(marks: Column, begin: Column, end: Column) -> Column:
+        spaced = F.transform(
+            F.slice(marks, begin + 1, end - begin), lambda v: F.when(_is_mark(v), v).otherwise(_spaced(v))
+        )
+        return F.array_join(spaced, " ")
 
-    start = F.struct(
-        F.lit(0).alias("depth"),
-        F.lit(None).cast("string").alias("current"),
-        F.array().cast("array<string>").alias("done"),
-    )
+    def pieces(marks: Column, places: Column) -> Column:
+        each = F.transform(
+            places, lambda begin, n: F.struct(begin.alias("begin"), F.coalesce(F.get(places, n + 1), F.size(marks)).alias("end"))
+        )
+        full = F.filter(each, lambda p: p["begin"] < p["end"])
+        return F.transform(full, lambda p: piece(marks, p["begin"], p["end"]))
 
     def split(marks: Column) -> Column:
         flat = F.filter(F.transform(_pieces(text, _FLAT_STAGE), _spaced), lambda s: s != "")
-        return F.when(_has_brackets(text), F.aggregate(marks, start, step, finish)).otherwise(flat)
+        nested = _let(_with_depths(marks, begins), lambda places: pieces(marks, places))
+        return F.when(_has_brackets(text), nested).otherwise(flat)
 
     return _let(
         _marks(_pieces(text, SEGMENT)), lambda marks: F.when(_is_well_formed(text, marks), split(marks))
@@ -216,42 +258,38 @@ def _flat_spans(marks: Column) -> Column:
 
 
 def _nested_spans(marks: Column) -> Column:
-    """Begin, depth and end of every stage. ``open`` holds one entry per bracket depth: the begin of the stage that is
-    open there, or whether a stage may still begin."""
-
-    def step(acc: Column, x: Column) -> Column:
-        top = F.try_element_at(acc["open"], F.lit(-1))
-        below = F.slice(acc["open"], F.lit(1), F.size(acc["open"]) - 1)
-        v = x["v"]
-        closed = v.isin("|", "]") & (top >= 0)
-        span = F.struct(top.alias("begin"), (F.size(acc["open"]) - 1).alias("depth"), x["i"].alias("end"))
-        return F.struct(
-            F.when(v == "|", F.array_append(below, F.lit(_WAITING)))
-            .when(v == "]", below)
-            .when(
-                v == "[",
-                F.concat(
-                    below,
-                    F.array(F.when(top == _WAITING, F.lit(_CLOSED)).otherwise(top), F.lit(_WAITING)),
-                ),
+    """Begin, depth and end of every stage, in text order.
+
+    A stage ends at the next pipe of its depth or where its bracket closes. Between two beginnings at one depth there is always
+    such an end, so among all beginnings and ends in the order of depth and place, a beginning's end is the one after it.
+    """
+
+    def spans(brackets: Column, others: Column) -> Column:
+        def event(depth: Column, place: Column, begins: bool) -> Column:
+            return F.struct(depth.alias("depth"), place.alias("i"), F.lit(begins).alias("begins"))
+
+        starting = F.filter(others, lambda x: _starts_stage(marks, x["i"]))
+        pipes = F.filter(others, lambda x: x["v"] == "|")
+        closing = F.filter(brackets, lambda b: b["v"] == "]")
+        events = F.sort_array(
+            F.concat(
+                F.transform(starting, lambda x: event(x["depth"], x["i"], True)),
+                F.transform(pipes, lambda x: event(x["depth"], x["i"], False)),
+                F.transform(closing, lambda b: event(b["before"], b["i"], False)),
+                F.array(event(F.lit(0), F.size(marks), False)),
             )
-            .when(top == _WAITING, F.array_append(below, x["i"]))
-            .otherwise(acc["open"])
-            .alias("open"),
-            F.when(closed, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
         )
 
-    def finish(acc: Column) -> Column:
-        top = F.try_element_at(acc["open"], F.lit(-1))
-        span = F.struct(top.alias("begin"), F.lit(0).alias("depth"), F.size(marks).alias("end"))
-        return F.array_sort(F.when(top >= 0, F.array_append(acc["spans"], span)).otherwise(acc["spans"]))
+        def matched(ordered: Column) -> Column:
+            def span(e: Column, n: Column) -> Column:
+                end = F.get(ordered, n + 1)["i"]
+                return F.when(e["begins"], F.struct(e["i"].alias("begin"), e["depth"].alias("depth"), end.alias("end")))
 
-    start = F.struct(
-        F.array(F.lit(_WAITING)).alias("open"),
-        F.array().cast(_SPAN).alias("spans"),
-    )
-    indexed = F.transform(marks, lambda v, i: F.struct(i.alias("i"), v.alias("v")))
-    return F.aggregate(indexed, start, step, finish)
+            return F.filter(F.transform(ordered, span), lambda found: found.isNotNull())
+
+        return F.sort_array(_let(events, matched))
+
+    return _with_depths(marks, spans)
 
 
 def _canonical(text: Column) -> Column:
@@ -316,8 +354,10 @@ def stages(text: Column) -> Column:
 
 
 def categories(text: Column) -> Column:
-    """T4: the category of every stage, in order."""
-    return F.transform(stages(text), lambda s: stage_category(s["command"], s["token_class"], s["args"]))
+    """T4: the category of every stage, in order. Only texts that hold ``addtotals`` need more of a stage than its word."""
+    by_word = F.transform(command_words(text), lambda w: stage_category(w["value"], w["token_class"], F.lit("")))
+    by_stage = F.transform(stages(text), lambda s: stage_category(s["command"], s["token_class"], s["args"]))
+    return F.when(F.lower(text).contains("addtotals"), by_stage).otherwise(by_word)
 
 
 def text_digest(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from searchlog.operators.ids import with_sequential_ids
-from searchlog.operators.slices import HOT_ROWS, MICROS, micros, row_gaps, slice_of
+from searchlog.operators.slices import HOT_ROWS, MICROS, micros, row_gaps, slice_of, sliced_gaps, window_gaps
 
 SESSION_GAP_S = 1800.0
 
@@ -21,11 +21,20 @@ def session_input(queries: DataFrame, drop_suspicious: bool = True) -> DataFrame
     return queries.filter(_in_scope(drop_suspicious))
 
 
+def _deltas(gaps: DataFrame) -> DataFrame:
+    return gaps.withColumn("delta_s", F.coalesce(F.col("gap_us"), F.lit(0)) / MICROS).drop("gap_us", "ts_us")
+
+
 def query_deltas(queries: DataFrame, drop_suspicious: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``delta_s``, seconds since the user's previous query in the session input; 0 for the first."""
     rows = session_input(queries, drop_suspicious).withColumn("ts_us", F.unix_micros("ts"))
-    gaps = row_gaps(rows, ["user_id"], hot_rows)
-    return gaps.withColumn("delta_s", F.coalesce(F.col("gap_us"), F.lit(0)) / MICROS).drop("gap_us", "ts_us")
+    return _deltas(row_gaps(rows, ["user_id"], hot_rows))
+
+
+def session_deltas(queries: DataFrame, drop_suspicious: bool = True, sliced: bool = False) -> DataFrame:
+    """W1 where it is known whether users have very many rows (``sliced``) or not, as in a clustered table."""
+    rows = session_input(queries, drop_suspicious).withColumn("ts_us", F.unix_micros("ts"))
+    return _deltas((sliced_gaps if sliced else window_gaps)(rows, ["user_id"]))
 
 
 def session_slices(

@@ -147,20 +147,28 @@ def weighted_intervals(points: DataFrame, *columns: str) -> DataFrame:
 
 
 def row_gaps(rows: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``rows`` plus ``gap_us``: distance to the key's previous row by ``(ts_us, query_id)``, null for the first.
-
-    Hot rows get it by a join on ``query_id``, which is unique on both sides and so balanced whatever the keys are.
-    """
+    """``rows`` plus ``gap_us``: distance to the key's previous row by ``(ts_us, query_id)``, null for the first."""
     cold, hot = split_hot(rows, keys, hot_rows)
+    return window_gaps(cold, keys).unionByName(sliced_gaps(hot, keys))
+
+
+def window_gaps(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``row_gaps`` by a window over the key."""
     by_time = Window.partitionBy(*keys).orderBy("ts_us", "query_id")
-    cold = cold.withColumn("gap_us", F.col("ts_us") - F.lag("ts_us").over(by_time))
+    return rows.withColumn("gap_us", F.col("ts_us") - F.lag("ts_us").over(by_time))
 
-    points = sliced_points(instants(hot, keys), keys).select(
+
+def sliced_gaps(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``row_gaps`` for keys with very many rows.
+
+    Rows get their gap by a join on ``query_id``, which is unique on both sides and so balanced whatever the keys are.
+    """
+    points = sliced_points(instants(rows, keys), keys).select(
         F.col("first_id").alias("query_id"), F.col("gap_us").alias("_gap_us"), F.lit(True).alias("_head")
     )
     gap = F.when(F.col("_head"), F.col("_gap_us")).otherwise(F.lit(0).cast("long"))
-    hot = hot.join(points, "query_id", "left").withColumn("gap_us", gap)
-    return cold.unionByName(hot.select(*cold.columns))
+    gaps = rows.join(points, "query_id", "left").withColumn("gap_us", gap)
+    return gaps.select(*rows.columns, "gap_us")
 
 
 def with_children(parents: DataFrame, children: DataFrame, key: str, child_keys: DataFrame | None = None) -> DataFrame:

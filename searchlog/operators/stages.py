@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -32,6 +33,27 @@ def stages(queries: DataFrame) -> DataFrame:
     )
 
 
+def texts_of(queries: DataFrame) -> DataFrame:
+    """The distinct texts of queries with their digests: ``text_key``, ``text``. Equal texts are one before they are shuffled."""
+    keyed = queries.filter(F.col("text").isNotNull()).select(text_functions.text_digest(F.col("text")).alias("text_key"), "text")
+    return keyed.groupBy("text_key").agg(F.first("text").alias("text"))
+
+
+def join_texts(queries: DataFrame, parsed: DataFrame) -> DataFrame:
+    """``parsed`` (with ``text_key``) for every query (``query_id``, ``text``): digests travel, texts don't.
+
+    A text that very many queries have is a skewed key whose rows in ``parsed`` are few, so adaptive execution can split it.
+    """
+    keyed = queries.select("query_id", text_functions.text_digest(F.col("text")).alias("text_key"))
+    return keyed.join(parsed, "text_key").drop("text_key")
+
+
+def once_per_text(queries: DataFrame, parse: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """T1-T4, T14 for logs that repeat texts: ``parse`` (one of the operators here) takes every distinct text apart once."""
+    texts = texts_of(queries).withColumnRenamed("text_key", "query_id")
+    return join_texts(queries, parse(texts).withColumnRenamed("query_id", "text_key"))
+
+
 def query_tokens(queries: DataFrame) -> DataFrame:
     """T1, one row per token; texts that are not well formed yield none."""
     parsed = queries.select("query_id", F.posexplode(text_functions.tokens(F.col("text"))).alias("position", "t"))

@@ -20,7 +20,7 @@ from searchlog.operators.integrity import fk_violations
 from searchlog.plans import testlog
 from searchlog.plans.testlog import AUDIT_SQL, EXPORT_SQL, QUERIES_SQL, USERS_SQL
 from searchlog.runtime import scratch_path
-from searchlog.sources import audit, readers, store
+from searchlog.sources import audit, clustered, dictionary, readers, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -726,6 +726,8 @@ def _(spark, sf_dir):
     return _json_columns(readers.read_json_log(spark, path, multi_line=False))
 
 
+_BRACED_SQL = "replace(text, ' | ', ' | \"},{\" ')"
+
 _RECORDS_SQL = f"""WITH {EXPORT_SQL},
 rec AS (SELECT CASE WHEN is_interactive THEN 'historical' ELSE 'other' END AS searchtype,
                CASE WHEN event_range IS NOT NULL THEN '60' END AS "range", '  ' || text || chr(9) AS search,
@@ -1093,6 +1095,90 @@ def _(spark, sf_dir):
     return audit.audit_to_log_2012(testlog.audit_events(spark, sf_dir)).withColumn("ts_us", _us("_time")).drop("_time")
 
 
+# --- Stored layouts ---------------------------------------------------------------------------------------------------
+
+
+def _clustered(spark: SparkSession, rows: DataFrame, name: str, root: str) -> clustered.Clustered:
+    """A clustered table in several buckets, with the users of more than 70 rows out of them."""
+    return clustered.write_clustered(rows, root, name, hot_rows=70, rows_per_file=1000)
+
+
+@query(
+    "clustered_reads",
+    f"""{_WITH_SESSIONS_8H}
+    SELECT 'query' AS kind, user_id, query_id AS id, ts_us, text FROM q WHERE user_id IN (7, 8)
+    UNION ALL SELECT 'session', user_id, session_id, start_us, NULL FROM sn WHERE user_id IN (7, 8)
+    UNION ALL SELECT 'in session', s.user_id, query_id, ts_us, text FROM s JOIN sn USING (user_id, session_seq)
+    WHERE session_id IN (5, 600)""",
+)
+def _(spark, sf_dir):
+    """Reads of single users and sessions from clustered tables."""
+    root, rows = scratch_path(spark, "clustered"), testlog.queries(spark, sf_dir)
+    found = sessions.sessionize(rows, gap_s=_HOUR8)
+    stored_sessions = _clustered(spark, sessions.number_sessions(found), "sessions", root)
+    stored = _clustered(spark, sessions.queries_with_session(rows, gap_s=_HOUR8), "queries", root)
+
+    def shown(kind: str, df: DataFrame, id_column: str, ts: str, text: Column) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), "user_id", F.col(id_column).alias("id"), _us(ts).alias("ts_us"), text.alias("text"))
+
+    none, parts = F.lit(None).cast("string"), []
+    for user in (7, 8):
+        parts.append(shown("query", clustered.queries_of_user(stored, user), "query_id", "ts", F.col("text")))
+        parts.append(shown("session", clustered.sessions_of_user(stored_sessions, user), "session_id", "start_ts", none))
+    for session in (5, 600):
+        in_session = clustered.queries_in_session(stored, stored_sessions, session)
+        parts.append(shown("in session", in_session, "query_id", "ts", F.col("text")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("clustered_sessions", ORACLES["sessionize_8h"])
+def _(spark, sf_dir):
+    stored = _clustered(spark, testlog.queries(spark, sf_dir), "queries", scratch_path(spark, "clustered"))
+    return _session_columns(clustered.sessions_of(stored, gap_s=_HOUR8))
+
+
+@query("clustered_deltas", ORACLES["query_deltas"])
+def _(spark, sf_dir):
+    stored = _clustered(spark, testlog.queries(spark, sf_dir), "queries", scratch_path(spark, "clustered"))
+    return clustered.query_deltas(stored).select("query_id", "user_id", _us("ts").alias("ts_us"), "delta_s")
+
+
+@query("stages_once_per_text", ORACLES["stages"])
+def _(spark, sf_dir):
+    return stages.once_per_text(testlog.queries(spark, sf_dir), stages.stages)
+
+
+@query(
+    "text_dictionary",
+    f"""{_TEXTS.replace(QUERIES_SQL, testlog.TEXT_QUERIES_SQL)} SELECT query_id, {_STAGE} FROM q JOIN st USING (text)
+    WHERE command IN ('stats', 'eval', 'the')""",
+)
+def _(spark, sf_dir):
+    """The stages of some commands, from a dictionary that was filled by two loads with texts in common."""
+    rows, root = testlog.text_queries(spark, sf_dir), scratch_path(spark, "dictionary")
+    dictionary.initialize_dictionary(spark, root)
+    dictionary.load_texts(rows.filter(F.col("user_id") < 25), root)
+    dictionary.load_texts(rows, root)
+    return dictionary.stages_of_queries(rows, root, ["stats", "eval", "the"])
+
+
+@query("read_csv_layout", ORACLES["read_csv_log"])
+def _(spark, sf_dir):
+    """Files of a declared layout, in splits."""
+    path = scratch_path(spark, "csv_log")
+    _write_csv(testlog.export_2014(spark, sf_dir), path)
+    return _log_columns(readers.read_csv_log(spark, path, multi_line=False, layout="format_2014"))
+
+
+@query("read_json_arrays", f"WITH {EXPORT_SQL} SELECT {_JSON_LOG.replace('text', f'{_BRACED_SQL} AS text')} FROM x")
+def _(spark, sf_dir):
+    """Files that are one array each, with braces and quotes in texts, read in splits."""
+    path = scratch_path(spark, "json_arrays")
+    braced = F.regexp_replace("search", "(?<=\\S) \\| ", ' | "},{" ')
+    store.json_array_sink(testlog.export_2012(spark, sf_dir).withColumn("search", braced), path)
+    return _json_columns(readers.read_json_log(spark, path, pattern="part-*"))
+
+
 # --- Dense times ------------------------------------------------------------------------------------------------------
 # The events of a user lie hours apart. With a clock that runs 600 times faster, sessions hold many queries and intervals
 # fill the histogram.

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +44,9 @@ def load_base(log: Log, root: str) -> BaseTables:
 
 
 def load_parsed(spark: SparkSession, root: str) -> DataFrame:
-    """The stage table of the stored queries; texts that are not well formed have no rows."""
-    write_table(stage_operators.stages(read_table(spark, root, "queries")), root, "stages")
+    """The stage table of the stored queries; texts that are not well formed have no rows. Equal texts are parsed once."""
+    queries = read_table(spark, root, "queries")
+    write_table(stage_operators.once_per_text(queries, stage_operators.stages), root, "stages")
     return read_table(spark, root, "stages")
 
 
@@ -102,6 +106,21 @@ def json_sink(df: DataFrame, path: str, max_records_per_file: int = 100_000) ->
     df.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file).json(path)
 
 
+def json_array_sink(df: DataFrame, path: str) -> None:
+    """S2's format: files that are one JSON array each, a record on each line; a partition becomes a file."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = "["
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            marks = [mark] + [","] * (len(texts) - 1)
+            yield pa.RecordBatch.from_pydict({"value": [m + t for m, t in zip(marks, texts, strict=True)]})
+            mark = "," if texts else mark
+        yield pa.RecordBatch.from_pydict({"value": ["[]" if mark == "[" else "]"]})
+
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+
+
 def _documents(kind: str, rows: DataFrame, *fields: Column | str) -> DataFrame:
     return rows.select(F.lit(kind).alias("kind"), "user_id", F.to_json(F.struct(*fields)).alias("json"))
 

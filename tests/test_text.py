@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +98,64 @@ def test_very_long_quotes_and_many_stages(spark):
     assert [r.n for r in rows] == [2, 3000, 60]
 
 
+def _spans_by_stack(marks):
+    """(begin, depth, end) of every stage, by walking the segments with a stack of open stages."""
+    spans, open_ = [], [None]
+    waiting = [True]
+    for i, mark in enumerate(marks):
+        if mark in "|]" and open_[-1] is not None:
+            spans.append((open_[-1], len(open_) - 1, i))
+            open_[-1] = None
+        if mark == "|":
+            waiting[-1] = True
+        elif mark == "[":
+            waiting[-1] = False
+            open_.append(None)
+            waiting.append(True)
+        elif mark == "]":
+            open_.pop()
+            waiting.pop()
+        elif waiting[-1]:
+            open_[-1], waiting[-1] = i, False
+    if open_[-1] is not None:
+        spans.append((open_[-1], 0, len(marks)))
+    return sorted(spans)
+
+
+def test_spans_against_a_stack(spark):
+    rng = random.Random(11)
+    lists = []
+    for _ in range(300):
+        marks, depth = [], 0
+        for _ in range(rng.randrange(30)):
+            mark = rng.choice("||[[]]xxx")
+            if (mark == "]" and not depth) or (mark == "x" and marks and marks[-1] == "x"):
+                continue
+            depth += (mark == "[") - (mark == "]")
+            marks.append(mark)
+        lists.append(marks + ["]"] * depth)
+    deep = ["["] * 50_000 + ["x"] + ["]"] * 50_000
+    wide = [m for _ in range(33_000) for m in ("|", "x", "[", "x", "]", "x")]
+    lists += [deep, wide]
+    frame = spark.createDataFrame([(n, marks) for n, marks in enumerate(lists)], "n long, marks array<string>")
+    rows = frame.select("n", tx._nested_spans(F.col("marks")).alias("spans")).collect()
+    for row in rows:
+        assert [tuple(s) for s in row.spans] == _spans_by_stack(lists[row.n])
+
+
+def test_a_hundred_thousand_brackets(spark):
+    """Work grows with the text: ten times the brackets must not take a hundred times as long."""
+    text = "search a" + " [search b | head 1] | eval c=1" * 50_000
+    split = [f"{'| eval c=1 ' if n else 'search a '}[ search b | head 1 ]" for n in range(50_000)]
+    start = time.time()
+    row = _frame(spark, [text]).select(
+        F.size(tx.stages(F.col("text"))).alias("stages"), tx.split_stages(F.col("text")).alias("split")
+    ).first()
+    assert time.time() - start < 60
+    assert row.stages == 150_001
+    assert row.split == [*split, "| eval c=1"]
+
+
 def _one(spark, text, column):
     return _frame(spark, [text]).select(column(F.col("text")).alias("x")).first()["x"]
 
