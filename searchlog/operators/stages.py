@@ -121,12 +121,11 @@ def stages_with_commands(queries: DataFrame, commands: list[str]) -> DataFrame:
     return stages_by_command(stages(queries.filter(named)), commands)
 
 
-def unique_stages(queries: DataFrame, commands: list[str] | None = None) -> DataFrame:
-    """The first occurrence of every distinct stage, in query order.
+def first_stages(queries: DataFrame, commands: list[str] | None = None) -> DataFrame:
+    """The first occurrence of every distinct stage, by query and position, with its digest as ``key``.
 
-    ``stage_id`` is ``<query_id>.<n>``, n counting the stages that are new in that query. Only the first query of every
-    distinct text can contribute, so texts are reduced to that before they are taken apart; the first occurrence of a
-    stage is an aggregation with map-side combine. The numbering window holds the stages of one query.
+    Only the first query of every distinct text can contribute, so texts are reduced to that before they are taken apart; the
+    first occurrence of a stage is an aggregation with map-side combine.
     """
     first_of_text = queries.groupBy("text").agg(F.min("query_id").alias("query_id"))
     parsed = first_of_text.select("query_id", F.inline(text_functions.stages(F.col("text")))).select(
@@ -134,8 +133,17 @@ def unique_stages(queries: DataFrame, commands: list[str] | None = None) -> Data
     )
     candidates = stages_by_command(parsed, commands).withColumn("key", text_functions.text_digest(F.col("stage_key")))
     row = F.struct("query_id", *_STAGE_COLUMNS)
-    first = candidates.groupBy("key").agg(F.min_by(row, F.struct("query_id", "position")).alias("first")).select("first.*")
+    first = candidates.groupBy("key").agg(F.min_by(row, F.struct("query_id", "position")).alias("first"))
+    return first.select("key", "first.*")
 
+
+def unique_stages(queries: DataFrame, commands: list[str] | None = None) -> DataFrame:
+    """The first occurrence of every distinct stage, in query order.
+
+    ``stage_id`` is ``<query_id>.<n>``, n counting the stages that are new in that query. The numbering window holds the
+    stages of one query. ``sources.incremental`` keeps the result over many loads.
+    """
+    first = first_stages(queries, commands)
     in_query = Window.partitionBy("query_id").orderBy("position")
     return first.withColumn("n", F.row_number().over(in_query) - 1).select(
         F.concat_ws(".", "query_id", "n").alias("stage_id"), "query_id", *_STAGE_COLUMNS

@@ -20,7 +20,8 @@ from searchlog.operators.integrity import fk_violations
 from searchlog.plans import testlog
 from searchlog.plans.testlog import AUDIT_SQL, EXPORT_SQL, QUERIES_SQL, USERS_SQL
 from searchlog.runtime import scratch_path
-from searchlog.sources import audit, clustered, dictionary, readers, store
+from searchlog.sources import audit, clustered, dictionary, incremental, readers, store
+from searchlog.streaming.sessions import run_available, stream_deltas, stream_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1179,6 +1180,120 @@ def _(spark, sf_dir):
     return _json_columns(readers.read_json_log(spark, path, pattern="part-*"))
 
 
+# --- Loads that add, and streams --------------------------------------------------------------------------------------
+
+# The first load takes two thirds of the log, the second one the rest and some of the first again.
+_FIRST, _SECOND = "event_id % 3 <> 0", "event_id % 3 <> 1"
+
+
+def _loads(spark: SparkSession, sf_dir: str, first: str, second: str) -> str:
+    """Tables filled by two loads of parts of the log, the sessions and unique stages after each."""
+    root, export = scratch_path(spark, "loads"), testlog.export_2014(spark, sf_dir)
+    number = F.substring_index("search_id", "_", -1).cast("long")
+    export = export.withColumn("event_id", number)
+    incremental.initialize(spark, root)
+    for part in (first, second):
+        log = readers.normalize_log(export.filter(part).drop("event_id"), "format_2014")
+        incremental.append_base(spark, log, root)
+        incremental.append_sessions(spark, root)
+        incremental.append_unique_stages(spark, root)
+    return root
+
+
+def _loads_sql(first: str) -> str:
+    return f"""WITH {EXPORT_SQL},
+lx AS (SELECT *, CASE WHEN {first} THEN 1 ELSE 2 END AS load FROM x),
+lu AS (SELECT name, case_id, min(load) AS load FROM lx GROUP BY name, case_id),
+un AS (SELECT name, case_id, CAST(row_number() OVER (ORDER BY load, name, case_id) AS BIGINT) AS user_id FROM lu),
+q AS (SELECT CAST(row_number() OVER (ORDER BY load, user_id, ts_us, text, event_id) AS BIGINT) AS query_id, user_id, text,
+             ts_us, is_interactive, load FROM lx JOIN un USING (name, case_id)),
+f AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY user_id ORDER BY ts_us, query_id) AS gap_us
+      FROM q WHERE is_interactive AND load = 1),
+fs AS (SELECT *, count(*) FILTER (gap_us > 1800000000) OVER (PARTITION BY user_id ORDER BY ts_us, query_id
+              ROWS UNBOUNDED PRECEDING) AS seq FROM f),
+fi AS (SELECT user_id, seq, row_number() OVER (ORDER BY user_id, seq) - 1 AS id FROM (SELECT DISTINCT user_id, seq FROM fs)),
+old AS (SELECT query_id, id FROM fs JOIN fi USING (user_id, seq)),
+{_sessions_sql(1800 * 10**6, "is_interactive").lstrip()},
+k AS (SELECT user_id, session_seq, min(id) AS id FROM s LEFT JOIN old USING (query_id) GROUP BY user_id, session_seq),
+ids AS (SELECT user_id, session_seq, CASE WHEN id IS NULL THEN
+          (SELECT count(*) FROM fi) + row_number() OVER (PARTITION BY id IS NULL ORDER BY user_id, session_seq) - 1
+        ELSE id END AS session_id FROM k)"""
+
+
+@query(
+    "two_loads",
+    f"""{_loads_sql(_FIRST)}
+    SELECT query_id, user_id, text, ts_us, session_id FROM q LEFT JOIN s USING (query_id, user_id, text, ts_us)
+    LEFT JOIN ids USING (user_id, session_seq)""",
+)
+def _(spark, sf_dir):
+    """Queries with their ids and sessions after two loads that overlap in time, users and rows."""
+    root = _loads(spark, sf_dir, _FIRST, _SECOND)
+    placed = incremental.query_sessions(spark, root).drop("user_id")
+    found = incremental.queries(spark, root).join(placed, "query_id", "left")
+    return found.select("query_id", "user_id", "text", _us("ts").alias("ts_us"), "session_id")
+
+
+@query(
+    "two_loads_sessions",
+    f"""{_loads_sql(_FIRST)} SELECT session_id, user_id, session_seq, start_us, end_us, duration_s, n_queries
+    FROM ss JOIN ids USING (user_id, session_seq)""",
+)
+def _(spark, sf_dir):
+    found = incremental.sessions(spark, _loads(spark, sf_dir, _FIRST, _SECOND))
+    return _session_columns(found.drop("session_id")).join(found.select("user_id", "session_seq", "session_id"), ["user_id", "session_seq"])
+
+
+@query(
+    "two_loads_unique_stages",
+    f"""{_loads_sql("event_id % 10 < 4")}, {_texts_sql("SELECT text FROM q")},
+    a AS (SELECT query_id, {_STAGE}, row_number() OVER (PARTITION BY stage_key ORDER BY query_id, position) AS n
+          FROM q JOIN st USING (text)),
+    b AS (SELECT * EXCLUDE (n), query_id || '.' || (row_number() OVER (PARTITION BY query_id ORDER BY position) - 1) AS stage_id
+          FROM a WHERE n = 1)
+    SELECT stage_id, query_id, {_STAGE} FROM b""",
+)
+def _(spark, sf_dir):
+    return incremental.unique_stages(spark, _loads(spark, sf_dir, "event_id % 10 < 4", "event_id >= 0"))
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as a stream of files."""
+    path = scratch_path(spark, "stream")
+    rows = testlog.queries(spark, sf_dir)
+    rows.write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+def _streamed(spark: SparkSession, found: DataFrame) -> DataFrame:
+    out = scratch_path(spark, "stream-out")
+    run_available(found, out, scratch_path(spark, "stream-state"))
+    return spark.read.schema(found.schema).parquet(out)
+
+
+# What is given out is what the watermark, an hour before the last query in whole milliseconds, leaves behind.
+_WATERMARK = f"(SELECT max(ts_us) // 1000 * 1000 - CAST(3600000000 AS BIGINT) FROM q WHERE {_CLEAN})"
+
+
+@query(
+    "stream_sessions",
+    f"""{_WITH_SESSIONS_30M} SELECT user_id, start_us, end_us, duration_s, n_queries FROM ss
+    WHERE end_us + 1800000001 <= {_WATERMARK}""",
+)
+def _(spark, sf_dir):
+    found = _streamed(spark, stream_sessions(_stream(spark, sf_dir)))
+    return found.select("user_id", _us("start_ts").alias("start_us"), _us("end_ts").alias("end_us"), "duration_s", "n_queries")
+
+
+@query(
+    "stream_deltas",
+    f"""{_WITH_SESSIONS_30M} SELECT query_id, user_id, ts_us, coalesce(gap_us, 0) / 1e6 AS delta_s FROM s
+    WHERE ts_us < {_WATERMARK}""",
+)
+def _(spark, sf_dir):
+    return _streamed(spark, stream_deltas(_stream(spark, sf_dir)))
+
+
 # --- Dense times ------------------------------------------------------------------------------------------------------
 # The events of a user lie hours apart. With a clock that runs 600 times faster, sessions hold many queries and intervals
 # fill the histogram.

@@ -9,16 +9,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Patterns of the recipes.
-_EARLIEST = r"search_et=(.*?), search_lt"
-_LATEST = r"search_lt=(.*?), is_realtime"
-_SEARCH = r"(?s)search='(.*?)', autojoin"
+# What stands around the fields of the recipes in a raw line: earliest and latest time, search text.
+_MARKS = (("search_et=", ", search_lt"), ("search_lt=", ", is_realtime"), ("search='", "', autojoin"))
 _EXCLUDED_TYPES = ("subsearch", "summary_director", "dm_acceleration")
 _EXCLUDED_TEXTS = ("_internal", "_audit")
 
 
-def _capture(pattern: str) -> Column:
-    return F.when(F.col("_raw").rlike(pattern), F.regexp_extract("_raw", pattern, 1))
+def _field(start: str, end: str, any_line: bool) -> str:
+    """Looks ahead for the first field from one mark to the next end mark, which may be absent."""
+    return rf"(?=(?:[\s\S]*?({start}{'[\s\S]' if any_line else '.'}*?)(?={end}))?)"
+
+
+# The fields with their first mark, so that an empty field differs from an absent one, put one after the other.
+_FIELDS = "^" + "".join(_field(*marks, any_line=n == 2) for n, marks in enumerate(_MARKS)) + r"[\s\S]*$"
+_BETWEEN = "\x01"
+
+
+def _with_fields(events: DataFrame) -> DataFrame:
+    """``events`` with ``et``, ``lt`` and ``text``, the first of each in the raw line or null. A line is matched once."""
+    joined = F.regexp_replace("_raw", _FIELDS, _BETWEEN.join(f"${n}" for n in (1, 2, 3)))
+
+    def fields(parts: Column) -> Column:
+        named = []
+        for n, ((start, _), name) in enumerate(zip(_MARKS, ("et", "lt", "text"), strict=True)):
+            part = F.get(parts, F.lit(n))
+            named.append(F.when(part != "", F.substr(part, F.lit(len(start) + 1))).alias(name))
+        return F.struct(*named)
+
+    parts = F.array(F.split(joined, _BETWEEN, len(_MARKS)))
+    return events.select("*", F.inline(F.transform(parts, fields)))
 
 
 def _unquote(value: Column) -> Column:
@@ -54,7 +73,7 @@ def audit_to_log_2014(events: DataFrame, sysinfo: DataFrame, limit: int | None =
     """
     version_6 = sysinfo.filter(F.col("splunk_version").startswith("6")).select("index").distinct()
     audit = events.filter((F.col("action") == "search") & F.col("source").endswith("audit.log"))
-    audit = audit.join(version_6, "index", "left_semi")
+    audit = _with_fields(audit.join(version_6, "index", "left_semi"))
 
     rt_id = F.col("search_id").startswith("rt")
     raw_flag = F.col("is_realtime")
@@ -76,13 +95,13 @@ def audit_to_log_2014(events: DataFrame, sysinfo: DataFrame, limit: int | None =
         search_id.alias("search_id"),
         _known_user().alias("user"),
         F.col("total_run_time").try_cast("double").alias("total_run_time"),
-        _unquote(_capture(_SEARCH)).alias("search"),
+        _unquote(F.col("text")).alias("search"),
         "savedsearch_name",
         F.col("index").alias("case_id"),
         search_type.alias("search_type"),
         F.when((raw_flag == "1") | ((raw_flag == "N/A") & rt_id), "true").otherwise("false").alias("is_realtime"),
-        _capture(_EARLIEST).alias("search_et"),
-        _capture(_LATEST).alias("search_lt"),
+        F.col("et").alias("search_et"),
+        F.col("lt").alias("search_lt"),
     )
     firsts = ["user", "search", "case_id", "search_type", "is_realtime", "search_et"]
     grouped = (
@@ -118,16 +137,16 @@ def audit_to_log_2014(events: DataFrame, sysinfo: DataFrame, limit: int | None =
 def audit_to_log_2012(events: DataFrame) -> DataFrame:
     """The recipe for older versions. ``search_et`` and ``search_lt`` are the sets of values seen for an id; the
     range is taken where each set has one value."""
-    audit = events.filter((F.col("action") == "search") & F.col("source").endswith("audit.log"))
+    audit = _with_fields(events.filter((F.col("action") == "search") & F.col("source").endswith("audit.log")))
     fields = audit.select(
         "_time",
         "event_id",
         _unquote(F.coalesce("search_id", "id")).alias("search_id"),
         _known_user().alias("user"),
         F.col("total_run_time").try_cast("double").alias("total_run_time"),
-        _capture(_SEARCH).alias("search"),
-        _capture(_EARLIEST).alias("search_et"),
-        _capture(_LATEST).alias("search_lt"),
+        F.col("text").alias("search"),
+        F.col("et").alias("search_et"),
+        F.col("lt").alias("search_lt"),
     )
     grouped = (
         fields.filter(F.col("search_id").isNotNull())
