@@ -1278,7 +1278,7 @@ _WATERMARK = f"(SELECT max(ts_us) // 1000 * 1000 - CAST(3600000000 AS BIGINT) FR
 @query(
     "stream_sessions",
     f"""{_WITH_SESSIONS_30M} SELECT user_id, start_us, end_us, duration_s, n_queries FROM ss
-    WHERE end_us + 1800000001 <= {_WATERMARK}""",
+    WHERE end_us + 1800000000 <= {_WATERMARK}""",
 )
 def _(spark, sf_dir):
     found = _streamed(spark, stream_sessions(_stream(spark, sf_dir)))

@@ -32,8 +32,8 @@ def stream_sessions(
     Spark keeps one row of state per open session, whatever the number of its queries. A session is open until the
     watermark is more than the gap beyond its last query. Sessions have no numbers, as an earlier one may still be open.
     """
-    # Two queries exactly one gap apart are in one session; a session window ends just before its end.
-    window = F.session_window("ts", f"{micros(gap_s) + 1} microseconds")
+    # Spark joins session windows that touch, so that two queries exactly one gap apart are in one session.
+    window = F.session_window("ts", f"{micros(gap_s)} microseconds")
     rows = session_input(queries, drop_suspicious).select("user_id", "ts").withWatermark("ts", delay)
     found = rows.groupBy("user_id", window).agg(
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("n_queries")

@@ -179,11 +179,14 @@ def test_streamed_sessions_and_deltas(spark, tmp_path):
     )
 
 
-def test_a_streamed_gap_of_exactly_the_limit(spark, tmp_path):
+@pytest.mark.parametrize("at_once", [True, False])
+def test_a_streamed_gap_of_exactly_the_limit(spark, tmp_path, at_once):
     rows = [(1, "x", 0, True, False, 1), (2, "x", 1800, True, False, 1), (3, "x", 3600.000001, True, False, 1)]
     rows = [(q, t, s + 60, *flags) for q, t, s, *flags in rows]  # a watermark starts at 1970, which is late then
     path, stream = _stream(spark, tmp_path)
-    _append(spark, path, [*rows, (9, "x", 90_000, True, False, 2)])
-    run_available(stream_sessions(stream), str(tmp_path / "out"), str(tmp_path / "state"))
+    rows.append((9, "x", 90_000, True, False, 2))
+    for part in [rows] if at_once else [[row] for row in rows]:
+        _append(spark, path, part)
+        run_available(stream_sessions(stream, delay="2 hours"), str(tmp_path / "out"), str(tmp_path / "state"))
     found = spark.read.parquet(str(tmp_path / "out")).orderBy("start_ts").collect()
     assert [(r.n_queries, r.end_ts - r.start_ts) for r in found] == [(2, timedelta(seconds=1800)), (1, timedelta(0))]
