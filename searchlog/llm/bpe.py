@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from searchlog.llm.common import bounded_batches, documents
 
-#: Entries that a worker's memos hold before the half not used lately goes; only speed depends on it.
-MEMO_ENTRIES = 600_000
+#: Entries that a worker's memos hold before the half not used lately goes, and the length of what is kept; only speed depends on them.
+MEMO_ENTRIES, MEMO_LENGTH = 600_000, 64
 
 
 class Memo(dict):
@@ -39,6 +39,8 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.function(key)
+        if len(key) > MEMO_LENGTH:
+            return value
         if len(self) >= self.half:
             self.old = dict(self)
             self.clear()
@@ -55,8 +57,14 @@ class Bpe:
         self.latin = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         self.most = max(map(len, ranks))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        # For every node of the trie the longest token on the way to it.
+        self.on_way: dict[str, int] = {}
         for token, rank in self.latin.items():
             self.automaton.add_word(token, rank)
+            longest = rank
+            for end in range(1, len(token) + 1):
+                longest = self.latin.get(token[:end], longest)  # one byte is always a token
+                self.on_way[token[:end]] = longest
         self.prefix: dict[int, int | None] = {}
         self.lengths = {rank: len(token) for token, rank in ranks.items()}
         self._undo_merges()
@@ -95,12 +103,9 @@ class Bpe:
                 return True
 
     def _longest(self, text: str, at: int) -> int:
-        """The longest token that starts at a place: down the trie as far as it goes, back up to where a token ends."""
+        """The longest token that starts at a place: down the trie as far as it goes, and the last token on that way."""
         rest = text[at : at + self.most]
-        length = self.automaton.longest_prefix(rest)
-        while (token := self.latin.get(rest[:length])) is None:
-            length -= 1
-        return token
+        return self.on_way[rest[: self.automaton.longest_prefix(rest)]]
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one piece. A piece that is a token is that token, however it was merged."""
@@ -158,25 +163,34 @@ class Codec:
         def bpe() -> Bpe:
             return load(vocabulary.value, pattern, path)
 
-        @F.arrow_udf("array<int>")
-        def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def coded(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in texts:
-                ids, ends = array("i"), [0]
+                ids, ends, decoded = array("i"), [0], []
                 for text in batch:
-                    ids.extend(bpe().encode(text.as_py()))
+                    found = bpe().encode(text.as_py())
+                    ids.extend(found)
                     ends.append(len(ids))
-                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
+                    decoded.append(bpe().decode(found))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
+                yield pa.StructArray.from_arrays([lists, pa.array(decoded, pa.binary())], names=["ids", "decoded"])
 
-        @F.arrow_udf("binary")
         def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in ids:
                 yield pa.array([bpe().decode(row.as_py()) for row in batch], pa.binary())
 
-        self._encode, self._decode = encode, decode
+        self._coded = F.arrow_udf(coded, "struct<ids array<int>, decoded binary>")
+        self._decode = F.arrow_udf(decode, "binary")
+
+    def coded(self, text: str | Column) -> Column:
+        """``ids``, the token ids of a text column, and ``decoded``, the bytes that they stand for.
+
+        There are no special tokens. Null and empty texts have no ids, an empty array, and empty bytes.
+        """
+        return self._coded(text)
 
     def encode(self, text: str | Column) -> Column:
         """Token ids of a text column, without special tokens. Null and empty texts have none: an empty array."""
-        return self._encode(text)
+        return self._coded(text)["ids"]
 
     def decode(self, ids: str | Column) -> Column:
         """The bytes that an array of token ids stands for. Null and empty arrays give empty bytes."""
@@ -190,7 +204,8 @@ def with_tokens(df: DataFrame, codec: Codec, text: str = "text", ids: str = "tok
     input column that has the name of a result column is replaced by it; an empty table gives an empty one.
     """
     bounded_batches(df.sparkSession)
-    return df.withColumn(ids, codec.encode(F.col(text))).withColumn(decoded, codec.decode(F.col(ids)))
+    rows = df.withColumn("_coded", codec.coded(F.col(text)))
+    return rows.withColumns({ids: F.col("_coded.ids"), decoded: F.col("_coded.decoded")}).drop("_coded")
 
 
 def production_codec(spark: SparkSession) -> Codec:
