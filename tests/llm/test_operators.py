@@ -402,6 +402,47 @@ def test_toxicity_grammar():
     assert toxicity.features(None) == toxicity.features("") == toxicity.features("fine words. " * 50)
 
 
+def test_toxicity_grammar_against_its_definition():
+    rng = random.Random(6)
+    words = {"insult": "idiot", "threat": "kill", "stem": "abcde", "target": "you", "negation": "not", "report": "said", "other": "x"}
+    for _ in range(3000):
+        kinds = [rng.choice([*words, "other", "other"]) for _ in range(rng.randrange(14))]
+        expected = []
+        for i, kind in enumerate(kinds):
+            if kind in ("insult", "threat", "stem"):
+                near = range(max(0, i - toxicity.REACH), i)
+                marks = {
+                    "negated": any(kinds[j] == "negation" for j in near),
+                    "reported": "report" in kinds[:i],
+                    "aimed": any(kinds[j] == "target" for j in [*near, *range(i + 1, min(len(kinds), i + 1 + toxicity.REACH))]),
+                    "repeated": any(k in ("insult", "threat", "stem") for k in kinds[:i]),
+                }
+                expected.append("+".join([kind, *[name for name, holds in marks.items() if holds]]))
+        found = toxicity.clause_patterns([words[k].encode() for k in kinds], ("abcd",))
+        assert found == expected and set(found) <= set(toxicity.PATTERNS)
+
+
+def test_toxicity_stems(spark):
+    """Words that no list holds, found by how they begin; a stem that is as frequent elsewhere is none."""
+    rng = random.Random(8)
+    ends = [f"{a}{b}" for a in "aeiou" for b in "bcdfgh"]
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 5 == 0
+        words = [rng.choice(["sun", "tree", "walks", "home."]) + rng.choice(ends) for _ in range(60)]
+        words[:5] = [("grumpf" if toxic else "lampe") + rng.choice(ends) for _ in range(5)]
+        rows.append((i, " ".join(rng.sample(words, len(words)))))
+        labels.append((i, int(toxic)))
+    docs, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
+    labelled = toxicity.labelled_texts(docs, known.filter("doc_id < 300"))
+    stems = toxicity.learn_stems(labelled)
+    assert stems and all("grumpf".startswith(stem[:6]) for stem in stems)
+    weights = toxicity.fit_weights(labelled, stems)
+    scored = {r["doc_id"]: r["score"] for r in toxicity.with_toxicity(docs, weights, stems).collect()}
+    assert all((s >= toxicity.THRESHOLD) == (i % 5 == 0) for i, s in scored.items())
+    assert toxicity.learn_stems(labelled.filter("_toxic = 0")) == toxicity.learn_stems(labelled.limit(0)) == ()
+
+
 def test_toxicity_weights(spark):
     rng = random.Random(4)
     rows, labels = [], []

@@ -105,8 +105,8 @@ def test_pipeline(spark):
     """Stage by stage in plain Python, with the same toxicity weights."""
     folder = data_dir(SF)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    weights = toxicity.production_weights(spark, docs, folder)
-    score = {i: 1 / (1 + np.exp(-(np.array(toxicity.features(t)) @ weights[:-1] + weights[-1]))) for i, t in documents_.items()}
+    weights, stems = toxicity.production_grammar(spark, docs, folder)
+    score = {i: 1 / (1 + np.exp(-(np.array(toxicity.features(t, stems)) @ weights[:-1] + weights[-1]))) for i, t in documents_.items()}
     texts = {i: t for i, t in documents_.items() if score[i] < toxicity.THRESHOLD}
     ids = sorted(texts)
     cleaned = brute_lines([texts[i] for i in ids], lines.MAX_EDITS, lines.MIN_CHARS)
