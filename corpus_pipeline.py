@@ -15,7 +15,7 @@ from searchlog.llm.common import row_key, written
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that score as toxic (operator 9); all others as they are."""
-    return toxicity.without_toxic(docs, toxicity.production_weights(spark, docs, sf_dir))
+    return toxicity.without_toxic(docs, *toxicity.production_grammar(spark, docs, sf_dir))
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
