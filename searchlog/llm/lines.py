@@ -147,6 +147,30 @@ def _count(text: Column, letter: str) -> Column:
     return F.char_length(text) - F.char_length(F.translate(text, letter, ""))
 
 
+def _parities(text: Column) -> Column:
+    """64 bits, each of which tells whether the pairs of neighbouring characters that hash to it are odd in number.
+
+    An edit takes away two such pairs and brings two at most, so that it changes at most four bits, whatever the length.
+    """
+
+    def fold(letters: Column) -> Column:
+        def bit(i: Column) -> Column:
+            place = F.xxhash64(F.get(letters, i), F.get(letters, i + 1)).bitwiseAND(63).cast("int")
+            return F.call_function("shiftleft", _long(1), place)
+
+        places = F.sequence(F.lit(0), F.size(letters) - 2)
+        return F.when(F.size(letters) > 1, F.aggregate(places, _long(0), lambda bits, i: bits.bitwiseXOR(bit(i)))).otherwise(_long(0))
+
+    return F.transform(F.array(F.split(text, "")), fold)[0]
+
+
+def _sides(pairs: DataFrame, texts: DataFrame, column: str, names: tuple[str, str]) -> DataFrame:
+    """``pairs`` with a column of the lines of both ends."""
+    for end, name in zip("ab", names, strict=True):
+        pairs = pairs.join(texts.select(F.col("line_id").alias(end), F.col(column).alias(name)), end)
+    return pairs
+
+
 def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
     """The lines of some ids, each once; the ids are few next to the lines, and Spark broadcasts them if they are small."""
     return lines.join(ids, "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
@@ -199,11 +223,12 @@ def _near_lines(lines: DataFrame, k: int, crowded: int) -> DataFrame:
 
     pairs = written(reduce(DataFrame.unionByName, found).distinct(), "line-candidates")
     ids = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct()
-    texts = written(_texts(lines, written(ids, "candidate-ids")), "candidate-lines")
-    texts = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("x")), "a").join(
-        texts.select(F.col("line_id").alias("b"), F.col("line").alias("y")), "b"
-    )
-    # An edit changes the count of a letter by one at most. That is seen at once and leaves few pairs to verify.
+    texts = _texts(lines, written(ids, "candidate-ids")).withColumn("bits", _parities(F.col("line")))
+    texts = written(texts, "candidate-lines")
+    # Eight bytes a line leave few pairs whose texts have to meet.
+    alike = _sides(pairs, texts, "bits", ("x", "y")).filter(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 4 * k)
+    texts = _sides(alike.select("a", "b"), texts, "line", ("x", "y"))
+    # An edit changes the count of a letter by one at most, too.
     counts = [F.abs(_count(F.col("x"), c) - _count(F.col("y"), c)) <= k for c in COMMON]
     texts = texts.filter(reduce(lambda a, b: a & b, counts))
     # Bound to a variable, the two arrays are made once for each pair; as columns they would be made again at each step.

@@ -141,9 +141,11 @@ def labelled_findings(docs: DataFrame, id_column: str = "doc_id", max_rows: int
     return made.select("*", F.explode(F.regexp_extract_all("word", F.lit(_RUN), F.lit(0))).alias("candidate"))
 
 
-def train(labelled: DataFrame) -> RandomForestClassificationModel:
-    """A forest of twenty trees, at most eight questions deep."""
+def train(labelled: DataFrame) -> RandomForestClassificationModel | None:
+    """A forest of twenty trees, at most eight questions deep; none without labelled findings."""
     rows = _assembled(with_features(labelled).withColumn("label", F.col("label").cast("double")))
+    if rows.isEmpty():
+        return None
     return RandomForestClassifier(
         featuresCol="features", labelCol="label", numTrees=20, maxDepth=8, seed=SEED
     ).fit(rows)
@@ -153,10 +155,18 @@ def _assembled(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """All findings of ``docs`` with ``probability`` and ``is_secret``. Columns of ``docs`` other than the two are not read."""
-    judged = model.transform(_assembled(with_features(findings(docs, id_column, text))))
+def scan(
+    docs: DataFrame, model: RandomForestClassificationModel | None, id_column: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """All findings of ``docs`` with ``probability`` and ``is_secret``. Columns of ``docs`` other than the two are not read.
+
+    Without a model findings have no probability and count as secrets, as nothing tells them from others.
+    """
+    found = with_features(findings(docs, id_column, text))
     kept = [id_column, "place", "nth", "candidate", "before", "after"]
+    if model is None:
+        return found.select(*kept, F.lit(None).cast("double").alias("probability"), F.lit(True).alias("is_secret"))
+    judged = model.transform(_assembled(found))
     return judged.select(*kept, F.round(vector_to_array("probability")[1], 9).alias("probability")).withColumn(
         "is_secret", F.col("probability") >= THRESHOLD
     )

@@ -139,3 +139,20 @@ def test_exact_copies_with_short_lines(spark):
     kept = corpus_pipeline.repeated_lines(spark, docs, "")
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(0, text), (3, texts[3])]
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, kept, "").collect()) == [0, 3]
+
+
+def test_secrets_on_odd_and_empty_tables(spark, tmp_path):
+    """Nulls, no rows and clashing columns, through the fit, the scan and the registered query."""
+    empty = table(spark, empty=True)
+    assert secrets.train(secrets.labelled_findings(empty)) is None
+    assert secrets.scan(empty, None).collect() == []
+    model = secrets.train(secrets.labelled_findings(table(spark)))
+    secret = "api_key = 'q8Zr3TmN0bVx7LkW2pHs9DfGc4JyQe1A'"
+    rows = [(1, None), (2, ""), (None, secret), (4, secret), (4, secret), (5, "word " * 50_000 + secret)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({name: F.lit("x") for name in EXTRA})
+    found = secrets.scan(docs, model).collect()
+    assert sorted(r["doc_id"] or 0 for r in found) == [0, 4, 4, 5]
+    assert all(r["candidate"].strip("'") == secret.split("'")[1] and r["is_secret"] is not None for r in found)
+    assert [r["is_secret"] for r in secrets.scan(docs.filter("doc_id = 5"), None).collect()] == [True]
+    empty.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    assert secrets.op4_secrets(spark, str(tmp_path)).collect() == []
