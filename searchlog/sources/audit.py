@@ -17,7 +17,8 @@ _EXCLUDED_TEXTS = ("_internal", "_audit")
 
 def _field(start: str, end: str, any_line: bool) -> str:
     """Looks ahead for the first field from one mark to the next end mark, which may be absent."""
-    return rf"(?=(?:[\s\S]*?({start}{'[\s\S]' if any_line else '.'}*?)(?={end}))?)"
+    inside = r"[\s\S]*?" if any_line else ".*?"
+    return rf"(?=(?:[\s\S]*?({start}{inside})(?={end}))?)"
 
 
 # The fields with their first mark, so that an empty field differs from an absent one, put one after the other.
