@@ -177,7 +177,8 @@ def repeated_spans(docs: DataFrame, window: int, mer: int, hot_minimiser: int) -
     shared = written(runs.drop("twice").join(counts, "mini"), "shared-super-kmers")
 
     def by_row(chosen: DataFrame) -> DataFrame:
-        places = chosen.groupBy("row").agg(F.collect_list(F.struct("mini", "start", "size")).alias("runs"))
+        # Repeated rows have one key and the same runs: a set, or each of them would pack the runs of all.
+        places = chosen.groupBy("row").agg(F.collect_set(F.struct("mini", "start", "size")).alias("runs"))
         return docs.select("id", "row", "text").join(places, "row")
 
     def pack(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
@@ -267,7 +268,7 @@ def without_repeats(
     bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_column).alias("id"), row_key(id_column, text).alias("row"), F.col(text).alias("text"))
     spans = repeated_spans(docs, window, mer, hot_minimiser)
-    of_row = spans.groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    of_row = spans.groupBy("row").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
 
     @F.arrow_udf("struct<n_words:bigint,n_removed:bigint,kept:string>")
     def keep(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
