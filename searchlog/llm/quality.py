@@ -14,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from searchlog.llm.common import bounded_batches, documents
+from searchlog.llm.common import bounded_batches, documents, written
 
 #: Bytes of a step, of a filter (two steps), steps of a chunk.
 STEP, CHUNK_STEPS = 4, 128
@@ -27,9 +27,11 @@ FILTERS = 24
 #: Bytes that go through the network at once; longer documents go in parts that overlap by a step.
 PART_BYTES = 1 << 18
 
-#: The fit reads at most so many labelled rows, chosen by hash of their ids, and so many chunks of each, evenly spread.
-MAX_TRAINING_ROWS = 2000
-MAX_TRAINING_CHUNKS = 12
+#: The fit reads at most so many labelled rows, chosen by hash of their ids, and so many bytes in all; it reads them whole.
+MAX_TRAINING_ROWS, MAX_TRAINING_BYTES = 2000, 1 << 24
+
+#: Chunks that the fit has as vectors at once.
+FIT_CHUNKS = 256
 
 EPOCHS = 30
 BATCH = 64
@@ -102,14 +104,9 @@ class Network:
 
 
 def training_chunks(text: str | None) -> list[bytes]:
-    """Chunks for the fit, evenly spread over the whole text."""
+    """All chunks of a text, each with the step after it."""
     data, size = (text or "").encode(), STEP * CHUNK_STEPS
-    n = -(-len(data) // size)
-    if n <= MAX_TRAINING_CHUNKS:
-        places = range(n)
-    else:
-        places = [i * (n - 1) // (MAX_TRAINING_CHUNKS - 1) for i in range(MAX_TRAINING_CHUNKS)]
-    return [data[p * size : p * size + size + STEP] for p in places]
+    return [data[at : at + size + STEP] for at in range(0, len(data), size)]
 
 
 class _Adam:
@@ -141,7 +138,7 @@ def fit(samples: list[list[bytes]], labels: list[int], epochs: int = EPOCHS) ->
             chosen = order[start : start + BATCH]
             gradients = {name: np.zeros_like(p) for name, p in parameters.items()}
             for i in chosen:
-                _add_gradients(net, parameters, gradients, _BYTES[chunks[i]].reshape(*chunks[i].shape[:2], -1), y[i])
+                _add_gradients(net, parameters, gradients, chunks[i], y[i])
             for name, g in gradients.items():
                 g /= len(chosen)
                 if name == "layer":
@@ -159,16 +156,26 @@ def _padded(sample: list[bytes]) -> np.ndarray:
     return out.reshape(len(sample), CHUNK_STEPS + 2, STEP)
 
 
-def _add_gradients(net: Network, parameters: dict, gradients: dict, cells: np.ndarray, label: float) -> None:
-    half, n = WIDTH // 2, len(cells)
+def _add_gradients(net: Network, parameters: dict, gradients: dict, chunks: np.ndarray, label: float) -> None:
+    """Forward over all chunks, some at a time, then back to the places of the largest responses."""
+    half, n = WIDTH // 2, len(chunks)
     if not n:
         error = 1 / (1 + np.exp(-parameters["bias"][0])) - label
         gradients["bias"] += error
         return
-    out = cells[:, :-1].reshape(-1, half) @ net.filters[:half] + cells[:, 1:].reshape(-1, half) @ net.filters[half:]
-    out = np.maximum(out + net.offsets, 0).reshape(n, -1, FILTERS)
-    places = out.argmax(axis=1)  # chunk, filter
-    best = np.take_along_axis(out, places[:, None, :], 1)[:, 0]
+
+    def cells_of(at: int) -> np.ndarray:
+        part = chunks[at : at + FIT_CHUNKS]
+        return _BYTES[part].reshape(*part.shape[:2], -1)
+
+    places, best = [], []
+    for at in range(0, n, FIT_CHUNKS):
+        cells = cells_of(at)
+        out = cells[:, :-1].reshape(-1, half) @ net.filters[:half] + cells[:, 1:].reshape(-1, half) @ net.filters[half:]
+        out = np.maximum(out + net.offsets, 0).reshape(len(cells), -1, FILTERS)
+        places.append(out.argmax(axis=1))  # chunk, filter
+        best.append(np.take_along_axis(out, places[-1][:, None, :], 1)[:, 0])
+    best = np.concatenate(best)
     winner = best.argmax(axis=0)
     features = np.concatenate([best[winner, np.arange(FILTERS)], best.mean(axis=0)])
     z = np.clip(features @ net.layer + parameters["bias"][0], -30, 30)
@@ -178,9 +185,11 @@ def _add_gradients(net: Network, parameters: dict, gradients: dict, cells: np.nd
     back = np.repeat(error * net.layer[FILTERS:][None] / n, n, axis=0)
     back[winner, np.arange(FILTERS)] += error * net.layer[:FILTERS]
     back *= best > 0
-    chunk = np.arange(n)[:, None]
-    gradients["filters"][:half] += np.einsum("cf,cfw->wf", back, cells[chunk, places])
-    gradients["filters"][half:] += np.einsum("cf,cfw->wf", back, cells[chunk, places + 1])
+    for at, place in zip(range(0, n, FIT_CHUNKS), places, strict=True):
+        cells, some = cells_of(at), back[at : at + FIT_CHUNKS]
+        chunk = np.arange(len(cells))[:, None]
+        gradients["filters"][:half] += np.einsum("cf,cfw->wf", some, cells[chunk, place])
+        gradients["filters"][half:] += np.einsum("cf,cfw->wf", some, cells[chunk, place + 1])
     gradients["offsets"] += back.sum(axis=0)
 
 
@@ -191,19 +200,28 @@ def _chunk_column(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, id_column: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    labels: DataFrame,
+    max_rows: int = MAX_TRAINING_ROWS,
+    id_column: str = "doc_id",
+    text: str = "text",
+    max_bytes: int = MAX_TRAINING_BYTES,
 ) -> Network:
     """A network from ``labels`` (id and ``quality`` 0 or 1), of which at most ``max_rows``, chosen by hash of the id, are used.
 
-    Labels that are null or belong to no document are left out.
+    Their texts are read whole. Rows with which the sample would hold more than ``max_bytes`` are left out of it, in the order
+    of the hash, as are labels that are null or belong to no document.
     """
     bounded_batches(docs.sparkSession)
     known = labels.select(F.col(id_column).alias("_id"), F.col("quality").alias("_label"))
     known = known.filter(F.col("_label").isNotNull() & F.col("_id").isNotNull())
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(max_rows)
-    # The chosen labels are bounded, so they may go to every task, and their chunks to the driver.
+    # The chosen labels are bounded, so they may go to every task, and their texts to the driver.
     found = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
-    rows = found.select("_id", _chunk_column("_text").alias("x"), F.col("_label").alias("y")).collect()
+    found = written(found.withColumn("_bytes", F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long")), "labelled-texts")
+    order = Window.orderBy(F.xxhash64("_id"), "_id", "_label", F.md5("_text"))  # over the chosen rows
+    sizes = found.filter(F.col("_bytes") <= max_bytes).select("*", F.sum("_bytes").over(order).alias("_sum"))
+    rows = sizes.filter(F.col("_sum") <= max_bytes).select("_id", _chunk_column("_text").alias("x"), F.col("_label").alias("y")).collect()
     rows.sort(key=lambda r: (r["_id"], r["y"], r["x"]))
     return fit([[bytes(c) for c in r["x"]] for r in rows], [int(r["y"]) for r in rows])
 

@@ -117,6 +117,29 @@ def test_substrings(spark, monkeypatch, hot, longest):
     assert any(r[1] for r in rows.values())
 
 
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_repeated_rows_pack_their_own_strings_only(spark, monkeypatch, hot):
+    """Twice the repeated rows make twice the packed strings, not four times as many."""
+    packed = []
+    real = substrings.map_arrow
+
+    def counted(df, function, schema):
+        found = real(df, function, schema)
+        if "packed" in schema:
+            packed.append(found)
+        return found
+
+    monkeypatch.setattr(substrings, "map_arrow", counted)
+    text, sizes = " ".join(f"w{i}" for i in range(300)), []
+    for copies in (40, 80):
+        packed.clear()
+        frame = spark.createDataFrame([(7, text)] * copies + [(8, "some other words")], SCHEMA)
+        found = substrings.without_repeats(frame, window=20, mer=3, hot_minimiser=hot).collect()
+        assert sorted((r["n_words"], r["n_removed"]) for r in found) == [(3, 0)] + [(300, 300)] * copies
+        sizes.append(sum(p.count() for p in packed))
+    assert sizes[1] == 2 * sizes[0]
+
+
 # --- 3 ---
 
 
@@ -278,6 +301,58 @@ def test_quality_network():
     assert 0 <= net.score(None) == net.score("") <= 1
 
 
+def test_quality_is_fitted_on_whole_texts(spark, monkeypatch):
+    """All chunks go into the fit, in parts as in one piece; the bound on bytes leaves out rows, not ends of texts."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh  .") for _ in range(rng.randint(3000, 30_000))) for _ in range(8)]
+    samples = [quality.training_chunks(t) for t in texts]
+    step = quality.STEP * quality.CHUNK_STEPS
+    assert all(b"".join(c[:step] for c in chunks) == t.encode() for chunks, t in zip(samples, texts))
+    whole = quality.fit(samples, [0, 1] * 4, epochs=2)
+    monkeypatch.setattr(quality, "FIT_CHUNKS", 3)
+    parts = quality.fit(samples, [0, 1] * 4, epochs=2)
+    assert np.allclose(whole.filters, parts.filters, atol=1e-4) and np.allclose(whole.layer, parts.layer, atol=1e-4)
+
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda samples, labels: seen.append((samples, labels)))
+    docs = spark.createDataFrame([*enumerate(texts), (90, None)], SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(8), 90, 91]], "doc_id long, quality int")
+    quality.train(docs, labels)
+    assert len(seen[0][0]) == 9 and sorted(map(len, seen[0][0])) == sorted([0, *map(len, samples)])
+    quality.train(docs, labels, max_bytes=sum(map(len, texts)) // 2)
+    assert 1 <= len(seen[1][0]) < 9 and all(chunks in [[], *samples] for chunks in seen[1][0])
+
+
+def test_quality_gradients():
+    """Against differences of the loss."""
+    rng = np.random.default_rng(3)
+    net = quality.Network.start()
+    chunks = quality._padded(quality.training_chunks("".join(map(chr, rng.integers(32, 127, 1500)))))
+    parameters = {"filters": net.filters.astype(np.float64), "offsets": net.offsets + 0.05, "layer": net.layer.astype(np.float64), "bias": np.zeros(1)}
+    net = quality.Network(parameters["filters"], parameters["offsets"], parameters["layer"], 0.0)
+    gradients = {name: np.zeros_like(p) for name, p in parameters.items()}
+    quality._add_gradients(net, parameters, gradients, chunks, 1.0)
+
+    def loss():
+        cells = quality._BYTES[chunks].reshape(*chunks.shape[:2], -1).astype(np.float64)
+        half = quality.WIDTH // 2
+        out = np.maximum(cells[:, :-1] @ net.filters[:half] + cells[:, 1:] @ net.filters[half:] + net.offsets, 0)
+        best = out.max(axis=1)
+        z = np.concatenate([best.max(axis=0), best.mean(axis=0)]) @ net.layer + parameters["bias"][0]
+        return np.log1p(np.exp(-z))
+
+    for name, parameter in parameters.items():
+        flat = parameter.reshape(-1)
+        for place in rng.integers(0, flat.size, 6):
+            before = flat[place]
+            flat[place] = before + 1e-5
+            above = loss()
+            flat[place] = before - 1e-5
+            below = loss()
+            flat[place] = before
+            assert abs((above - below) / 2e-5 - gradients[name].reshape(-1)[place]) < 1e-3
+
+
 def test_quality_covers_long_texts(monkeypatch):
     """A document in parts is described as in one piece."""
     net = quality.Network.start()
