@@ -6,9 +6,11 @@ have moved only a little. So each distinct line is indexed by its segments under
 substrings that can be a segment of an equally long or slightly shorter line. Pairs that meet are verified by a
 bit-parallel edit distance over a narrow band of the matrix: one number holds the band, whatever the length of the line.
 
-Keys under which very many lines are indexed are not joined. Those lines are cut again without the shared segment: the rests
-are within so many edits as well, so that the same index applies to them, below the shared segment's key. This goes on until
-no key is crowded or the rests have become so short that nothing is left to cut.
+Keys under which many lines are indexed are not joined. First their lines are compared with two of them, the most frequent line
+and one more: only groups matter, so lines that are linked over these need no other link between them, and a family of any size
+costs a comparison or two a line. Lines that are still apart are cut again without the shared segment: the rests are
+within so many edits as well, so that the same index applies to them, below the shared segment's key. This goes on until no key
+is crowded or the rests have become so short that nothing is left to cut; lines of one group never meet there.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ EDITS = ((0, MAX_EDITS), (50, 2), (75, 3))
 #: Shorter lines, in characters, are left alone: "}" or "Yes." repeat by right.
 MIN_CHARS = 20
 
-#: Lines indexed under one key before they are cut again.
-CROWDED = 100
+#: Lines indexed under one key before they are compared with two of them, and cut again.
+CROWDED = 32
 
 #: Characters whose counts are compared before two lines are.
 COMMON = "etaoinsrhldcum ,."
@@ -77,7 +79,7 @@ def _looked_up(text: Column, salt: Column, k: int) -> list[tuple[int, Column, Co
 
 def _index_rows(rows: DataFrame, text: Column, salt: Column, k: int) -> DataFrame:
     parts = [F.struct(key.alias("key"), rest.alias("rest")) for key, rest in _indexed(text, salt, k)]
-    return rows.select("line_id", F.inline(F.array(*parts)))
+    return rows.select("line_id", "family", F.inline(F.array(*parts)))
 
 
 def _probe_rows(rows: DataFrame, text: Column, salt: Column, k: int, delta: Column | None = None) -> DataFrame:
@@ -89,7 +91,7 @@ def _probe_rows(rows: DataFrame, text: Column, salt: Column, k: int, delta: Colu
         )
         for d, fits, key, rest in _looked_up(text, salt, k)
     ]
-    return rows.select("line_id", F.inline(F.array_compact(F.array(*parts))))
+    return rows.select("line_id", "family", F.inline(F.array_compact(F.array(*parts))))
 
 
 def within_edits(short: Column, long: Column, k: int) -> Column:
@@ -133,14 +135,17 @@ def within_edits(short: Column, long: Column, k: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), columns - 1), start, step)["edits"] <= k
 
 
-def _candidates(index: DataFrame, probe: DataFrame, crowded: DataFrame | None) -> DataFrame:
+def _candidates(index: DataFrame, probe: DataFrame, crowded: DataFrame | None, families: bool) -> DataFrame:
     if crowded is not None:
         index, probe = (side.join(crowded, "key", "left_anti") for side in (index, probe))
-    met = index.select("key", F.col("line_id").alias("a")).join(
-        probe.select("key", "delta", F.col("line_id").alias("b")), "key"
-    )
+    extra = [["family"], ["delta", "family"]] if families else [[], ["delta"]]
+    left = index.select("key", F.col("line_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in extra[0]])
+    right = probe.select("key", F.col("line_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in extra[1]])
     # Lines of one length meet both ways round.
-    return met.filter((F.col("a") != F.col("b")) & ((F.col("delta") > 0) | (F.col("a") < F.col("b")))).select("a", "b")
+    apart = (F.col("a") != F.col("b")) & ((F.col("b_delta") > 0) | (F.col("a") < F.col("b")))
+    if families:
+        apart &= F.col("a_family") != F.col("b_family")
+    return left.join(right, "key").filter(apart).select("a", "b")
 
 
 def _count(text: Column, letter: str) -> Column:
@@ -179,7 +184,9 @@ def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
 def near_lines(lines: DataFrame, edits: tuple[tuple[int, int], ...] = EDITS, crowded: int = CROWDED) -> DataFrame:
     """Pairs ``a``, ``b`` of ``line_id`` whose ``line`` is within the edits of the shorter one; ``lines`` may repeat lines.
 
-    Each length class is joined by itself, with the lines that are longer by its edits at most. A pair may come twice.
+    The pairs are enough to make the groups of lines that are linked directly or over others. They are not all pairs: of a crowded
+    key, lines that are linked over others may have no pair of their own. Each length class is joined by itself, with the lines that
+    are longer by its edits at most. A pair may come twice.
     """
     length, found = F.char_length("line"), []
     for n, (least, k) in enumerate(edits):
@@ -188,52 +195,83 @@ def near_lines(lines: DataFrame, edits: tuple[tuple[int, int], ...] = EDITS, cro
     return reduce(DataFrame.unionByName, found)
 
 
+def _verified(pairs: DataFrame, lines: DataFrame, k: int) -> DataFrame:
+    """The pairs within k edits. Only the lines of candidates are read again."""
+    pairs = written(pairs.distinct(), "line-candidates")
+    ids = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct()
+    texts = _texts(lines, written(ids, "candidate-ids")).withColumn("bits", _parities(F.col("line")))
+    texts = written(texts, "candidate-lines")
+    # Eight bytes a line leave few pairs whose texts have to meet.
+    alike = _sides(pairs, texts, "bits", ("x", "y")).filter(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 4 * k)
+    met = _sides(alike.select("a", "b"), texts, "line", ("x", "y"))
+    # An edit changes the count of a letter by one at most, too, as it does the length.
+    counts = [F.abs(_count(F.col("x"), c) - _count(F.col("y"), c)) <= k for c in COMMON]
+    counts.append(F.abs(F.char_length("x") - F.char_length("y")) <= k)
+    met = met.filter(reduce(lambda a, b: a & b, counts))
+    # Bound to a variable, the two arrays are made once for each pair; as columns they would be made again at each step.
+    ordered = F.char_length("x") <= F.char_length("y")
+    short, long = F.when(ordered, F.col("x")).otherwise(F.col("y")), F.when(ordered, F.col("y")).otherwise(F.col("x"))
+    letters = F.array(F.struct(F.split(short, "").alias("x"), F.split(long, "").alias("y")))
+    return met.filter(F.transform(letters, lambda pair: within_edits(pair["x"], pair["y"], k))[0]).select("a", "b")
+
+
+def _families(index: DataFrame, probe: DataFrame, lines: DataFrame, k: int) -> DataFrame:
+    """Links of the lines under crowded keys to the most frequent line under the key and to the smallest one."""
+    heads = index.groupBy("key").agg(
+        F.max_by("line_id", F.struct("times", "line_id")).alias("often"), F.min("line_id").alias("least")
+    )
+    members = index.select("key", "line_id").union(probe.select("key", "line_id")).distinct()
+    pairs = members.join(heads, "key").select("line_id", F.explode(F.array("often", "least")).alias("head"))
+    pairs = pairs.filter(F.col("line_id") != F.col("head"))
+    return _verified(pairs.select(F.least("line_id", "head").alias("a"), F.greatest("line_id", "head").alias("b")), lines, k)
+
+
+def _apart(index: DataFrame, probe: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides without the keys under which all lines are of one family."""
+    sides = index.select("key", "family").union(probe.select("key", "family"))
+    mixed = sides.groupBy("key").agg(F.min("family").alias("low"), F.max("family").alias("high"))
+    mixed = mixed.filter(F.col("low") != F.col("high")).select("key")
+    return index.join(mixed, "key", "left_semi"), probe.join(mixed, "key", "left_semi")
+
+
 def _near_lines(lines: DataFrame, k: int, crowded: int) -> DataFrame:
-    """Pairs of lines within k edits. Lines are reduced to their ids and keys before they are shuffled. Only the lines of candidates are read again.
-    """
+    """Pairs of lines within k edits that make the groups. Lines are reduced to their ids and keys before they are shuffled."""
     line, root = F.col("line"), _long(0)
     indexed, looked_up = _indexed(line, root, k), _looked_up(line, root, k)
     keys = [key.alias(f"i{n}") for n, (key, _) in enumerate(indexed)]
     keys += [F.when(fits, key).alias(f"p{n}") for n, (_, fits, key, _) in enumerate(looked_up)]
     keyed = lines.select("line_id", *keys).groupBy("line_id")
     names = [f"i{n}" for n in range(len(indexed))] + [f"p{n}" for n in range(len(looked_up))]
-    keyed = written(keyed.agg(*[F.first(name).alias(name) for name in names]), "line-keys")
-    index = keyed.select("line_id", F.explode(F.array(*names[: len(indexed)])).alias("key"))
+    first = [F.first(name).alias(name) for name in names]
+    keyed = written(keyed.agg(*first, F.count("*").alias("times")), "line-keys")
+    index = keyed.select("line_id", "times", F.explode(F.array(*names[: len(indexed)])).alias("key"))
     lookups = [
         F.struct(F.col(f"p{n}").alias("key"), F.lit(d).alias("delta")) for n, (d, *_) in enumerate(looked_up)
     ]
     probe = keyed.select("line_id", F.inline(F.array(*lookups))).filter(F.col("key").isNotNull())
 
-    found = []
+    found, linked = [], []
     for cut in range(MAX_CUTS + 1):
         sizes = index.groupBy("key").count().filter(F.col("count") > crowded)
         hot = written(sizes.select("key"), "crowded-keys") if cut < MAX_CUTS else None
         if hot is None or hot.isEmpty():
-            found.append(_candidates(index, probe, None))
+            found.append(_candidates(index, probe, None, cut > 0))
             break
-        found.append(_candidates(index, probe, hot))
+        found.append(_candidates(index, probe, hot, cut > 0))
         if cut == 0:  # the rests were not made so far, as they are as long as the lines
-            sides = [side.join(hot, "key", "left_semi").select("line_id") for side in (index, probe)]
-            texts = written(_texts(lines, written(sides[0].union(sides[1]).distinct(), "crowded-ids")), "crowded-lines")
+            sides = [written(side.join(hot, "key", "left_semi"), "crowded-lines") for side in (index, probe)]
+            linked.append(written(_families(*sides, lines, k), "family-links"))
+            ids = written(sides[0].select("line_id").union(sides[1].select("line_id")).distinct(), "crowded-ids")
+            families = connected_components(linked[0], "a", "b").withColumnRenamed("node", "line_id")
+            texts = _texts(lines, ids).join(families, "line_id", "left")
+            texts = texts.select("line_id", "line", F.coalesce("component", "line_id").alias("family"))
+            texts = written(texts, "crowded-lines")
             index, probe = _index_rows(texts, line, root, k), _probe_rows(texts, line, root, k)
-        index = written(index.join(hot, "key", "left_semi"), "crowded-index")
-        probe = written(probe.join(hot, "key", "left_semi"), "crowded-probe")
+        index, probe = _apart(index.join(hot, "key", "left_semi"), probe.join(hot, "key", "left_semi"))
+        index, probe = written(index, "crowded-index"), written(probe, "crowded-probe")
         index = _index_rows(index, F.col("rest"), F.col("key"), k)
         probe = _probe_rows(probe, F.col("rest"), F.col("key"), k, F.col("delta"))
-
-    pairs = written(reduce(DataFrame.unionByName, found).distinct(), "line-candidates")
-    ids = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct()
-    texts = _texts(lines, written(ids, "candidate-ids")).withColumn("bits", _parities(F.col("line")))
-    texts = written(texts, "candidate-lines")
-    # Eight bytes a line leave few pairs whose texts have to meet.
-    alike = _sides(pairs, texts, "bits", ("x", "y")).filter(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 4 * k)
-    texts = _sides(alike.select("a", "b"), texts, "line", ("x", "y"))
-    # An edit changes the count of a letter by one at most, too.
-    counts = [F.abs(_count(F.col("x"), c) - _count(F.col("y"), c)) <= k for c in COMMON]
-    texts = texts.filter(reduce(lambda a, b: a & b, counts))
-    # Bound to a variable, the two arrays are made once for each pair; as columns they would be made again at each step.
-    letters = F.array(F.struct(F.split("x", "").alias("x"), F.split("y", "").alias("y")))
-    return texts.filter(F.transform(letters, lambda pair: within_edits(pair["x"], pair["y"], k))[0]).select("a", "b")
+    return reduce(DataFrame.unionByName, [_verified(reduce(DataFrame.unionByName, found), lines, k), *linked])
 
 
 def _lines(text: Column) -> Column:

@@ -460,6 +460,24 @@ def test_edits_grow_with_the_line(spark):
         assert (removed[2 * n], removed[2 * n + 1]) == (0, int(edit_distance(a, b) <= k))
 
 
+@pytest.mark.parametrize("base", [True, False])
+def test_a_family_of_lines_costs_rows_in_proportion(spark, base):
+    """Lines that are all within the edits of each other, or of one line that is frequent, make one group by few pairs."""
+    text, letters = "the quick brown fox jumps over the lazy dog and runs on through the dark forest at night, twice", "abcdefghijklmnopqrstuvwxyz0123456789"
+    found = []
+    for n in (100, 200):
+        if base:  # each has an edit of its own, so that two of them are two edits apart
+            lines_ = [text[: 1 + i % 90] + letters[i // 90] + letters[i % 36] + text[3 + i % 90 :] for i in range(n)] + [text] * 5
+        else:  # one place differs
+            lines_ = [text[:40] + letters[i % 36] + letters[i // 36] + text[42:] for i in range(n)]
+        frame = spark.createDataFrame([(bytes(line, "ascii"), line) for line in lines_], "line_id binary, line string")
+        pairs = [tuple(map(bytes, r)) for r in lines.near_lines(frame, ((0, 2),), 16).collect()]
+        groups = groups_of({bytes(line, "ascii") for line in lines_}, pairs)
+        assert len(set(groups.values())) == 1
+        found.append(len(pairs))
+    assert found[1] <= 3 * found[0] and found[1] < 200 * 40
+
+
 # --- 9 ---
 
 
