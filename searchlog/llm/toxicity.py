@@ -65,7 +65,7 @@ MAX_TRAINING_ROWS = 20_000
 MAX_STEMS, STEM_CHARS, STEM_SUPPORT, STEM_RATIO, STEM_EVIDENCE = 256, range(4, 9), 5, 5.0, 25.0
 
 #: Words whose classes a worker remembers before it starts anew; only speed depends on it.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 50_000
 
 #: Weight of one matched clause before any label is seen, the sum over its pattern's parts, and of none.
 PRIOR = {
