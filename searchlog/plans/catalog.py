@@ -115,9 +115,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     numbered = sessions.queries_with_session(testlog.queries(spark, sf_dir), gap_s=_HOUR8)
-    return _plain(numbered.withColumn("search_type", F.col("search_type"))).join(
-        numbered.select("query_id", "session_id"), "query_id"
-    )
+    return numbered.withColumn("ts_us", _us("ts")).select(*_Q_COLUMNS.split(", "), "session_id")
 
 
 @query(
@@ -1186,8 +1184,8 @@ def _(spark, sf_dir):
 _FIRST, _SECOND = "event_id % 3 <> 0", "event_id % 3 <> 1"
 
 
-def _loads(spark: SparkSession, sf_dir: str, first: str, second: str) -> str:
-    """Tables filled by two loads of parts of the log, the sessions and unique stages after each."""
+def _loads(spark: SparkSession, sf_dir: str, first: str, second: str, append: Callable) -> str:
+    """Tables filled by two loads of parts of the log, with one more step after each."""
     root, export = scratch_path(spark, "loads"), testlog.export_2014(spark, sf_dir)
     number = F.substring_index("search_id", "_", -1).cast("long")
     export = export.withColumn("event_id", number)
@@ -1195,8 +1193,7 @@ def _loads(spark: SparkSession, sf_dir: str, first: str, second: str) -> str:
     for part in (first, second):
         log = readers.normalize_log(export.filter(part).drop("event_id"), "format_2014")
         incremental.append_base(spark, log, root)
-        incremental.append_sessions(spark, root)
-        incremental.append_unique_stages(spark, root)
+        append(spark, root)
     return root
 
 
@@ -1228,7 +1225,7 @@ ids AS (SELECT user_id, session_seq, CASE WHEN id IS NULL THEN
 )
 def _(spark, sf_dir):
     """Queries with their ids and sessions after two loads that overlap in time, users and rows."""
-    root = _loads(spark, sf_dir, _FIRST, _SECOND)
+    root = _loads(spark, sf_dir, _FIRST, _SECOND, incremental.append_sessions)
     placed = incremental.query_sessions(spark, root).drop("user_id")
     found = incremental.queries(spark, root).join(placed, "query_id", "left")
     return found.select("query_id", "user_id", "text", _us("ts").alias("ts_us"), "session_id")
@@ -1240,7 +1237,7 @@ def _(spark, sf_dir):
     FROM ss JOIN ids USING (user_id, session_seq)""",
 )
 def _(spark, sf_dir):
-    found = incremental.sessions(spark, _loads(spark, sf_dir, _FIRST, _SECOND))
+    found = incremental.sessions(spark, _loads(spark, sf_dir, _FIRST, _SECOND, incremental.append_sessions))
     return _session_columns(found.drop("session_id")).join(found.select("user_id", "session_seq", "session_id"), ["user_id", "session_seq"])
 
 
@@ -1254,7 +1251,8 @@ def _(spark, sf_dir):
     SELECT stage_id, query_id, {_STAGE} FROM b""",
 )
 def _(spark, sf_dir):
-    return incremental.unique_stages(spark, _loads(spark, sf_dir, "event_id % 10 < 4", "event_id >= 0"))
+    root = _loads(spark, sf_dir, "event_id % 10 < 4", "event_id >= 0", incremental.append_unique_stages)
+    return incremental.unique_stages(spark, root)
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
