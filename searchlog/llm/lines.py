@@ -33,7 +33,7 @@ EDITS = ((0, MAX_EDITS), (50, 2), (75, 3))
 MIN_CHARS = 20
 
 #: Lines indexed under one key before they are compared with two of them, and cut again.
-CROWDED = 32
+CROWDED = 100
 
 #: Characters whose counts are compared before two lines are.
 COMMON = "etaoinsrhldcum ,."
@@ -259,7 +259,7 @@ def _near_lines(lines: DataFrame, k: int, crowded: int) -> DataFrame:
             break
         found.append(_candidates(index, probe, hot, cut > 0))
         if cut == 0:  # the rests were not made so far, as they are as long as the lines
-            sides = [written(side.join(hot, "key", "left_semi"), "crowded-lines") for side in (index, probe)]
+            sides = [side.join(hot, "key", "left_semi") for side in (index, probe)]
             linked.append(written(_families(*sides, lines, k), "family-links"))
             ids = written(sides[0].select("line_id").union(sides[1].select("line_id")).distinct(), "crowded-ids")
             families = connected_components(linked[0], "a", "b").withColumnRenamed("node", "line_id")
