@@ -22,7 +22,8 @@ from searchlog.operators.sessions import SESSION_GAP_S, session_deltas, sessioni
 from searchlog.operators.slices import HOT_ROWS, split_hot
 from searchlog.sources.store import table_path
 
-#: Rows that a bucket, or a file of a very frequent user, should hold.
+#: Rows that a bucket, or a file of a very frequent user, should hold. Smaller files are written several by a task, so that tasks,
+#: each of which reports to the driver, depend on rows and not on files.
 ROWS_PER_FILE = 1_000_000
 
 #: Buckets of a table, at most; beyond them files grow.
@@ -31,14 +32,18 @@ MOST_BUCKETS = 65_536
 #: What the rows of a user are sorted by.
 ORDER = {"queries": ("ts", "query_id"), "sessions": ("session_seq",), "sessions_all": ("session_seq",), "users": ()}
 
-_LAYOUT = "buckets int, hot_files int"
+_LAYOUT = "buckets int, hot_files int, tasks int"
 
 
 class Clustered(NamedTuple):
-    """A stored table: users in buckets, and users with very many rows in files by user and time."""
+    """A stored table: users in buckets, and users with very many rows in files by user and time.
+
+    ``tasks`` wrote the buckets. Scans by bucket have a task for each; results over them are brought together to this number.
+    """
 
     cold: DataFrame
     hot: DataFrame
+    tasks: int
 
     def rows(self) -> DataFrame:
         return self.cold.unionByName(self.hot)
@@ -48,6 +53,11 @@ def _files(rows: int, rows_per_file: int) -> int:
     return max(1, min(MOST_BUCKETS, -(-rows // rows_per_file)))
 
 
+def _writers(spark: SparkSession, files: int, rows: int) -> int:
+    """Tasks that write the files: as many as a shuffle has, more if each would have over ``ROWS_PER_FILE`` rows."""
+    return min(files, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_FILE)))
+
+
 def _bucketed(spark: SparkSession, path: str, schema: T.StructType, buckets: int, order: tuple[str, ...]) -> DataFrame:
     """Stored buckets as a table of the session's catalog, which is what tells Spark how its rows are dealt."""
     name = f"clustered_{md5(path.encode()).hexdigest()}"
@@ -72,16 +82,19 @@ def write_clustered(
     rows = schemas.conform(df, schemas.TABLES[name])
     cold, hot = split_hot(rows, ["user_id"], hot_rows)
     order = ("user_id", *ORDER[name])
-    hot_files = _files(hot.count(), rows_per_file)
-    buckets = _files(rows.count(), rows_per_file)
-    ranges = hot.repartitionByRange(hot_files, *order).sortWithinPartitions(*order)
-    ranges.write.mode("overwrite").parquet(f"{path}/hot")
+    in_all, in_hot = rows.count(), hot.count()
+    buckets, hot_files = _files(in_all, rows_per_file), _files(in_hot, rows_per_file)
+    ranges = hot.repartitionByRange(_writers(spark, hot_files, in_hot), *order).sortWithinPartitions(*order)
+    writer = ranges.write.mode("overwrite").option("maxRecordsPerFile", max(rows_per_file, -(-in_hot // hot_files)))
+    writer.parquet(f"{path}/hot")
     table = f"clustered_{md5(f'{path}/cold'.encode()).hexdigest()}"
     spark.sql(f"DROP TABLE IF EXISTS {table}")
-    # Dealt the way buckets are, so that every task writes one file.
-    writer = cold.repartition(buckets, "user_id").write.mode("overwrite").option("path", f"{path}/cold")
+    # Dealt the way buckets are. Their number is a multiple of the tasks', so that a task has whole buckets and writes one file each.
+    tasks = _writers(spark, buckets, in_all)
+    buckets = tasks * min(-(-buckets // tasks), MOST_BUCKETS // tasks)
+    writer = cold.repartition(tasks, "user_id").write.mode("overwrite").option("path", f"{path}/cold")
     writer.bucketBy(buckets, "user_id").sortBy(*order).saveAsTable(table)
-    layout = spark.createDataFrame([(buckets, hot_files)], _LAYOUT)
+    layout = spark.createDataFrame([(buckets, hot_files, tasks)], _LAYOUT)
     layout.coalesce(1).write.mode("overwrite").json(f"{path}/layout")
     return read_clustered(spark, root, name)
 
@@ -91,12 +104,12 @@ def read_clustered(spark: SparkSession, root: str, name: str) -> Clustered:
     path, schema = table_path(root, name), schemas.TABLES[name]
     layout = spark.read.schema(_LAYOUT).json(f"{path}/layout").first()
     cold = _bucketed(spark, f"{path}/cold", schema, layout["buckets"], ("user_id", *ORDER[name]))
-    return Clustered(cold, spark.read.schema(schema).parquet(f"{path}/hot"))
+    return Clustered(cold, spark.read.schema(schema).parquet(f"{path}/hot"), layout["tasks"] or layout["buckets"])
 
 
 def per_user(table: Clustered, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """An operator that treats every user alone, on both parts. Over the buckets, windows and groups by user aren't shuffled."""
-    return operator(table.cold).unionByName(operator(table.hot))
+    return operator(table.cold).coalesce(table.tasks).unionByName(operator(table.hot))
 
 
 def queries_of_user(queries: Clustered, user_id: int) -> DataFrame:
@@ -121,9 +134,8 @@ def queries_in_session(queries: Clustered, sessions: Clustered, session_id: int,
 
 def query_deltas(queries: Clustered, drop_suspicious: bool = True) -> DataFrame:
     """W1 without a shuffle of the buckets; frequent users go over time slices."""
-    return session_deltas(queries.cold, drop_suspicious).unionByName(
-        session_deltas(queries.hot, drop_suspicious, sliced=True)
-    )
+    cold = session_deltas(queries.cold, drop_suspicious).coalesce(queries.tasks)
+    return cold.unionByName(session_deltas(queries.hot, drop_suspicious, sliced=True))
 
 
 def sessions_of(queries: Clustered, gap_s: float = SESSION_GAP_S, drop_suspicious: bool = True) -> DataFrame:

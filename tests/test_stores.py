@@ -88,6 +88,34 @@ def test_clustered_windows_need_no_shuffle(spark, stored):
     assert {(r.user_id, r.session_seq): r.n_queries for r in found} == sizes and len(found) == len(sizes)
 
 
+def test_clustered_files_are_written_several_by_a_task(spark):
+    """Every task reports to the driver; small files must not make many of them."""
+    rows = 6000
+    log = spark.range(rows).select(
+        (F.col("id") + 1).alias("query_id"),
+        F.lit("a").alias("text"),
+        F.timestamp_seconds(F.col("id")).alias("ts"),
+        F.lit(True).alias("is_interactive"),
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 1999).cast("long").alias("user_id"),
+    )
+    table = clustered.write_clustered(log, scratch_path(spark, "clustered"), "queries", hot_rows=1000, rows_per_file=20)
+    for part, files in ((table.cold, rows // 20), (table.hot, rows // 3 // 20)):
+        by_file = part.groupBy(F.input_file_name().alias("file")).agg(
+            F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count_distinct("user_id").alias("users")
+        )
+        found = by_file.orderBy("lo").collect()
+        # The name of a file begins with the number of its task.
+        tasks = {r.file.rsplit("/", 1)[1].split("-")[1] for r in found}
+        assert len(tasks) <= 8 < len(found) and files * 0.7 <= len(found) <= files * 1.2
+    assert max(r.n for r in found) <= 20 and all(a.hi < b.lo for a, b in zip(found, found[1:]))
+    buckets = table.cold.select("user_id", F.input_file_name().alias("file")).distinct().groupBy("user_id").count()
+    assert buckets.filter("count > 1").isEmpty()
+    assert Counter(r.query_id for r in table.rows().collect()) == Counter(range(1, rows + 1))
+    alone = clustered.Clustered(table.cold, table.hot.limit(0), table.tasks)
+    for read in (clustered.query_deltas(alone), clustered.sessions_of(alone)):
+        assert len({r.task for r in read.select(F.spark_partition_id().alias("task")).distinct().collect()}) <= 8
+
+
 def test_empty_clustered_table(spark):
     empty = spark.createDataFrame([], schemas.QUERIES)
     table = clustered.write_clustered(empty, scratch_path(spark, "clustered"), "queries")
