@@ -177,8 +177,8 @@ def _sides(pairs: DataFrame, texts: DataFrame, column: str, names: tuple[str, st
 
 
 def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """The lines of some ids, each once; the ids are few next to the lines, and Spark broadcasts them if they are small."""
-    return lines.join(ids, "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
+    """The lines of some ids; the ids are few next to the lines, and Spark broadcasts them if they are small."""
+    return lines.join(ids, "line_id", "left_semi").select("line_id", "line")
 
 
 def near_lines(lines: DataFrame, edits: tuple[tuple[int, int], ...] = EDITS, crowded: int = CROWDED) -> DataFrame:
@@ -188,11 +188,18 @@ def near_lines(lines: DataFrame, edits: tuple[tuple[int, int], ...] = EDITS, cro
     key, lines that are linked over others may have no pair of their own. Each length class is joined by itself, with the lines that
     are longer by its edits at most. A pair may come twice.
     """
+    once = lines.groupBy("line_id", "line").agg(F.count("*").alias("times"))
+    # A number takes half the room of an id, and less when it is compressed, in the many rows of keys that are shuffled.
+    once = written(once.withColumn("number", F.monotonically_increasing_id()), "distinct-lines")
+    numbered = once.select(F.col("number").alias("line_id"), "line", "times")
     length, found = F.char_length("line"), []
     for n, (least, k) in enumerate(edits):
         below = [length < start + k for start, _ in edits[n + 1 : n + 2]]
-        found.append(_near_lines(lines.filter(reduce(lambda a, b: a & b, below, length >= least)), k, crowded))
-    return reduce(DataFrame.unionByName, found)
+        found.append(_near_lines(numbered.filter(reduce(lambda a, b: a & b, below, length >= least)), k, crowded))
+    pairs = reduce(DataFrame.unionByName, found).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    for number, end in zip("xy", "ab", strict=True):
+        pairs = pairs.join(once.select(F.col("number").alias(number), F.col("line_id").alias(end)), number)
+    return pairs.select("a", "b")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, k: int) -> DataFrame:
@@ -235,20 +242,17 @@ def _apart(index: DataFrame, probe: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _near_lines(lines: DataFrame, k: int, crowded: int) -> DataFrame:
-    """Pairs of lines within k edits that make the groups. Lines are reduced to their ids and keys before they are shuffled."""
+    """Pairs of different lines, each there once, within k edits that make the groups.
+
+    Keys are made from the lines whenever they are needed: those of a line take more room than the line.
+    """
     line, root = F.col("line"), _long(0)
-    indexed, looked_up = _indexed(line, root, k), _looked_up(line, root, k)
-    keys = [key.alias(f"i{n}") for n, (key, _) in enumerate(indexed)]
-    keys += [F.when(fits, key).alias(f"p{n}") for n, (_, fits, key, _) in enumerate(looked_up)]
-    keyed = lines.select("line_id", *keys).groupBy("line_id")
-    names = [f"i{n}" for n in range(len(indexed))] + [f"p{n}" for n in range(len(looked_up))]
-    first = [F.first(name).alias(name) for name in names]
-    keyed = written(keyed.agg(*first, F.count("*").alias("times")), "line-keys")
-    index = keyed.select("line_id", "times", F.explode(F.array(*names[: len(indexed)])).alias("key"))
+    keys = F.explode(F.array(*[key for key, _ in _indexed(line, root, k)])).alias("key")
+    index = lines.select("line_id", "times", keys)
     lookups = [
-        F.struct(F.col(f"p{n}").alias("key"), F.lit(d).alias("delta")) for n, (d, *_) in enumerate(looked_up)
+        F.when(fits, F.struct(key.alias("key"), F.lit(d).alias("delta"))) for d, fits, key, _ in _looked_up(line, root, k)
     ]
-    probe = keyed.select("line_id", F.inline(F.array(*lookups))).filter(F.col("key").isNotNull())
+    probe = lines.select("line_id", F.inline(F.array_compact(F.array(*lookups))))
 
     found, linked = [], []
     for cut in range(MAX_CUTS + 1):
@@ -259,7 +263,7 @@ def _near_lines(lines: DataFrame, k: int, crowded: int) -> DataFrame:
             break
         found.append(_candidates(index, probe, hot, cut > 0))
         if cut == 0:  # the rests were not made so far, as they are as long as the lines
-            sides = [side.join(hot, "key", "left_semi") for side in (index, probe)]
+            sides = [written(side.join(hot, "key", "left_semi"), "crowded-sides") for side in (index, probe)]
             linked.append(written(_families(*sides, lines, k), "family-links"))
             ids = written(sides[0].select("line_id").union(sides[1].select("line_id")).distinct(), "crowded-ids")
             families = connected_components(linked[0], "a", "b").withColumnRenamed("node", "line_id")

@@ -5,6 +5,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from searchlog.llm import bpe, decontaminate, embeddings, lines, lm, quality, secrets, simhash, substrings, toxicity
 from searchlog.llm.components import connected_components
+from searchlog.runtime import scratch_root
 
 SCHEMA = "doc_id long, text string"
 
@@ -478,6 +480,22 @@ def test_a_family_of_lines_costs_rows_in_proportion(spark, base):
     assert found[1] <= 3 * found[0] and found[1] < 200 * 40
 
 
+def test_lines_without_a_neighbour_are_written_once(spark):
+    """Lines are kept, and not their keys, which take several times their room."""
+    folder = Path(scratch_root(spark)) / "searchlog"
+
+    def held():
+        return {path: path.stat().st_size for path in folder.rglob("*.parquet") if path.is_file()}
+
+    rng, before = random.Random(3), held()
+    some = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=100)) for _ in range(5000)]
+    near = some[0][:50] + "-" + some[0][51:]
+    frame = spark.createDataFrame([(bytes(line, "ascii")[:16], line) for line in some] + [(b"near", near)] * 3, "line_id binary, line string")
+    pairs = [set(map(bytes, r)) for r in lines.near_lines(frame).collect()]
+    assert {frozenset(pair) for pair in pairs} == {frozenset([bytes(some[0], "ascii")[:16], b"near"])}
+    assert sum(size for path, size in held().items() if path not in before) < 2 * sum(map(len, some))
+
+
 # --- 9 ---
 
 
