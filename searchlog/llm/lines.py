@@ -250,9 +250,9 @@ def _near_lines(lines: DataFrame, k: int, crowded: int) -> DataFrame:
     keys = F.explode(F.array(*[key for key, _ in _indexed(line, root, k)])).alias("key")
     index = lines.select("line_id", "times", keys)
     lookups = [
-        F.when(fits, F.struct(key.alias("key"), F.lit(d).alias("delta"))) for d, fits, key, _ in _looked_up(line, root, k)
+        F.struct(F.when(fits, key).alias("key"), F.lit(d).alias("delta")) for d, fits, key, _ in _looked_up(line, root, k)
     ]
-    probe = lines.select("line_id", F.inline(F.array_compact(F.array(*lookups))))
+    probe = lines.select("line_id", F.inline(F.array(*lookups))).filter(F.col("key").isNotNull())
 
     found, linked = [], []
     for cut in range(MAX_CUTS + 1):
