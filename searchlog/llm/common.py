@@ -65,9 +65,21 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return rows.select(*columns) if columns else rows
 
 
+#: Whether Spark removes a query's shuffle files when it ends; else they stay until the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the scratch folder that all executors share: computed once, whatever reads it how often."""
+    """``df`` as a table in the scratch folder that all executors share: computed once, whatever reads it how often.
+
+    The shuffle files that went into the table are removed with its last row.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

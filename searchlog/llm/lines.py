@@ -15,6 +15,7 @@ is crowded or the rests have become so short that nothing is left to cut; lines
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,59 +47,99 @@ def _long(value: int) -> Column:
     return F.lit(value).cast("long")
 
 
-def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of one of k + 1 segments of a text of that length."""
-    start = F.floor(length * i / (k + 1)).cast("int")
-    return start, F.floor(length * (i + 1) / (k + 1)).cast("int") - start
+def _segments(k: int) -> list[tuple[int, int, int]]:
+    """The segments under which a text is indexed, as (0, segment, 0)."""
+    return [(0, i, 0) for i in range(k + 1)]
 
 
-def _part(text: Column, salt: Column, length: Column, i: int, start: Column, size: Column) -> tuple[Column, Column]:
-    """The key of a part of a text, and the text without that part."""
-    left, right = text.substr(F.lit(1), start), text.substr(start + size + 1, F.char_length(text))
-    return F.xxhash64(salt, length, F.lit(i), text.substr(start + 1, size)), F.concat(left, right)
+def _lookups(k: int) -> list[tuple[int, int, int]]:
+    """Substrings that can be a segment of a text shorter by 0 to k: by how much, which segment, how far it has moved.
+
+    With i segments before it and k - i after it, a segment that stays whole moves no further than this.
+    """
+    return [
+        (d, i, move)
+        for d in range(k + 1)
+        for i in range(k + 1)
+        for move in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1)
+    ]
+
+
+def _edits_of(length: Column, edits: tuple[tuple[int, int], ...]) -> Column:
+    """The edits that a line of that length allows."""
+    return F.coalesce(*[F.when(length >= least, k) for least, k in reversed(edits)])
+
+
+def _classed(rows: DataFrame, edits: tuple[tuple[int, int], ...]) -> DataFrame:
+    """``rows`` with their edits ``k``; lines that are as long as the next class, but can be near a shorter one, come twice."""
+    length = F.char_length("line")
+    classes = []
+    for n, (least, k) in enumerate(edits):
+        below = [length < start + k for start, _ in edits[n + 1 : n + 2]]
+        classes.append(F.when(reduce(lambda a, b: a & b, below, length >= least), k))
+    return rows.withColumn("k", F.explode(F.array_compact(F.array(*classes))))
+
+
+def _by_edits(edits: tuple[tuple[int, int], ...], make: Callable[[int], Column]) -> Column:
+    """What ``make`` gives for a row's ``k``. So one plan serves all classes of lengths."""
+    return F.coalesce(*[F.when(F.col("k") == k, make(k)) for k in sorted({k for _, k in edits})])
 
 
-def _indexed(text: Column, salt: Column, k: int) -> list[tuple[Column, Column]]:
-    length = F.char_length(text)
-    return [_part(text, salt, length, i, *_segment(length, i, k)) for i in range(k + 1)]
+def _keyed(
+    rows: DataFrame,
+    keep: list[str],
+    text: Column,
+    salt: Column,
+    edits: tuple[tuple[int, int], ...],
+    places: Callable[[int], list[tuple[int, int, int]]],
+) -> DataFrame:
+    """``keep``, ``k``, ``key`` and the shorter text's difference ``d`` of every part of ``text`` that ``places`` names for ``k``.
+
+    The places are rows and their key is one expression. Spelt out for each of the 42 places of three classes, keys make code that
+    Spark cannot compile, or that Java only interprets.
+    """
+
+    def listed(k: int) -> Column:
+        return F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(place, ("d", "part", "move"), strict=True)]) for place in places(k)])
+
+    def begin(part: Column) -> Column:
+        return F.call_function("div", F.col("length") * part, F.col("k") + 1).cast("int")
+
+    rows = rows.select(*keep, "k", text.alias("text"), salt.alias("salt"), F.char_length(text).alias("n"))
+    rows = rows.select("*", F.inline(_by_edits(edits, listed))).withColumn("length", F.col("n") - F.col("d"))
+    size, start = begin(F.col("part") + 1) - begin(F.col("part")), begin(F.col("part")) + F.col("move")
+    rows = rows.withColumns({"size": size, "start": start})
+    rows = rows.filter((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n")))
+    part = F.col("text").substr(F.col("start") + 1, F.col("size"))
+    return rows.withColumn("key", F.xxhash64("salt", "length", "part", part))
 
 
-def _looked_up(text: Column, salt: Column, k: int) -> list[tuple[int, Column, Column, Column]]:
-    """Substrings that can be a segment of a text shorter by 0 to k: by how much, whether they lie in the text, key and rest."""
-    parts = []
-    for d in range(k + 1):
-        length = F.char_length(text) - d
-        for i in range(k + 1):
-            start, size = _segment(length, i, k)
-            # With i segments before it and k - i after it, a segment that stays whole moves no further than this.
-            for move in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1):
-                fits = (start + move >= 0) & (start + move + size <= F.char_length(text))
-                parts.append((d, fits, *_part(text, salt, length, i, start + move, size)))
-    return parts
+def _rest() -> Column:
+    """The text of a row of ``_keyed`` without the part."""
+    after = F.col("text").substr(F.col("start") + F.col("size") + 1, F.col("n"))
+    return F.concat(F.col("text").substr(F.lit(1), F.col("start")), after).alias("rest")
 
 
-def _index_rows(rows: DataFrame, text: Column, salt: Column, k: int) -> DataFrame:
-    parts = [F.struct(key.alias("key"), rest.alias("rest")) for key, rest in _indexed(text, salt, k)]
-    return rows.select("line_id", "family", F.inline(F.array(*parts)))
+def _index_rows(rows: DataFrame, text: Column, salt: Column, edits: tuple[tuple[int, int], ...]) -> DataFrame:
+    keyed = _keyed(rows, ["line_id", "family"], text, salt, edits, _segments)
+    return keyed.select("line_id", "family", "k", "key", _rest())
 
 
-def _probe_rows(rows: DataFrame, text: Column, salt: Column, k: int, delta: Column | None = None) -> DataFrame:
+def _probe_rows(rows: DataFrame, text: Column, salt: Column, edits: tuple[tuple[int, int], ...]) -> DataFrame:
     """Lookups of every length difference, or of the one that a row has."""
-    parts = [
-        F.when(
-            fits if delta is None else fits & (delta == d),
-            F.struct(key.alias("key"), rest.alias("rest"), F.lit(d).alias("delta")),
-        )
-        for d, fits, key, rest in _looked_up(text, salt, k)
-    ]
-    return rows.select("line_id", "family", F.inline(F.array_compact(F.array(*parts))))
+    known = [c for c in rows.columns if c == "delta"]
+    keyed = _keyed(rows, ["line_id", "family", *known], text, salt, edits, _lookups)
+    for delta in known:
+        keyed = keyed.filter(F.col("d") == F.col(delta))
+    return keyed.select("line_id", "family", "k", "key", _rest(), F.col("d").alias("delta"))
 
 
 def within_edits(short: Column, long: Column, k: int) -> Column:
     """Whether two arrays of characters are within k edits; ``long`` has 0 to k characters more, ``short`` over k in all.
 
     A band of 2k + 2 bits moves down the matrix with the columns: its top bit is k rows below the diagonal. At the bottom of the
-    matrix the last row's bit moves down through the band.
+    matrix the last row's bit moves down through the band. Neighbouring rows differ by one at most, so that the whole band is
+    over k once its lowest row is far over it; from there on nothing is computed.
     """
     width = 2 * k + 2
     top, full = 1 << (width - 1), (1 << width) - 1
@@ -123,11 +164,12 @@ def within_edits(short: Column, long: Column, k: int) -> Column:
         row = F.when(past >= 0, F.pow(F.lit(2.0), F.lit(width - 2) - past)).otherwise(0.0).cast("long")
         on_way = F.when(same.bitwiseAND(_long(top)) == 0, 1).otherwise(0)
         at_end = F.when(plus.bitwiseAND(row) != 0, 1).when(minus.bitwiseAND(row) != 0, -1).otherwise(0)
-        return F.struct(
+        after = F.struct(
             minus.bitwiseOR(mask.bitwiseXOR(half.bitwiseOR(plus))).alias("up"),
             half.bitwiseAND(plus).alias("down"),
             (state["edits"] + F.when(past < 0, on_way).otherwise(at_end)).alias("edits"),
         )
+        return F.when(state["edits"] > k + width, state).otherwise(after)
 
     start = F.struct(
         _long(((1 << (k + 1)) - 1) << (width - k - 1)).alias("up"), _long(0).alias("down"), F.lit(k).alias("edits")
@@ -185,44 +227,42 @@ def near_lines(lines: DataFrame, edits: tuple[tuple[int, int], ...] = EDITS, cro
     """Pairs ``a``, ``b`` of ``line_id`` whose ``line`` is within the edits of the shorter one; ``lines`` may repeat lines.
 
     The pairs are enough to make the groups of lines that are linked directly or over others. They are not all pairs: of a crowded
-    key, lines that are linked over others may have no pair of their own. Each length class is joined by itself, with the lines that
-    are longer by its edits at most. A pair may come twice.
+    key, lines that are linked over others may have no pair of their own. The lines of a length class share keys only with each other
+    and with the lines that are longer by its edits at most. A pair may come twice.
     """
     once = lines.groupBy("line_id", "line").agg(F.count("*").alias("times"))
     # A number takes half the room of an id, and less when it is compressed, in the many rows of keys that are shuffled.
     once = written(once.withColumn("number", F.monotonically_increasing_id()), "distinct-lines")
     numbered = once.select(F.col("number").alias("line_id"), "line", "times")
-    length, found = F.char_length("line"), []
-    for n, (least, k) in enumerate(edits):
-        below = [length < start + k for start, _ in edits[n + 1 : n + 2]]
-        found.append(_near_lines(numbered.filter(reduce(lambda a, b: a & b, below, length >= least)), k, crowded))
-    pairs = reduce(DataFrame.unionByName, found).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    pairs = _near_lines(numbered, edits, crowded).select(F.col("a").alias("x"), F.col("b").alias("y"))
     for number, end in zip("xy", "ab", strict=True):
         pairs = pairs.join(once.select(F.col("number").alias(number), F.col("line_id").alias(end)), number)
     return pairs.select("a", "b")
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, k: int) -> DataFrame:
-    """The pairs within k edits. Only the lines of candidates are read again."""
+def _verified(pairs: DataFrame, lines: DataFrame, edits: tuple[tuple[int, int], ...]) -> DataFrame:
+    """The pairs within the edits of the shorter line. Only the lines of candidates are read again."""
     pairs = written(pairs.distinct(), "line-candidates")
     ids = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct()
-    texts = _texts(lines, written(ids, "candidate-ids")).withColumn("bits", _parities(F.col("line")))
-    texts = written(texts, "candidate-lines")
-    # Eight bytes a line leave few pairs whose texts have to meet.
-    alike = _sides(pairs, texts, "bits", ("x", "y")).filter(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 4 * k)
-    met = _sides(alike.select("a", "b"), texts, "line", ("x", "y"))
+    mark = F.struct(_parities(F.col("line")).alias("bits"), _edits_of(F.char_length("line"), edits).alias("k"))
+    texts = written(_texts(lines, ids).withColumn("mark", mark), "candidate-lines")
+    # Some bytes a line leave few pairs whose texts have to meet.
+    alike = _sides(pairs, texts, "mark", ("x", "y")).withColumn("k", F.least("x.k", "y.k"))
+    alike = alike.filter(F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= 4 * F.col("k"))
+    met = _sides(alike.select("a", "b", "k"), texts, "line", ("x", "y"))
     # An edit changes the count of a letter by one at most, too, as it does the length.
-    counts = [F.abs(_count(F.col("x"), c) - _count(F.col("y"), c)) <= k for c in COMMON]
-    counts.append(F.abs(F.char_length("x") - F.char_length("y")) <= k)
+    counts = [F.abs(F.char_length("x") - F.char_length("y")) <= F.col("k")]
+    counts += [F.abs(_count(F.col("x"), c) - _count(F.col("y"), c)) <= F.col("k") for c in COMMON]
     met = met.filter(reduce(lambda a, b: a & b, counts))
     # Bound to a variable, the two arrays are made once for each pair; as columns they would be made again at each step.
     ordered = F.char_length("x") <= F.char_length("y")
     short, long = F.when(ordered, F.col("x")).otherwise(F.col("y")), F.when(ordered, F.col("y")).otherwise(F.col("x"))
     letters = F.array(F.struct(F.split(short, "").alias("x"), F.split(long, "").alias("y")))
-    return met.filter(F.transform(letters, lambda pair: within_edits(pair["x"], pair["y"], k))[0]).select("a", "b")
+    near = F.transform(letters, lambda pair: _by_edits(edits, lambda k: within_edits(pair["x"], pair["y"], k)))[0]
+    return met.filter(near).select("a", "b")
 
 
-def _families(index: DataFrame, probe: DataFrame, lines: DataFrame, k: int) -> DataFrame:
+def _families(index: DataFrame, probe: DataFrame, lines: DataFrame, edits: tuple[tuple[int, int], ...]) -> DataFrame:
     """Links of the lines under crowded keys to the most frequent line under the key and to the smallest one."""
     heads = index.groupBy("key").agg(
         F.max_by("line_id", F.struct("times", "line_id")).alias("often"), F.min("line_id").alias("least")
@@ -230,7 +270,7 @@ def _families(index: DataFrame, probe: DataFrame, lines: DataFrame, k: int) -> D
     members = index.select("key", "line_id").union(probe.select("key", "line_id")).distinct()
     pairs = members.join(heads, "key").select("line_id", F.explode(F.array("often", "least")).alias("head"))
     pairs = pairs.filter(F.col("line_id") != F.col("head"))
-    return _verified(pairs.select(F.least("line_id", "head").alias("a"), F.greatest("line_id", "head").alias("b")), lines, k)
+    return _verified(pairs.select(F.least("line_id", "head").alias("a"), F.greatest("line_id", "head").alias("b")), lines, edits)
 
 
 def _apart(index: DataFrame, probe: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -241,18 +281,15 @@ def _apart(index: DataFrame, probe: DataFrame) -> tuple[DataFrame, DataFrame]:
     return index.join(mixed, "key", "left_semi"), probe.join(mixed, "key", "left_semi")
 
 
-def _near_lines(lines: DataFrame, k: int, crowded: int) -> DataFrame:
-    """Pairs of different lines, each there once, within k edits that make the groups.
+def _near_lines(lines: DataFrame, edits: tuple[tuple[int, int], ...], crowded: int) -> DataFrame:
+    """Pairs of different lines, each there once, within their edits that make the groups.
 
     Keys are made from the lines whenever they are needed: those of a line take more room than the line.
     """
-    line, root = F.col("line"), _long(0)
-    keys = F.explode(F.array(*[key for key, _ in _indexed(line, root, k)])).alias("key")
-    index = lines.select("line_id", "times", keys)
-    lookups = [
-        F.struct(F.when(fits, key).alias("key"), F.lit(d).alias("delta")) for d, fits, key, _ in _looked_up(line, root, k)
-    ]
-    probe = lines.select("line_id", F.inline(F.array(*lookups))).filter(F.col("key").isNotNull())
+    line, root = F.col("line"), F.col("k").cast("long")
+    classed = _classed(lines, edits)
+    index = _keyed(classed, ["line_id", "times"], line, root, edits, _segments).select("line_id", "times", "key")
+    probe = _keyed(classed, ["line_id"], line, root, edits, _lookups).select("line_id", "key", F.col("d").alias("delta"))
 
     found, linked = [], []
     for cut in range(MAX_CUTS + 1):
@@ -264,18 +301,18 @@ def _near_lines(lines: DataFrame, k: int, crowded: int) -> DataFrame:
         found.append(_candidates(index, probe, hot, cut > 0))
         if cut == 0:  # the rests were not made so far, as they are as long as the lines
             sides = [written(side.join(hot, "key", "left_semi"), "crowded-sides") for side in (index, probe)]
-            linked.append(written(_families(*sides, lines, k), "family-links"))
+            linked.append(written(_families(*sides, lines, edits), "family-links"))
             ids = written(sides[0].select("line_id").union(sides[1].select("line_id")).distinct(), "crowded-ids")
             families = connected_components(linked[0], "a", "b").withColumnRenamed("node", "line_id")
             texts = _texts(lines, ids).join(families, "line_id", "left")
             texts = texts.select("line_id", "line", F.coalesce("component", "line_id").alias("family"))
-            texts = written(texts, "crowded-lines")
-            index, probe = _index_rows(texts, line, root, k), _probe_rows(texts, line, root, k)
+            texts = _classed(written(texts, "crowded-lines"), edits)
+            index, probe = _index_rows(texts, line, root, edits), _probe_rows(texts, line, root, edits)
         index, probe = _apart(index.join(hot, "key", "left_semi"), probe.join(hot, "key", "left_semi"))
         index, probe = written(index, "crowded-index"), written(probe, "crowded-probe")
-        index = _index_rows(index, F.col("rest"), F.col("key"), k)
-        probe = _probe_rows(probe, F.col("rest"), F.col("key"), k, F.col("delta"))
-    return reduce(DataFrame.unionByName, [_verified(reduce(DataFrame.unionByName, found), lines, k), *linked])
+        index = _index_rows(index, F.col("rest"), F.col("key"), edits)
+        probe = _probe_rows(probe, F.col("rest"), F.col("key"), edits)
+    return reduce(DataFrame.unionByName, [_verified(reduce(DataFrame.unionByName, found), lines, edits), *linked])
 
 
 def _lines(text: Column) -> Column:

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from searchlog.llm import bpe, decontaminate, embeddings, lines, lm, quality, secrets, simhash, substrings, toxicity
+from searchlog.llm import bpe, common, decontaminate, embeddings, lines, lm, quality, secrets, simhash, substrings, toxicity
 from searchlog.llm.components import connected_components
 from searchlog.runtime import scratch_root
 
@@ -480,6 +480,36 @@ def test_a_family_of_lines_costs_rows_in_proportion(spark, base):
     assert found[1] <= 3 * found[0] and found[1] < 200 * 40
 
 
+def test_length_classes_share_one_plan(spark, monkeypatch):
+    """Lines of one, two and three edits are joined by the same tables, and links across classes are found."""
+    names, write = [], lines.written
+    monkeypatch.setattr(lines, "written", lambda df, name: names.append(name) or write(df, name))
+    base = "the quick brown fox jumps over the lazy dog and runs away from all the cats of this old town today"
+    texts = [base[:30], base[:29] + "#", base[:49], base[:20] + "##" + base[20:49], base[:74], base[:73] + "##"]
+    texts += [base, "#" + base[1:50] + "#" + base[51:] + "#"]
+    frame = spark.createDataFrame([(bytes(t, "ascii"), t) for t in texts], "line_id binary, line string")
+    pairs = {frozenset(texts.index(v.decode()) for v in map(bytes, r)) for r in lines.near_lines(frame).collect()}
+    assert pairs == {frozenset(p) for p in [(0, 1), (4, 5), (6, 7)]}
+    assert names.count("line-candidates") == names.count("crowded-keys") == 1
+
+
+def test_written_removes_shuffle_files(spark, tmp_path):
+    import time
+
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles
+
+    def shuffled():
+        return {str(files().apply(i)) for i in range(files().size()) if "shuffle_" in str(files().apply(i))}
+
+    before = shuffled()
+    table = common.written(spark.range(10000).groupBy((F.col("id") % 100).alias("x")).count(), "counted")
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert table.count() == 100
+
+
 def test_lines_without_a_neighbour_are_written_once(spark):
     """Lines are kept, and not their keys, which take several times their room."""
     folder = Path(scratch_root(spark)) / "searchlog"
