@@ -268,7 +268,8 @@ def without_repeats(
     bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_column).alias("id"), row_key(id_column, text).alias("row"), F.col(text).alias("text"))
     spans = repeated_spans(docs, window, mer, hot_minimiser)
-    of_row = spans.groupBy("row").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
+    # A table, so that the files of the exchanges before it are gone when the texts are shuffled again.
+    of_row = written(spans.groupBy("row").agg(F.collect_set(F.struct("first", "end")).alias("spans")), "repeated-spans")
 
     @F.arrow_udf("struct<n_words:bigint,n_removed:bigint,kept:string>")
     def keep(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

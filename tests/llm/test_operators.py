@@ -480,6 +480,14 @@ def test_a_family_of_lines_costs_rows_in_proportion(spark, base):
     assert found[1] <= 3 * found[0] and found[1] < 200 * 40
 
 
+def test_repeats_leave_only_their_spans_to_the_last_query(spark):
+    """Strings are packed and counted before the texts are shuffled for the result, so that their exchanges are gone then."""
+    text = " ".join(str(i) for i in range(60))
+    kept = substrings.without_repeats(spark.createDataFrame([(1, text), (2, "a " + text), (3, "b")], "doc_id long, text string"))
+    assert "MapInArrow" not in kept._jdf.queryExecution().toString()
+    assert sorted(map(tuple, kept.collect())) == [(1, 60, 60, ""), (2, 61, 60, "a"), (3, 1, 0, "b")]
+
+
 def test_length_classes_share_one_plan(spark, monkeypatch):
     """Lines of one, two and three edits are joined by the same tables, and links across classes are found."""
     names, write = [], lines.written
